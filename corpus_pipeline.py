@@ -1,8 +1,70 @@
-"""The corpus pipeline; stages follow."""
+"""The corpus pipeline: documents are filtered, deduplicated, decontaminated and encoded.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents. Stages are
+written as Parquet to the shared folder and read again, so that a lost executor costs at most one stage's work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm.bpe_codec import decode_documents, encode_documents
+from tidewater.llm.decontaminate import drop_contaminated
+from tidewater.llm.exact_dedup import exact_dedup
+from tidewater.llm.language_id import annotate
+from tidewater.llm.ngram_join import similar_components
+from tidewater.llm.queries import code_digests, small_batches, table, vocabulary
+from tidewater.llm.shared import drop_ids, materialise
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected are documents in no language: null texts and texts without a letter."""
+    small_batches(spark)
+    found = annotate(docs, name="__language")
+    return found.where("__language <> 'und'").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    found = exact_dedup(docs)
+    return drop_ids(docs, materialise(found.where("NOT kept AND NOT doc_id <=> keep_id").select("doc_id"), "dropped"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest id stays."""
+    found = similar_components(docs)
+    return drop_ids(docs, materialise(found.where("component_id <> doc_id").select("doc_id"), "dropped"))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    small_batches(spark)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, decoded again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    small_batches(spark)
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    return code_digests(decode_documents(encode_documents(docs, path), path))
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("byte-level BPE", encode_stage),
+]
+
+#: SQL can't express the stages that learn, tile or encode; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs = materialise(docs, f"stage{k}")
+    return docs

@@ -47,7 +47,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return code_digests(decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path))
+
+
+def code_digests(coded: DataFrame) -> DataFrame:
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -56,11 +59,55 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.language_id import identify
+
+    small_batches(spark)
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.decontaminate import find_contamination
+
+    small_batches(spark)
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.ngram_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_decontamination": op8_decontamination,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
