@@ -1 +1,162 @@
+"""Queries over answers: value, name and label matches, scorers, judgments, digests. Golds and answers are made from orders and parts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewater.functions import text as X
+from tidewater.plans.context import documents
+from tidewater.plans.registry import query, table
+
+
+@query(
+    "value_match_numeric",
+    """WITH o AS (
+      SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS v, o_orderkey % 6 AS kind FROM orders
+    ) SELECT o_orderkey, kind IN (0, 1, 2, 4) OR v = 0 AS matched FROM o""",
+)
+def value_match_numeric(spark, sf_dir):
+    """Golds as '$1,234' or '1 in thousands' against answers with brackets, signs, units and near misses."""
+    v, kind = F.round("o_totalprice").cast("long"), F.col("o_orderkey") % 6
+    grouped = F.format_number(v, 0)
+    answer = (
+        F.when(kind == 0, F.concat(F.lit("The total is $"), grouped, F.lit(" in all.")))
+        .when(kind == 1, F.concat(F.lit("A loss of ("), v.cast("string"), F.lit(")")))
+        .when(kind == 2, F.concat(F.lit("-"), v.cast("string"), F.lit(".0 reported")))
+        .when(kind == 3, F.concat(F.lit("about "), (v + 1).cast("string")))
+        .when(kind == 4, F.concat(v.cast("string"), F.lit("000 dollars")))
+        .otherwise(F.lit("no figure given"))
+    )
+    gold = F.when(kind == 4, F.concat(grouped, F.lit(" in thousands"))).otherwise(F.concat(F.lit("$"), grouped))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (X.value_match(gold, answer) | (v == 0)).alias("matched"))
+
+
+@query(
+    "number_values",
+    """SELECT o_orderkey, [CAST(o_orderkey AS VARCHAR), CAST(o_orderkey * 1000000 AS VARCHAR), CAST(o_custkey + 7 AS VARCHAR), CAST((o_custkey + 7) * 1000000 AS VARCHAR)] AS vals FROM orders WHERE o_orderkey > 0 AND o_orderkey <> o_custkey + 7""",
+)
+def number_values(spark, sf_dir):
+    """Magnitudes that an answer with a unit after its first number can mean."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey > 0 AND o_orderkey <> o_custkey + 7")
+    answer = F.concat(F.lit("$"), F.col("o_orderkey").cast("string"), F.lit(" million against ("), (F.col("o_custkey") + 7).cast("string"), F.lit(")"))
+    return orders.select("o_orderkey", F.transform(X.number_values(answer), lambda v: v.cast("decimal(38,0)").cast("string")).alias("vals"))
+
+
+@query(
+    "value_match_entity",
+    """WITH w AS (
+      SELECT p_partkey, list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND NOT list_contains(['inc','co','corp','corporation','ltd','llc','plc','the','group','holdings','company','incorporated','and','of'], x)) AS g FROM part
+    ) SELECT p_partkey, len(g) > 0 AND p_partkey % 3 <> 0 AS matched FROM w""",
+)
+def value_match_entity(spark, sf_dir):
+    name = F.col("p_name")
+    answer = F.when(F.col("p_partkey") % 3 == 0, F.lit("it was someone else")).otherwise(F.concat(F.lit("It was ("), F.upper(name), F.lit("), Inc.")))
+    return table(spark, sf_dir, "part").select("p_partkey", X.name_match(F.concat(name, F.lit(" Corp.")), answer).alias("matched"))
+
+
+@query(
+    "label_compare",
+    """WITH x AS (
+      SELECT o_orderkey, (['kitchen', 'garden', 'office', 'bedroom'])[1 + o_orderkey % 4] AS gold, (['kitchen', 'garden', 'office', 'bedroom'])[1 + o_custkey % 4] AS said, (['kitchen', 'garden', 'office', 'bedroom'])[1 + (o_orderkey + 1) % 4] AS asked FROM orders
+    ) SELECT o_orderkey, said <> asked AND gold = said AS correct FROM x""",
+)
+def label_compare(spark, sf_dir):
+    labels = F.array(*map(F.lit, ("kitchen", "garden", "office", "bedroom")))
+    at = lambda k: F.get(labels, k.cast("int"))
+    key = F.col("o_orderkey")
+    output = F.concat(F.lit("In the "), F.initcap(at(F.col("o_custkey") % 4)), F.lit(". Not the garden, not the office"))
+    question = F.concat(F.lit("Where was it before the "), at((key + 1) % 4), F.lit("?"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.only_label(at(key % 4), output, question, labels).alias("correct"))
+
+
+@query(
+    "contains_scorers",
+    """WITH x AS (SELECT p_partkey, p_brand, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN lower(p_brand) WHEN 2 THEN 'first' || chr(10) || p_brand ELSE 'the ' || p_brand || ' one' END AS said FROM part)
+    SELECT p_partkey, trim(said) = p_brand AS em, contains(trim(said), p_brand) AS contains_, string_split(trim(said), chr(10))[-1] = p_brand AS lastline_em,
+           contains(string_split(trim(said), chr(10))[-1], p_brand) AS lastline_contains, contains(lower(said), lower(p_brand)) AS folded FROM x""",
+)
+def contains_scorers(spark, sf_dir):
+    brand, kind = F.col("p_brand"), F.col("p_partkey") % 4
+    said = F.when(kind == 0, brand).when(kind == 1, F.lower(brand)).when(kind == 2, F.concat(F.lit("first\n"), brand)).otherwise(F.concat(F.lit("the "), brand, F.lit(" one")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.scored_by("em", said, brand).alias("em"), X.scored_by("contains", said, brand).alias("contains_"), X.scored_by("lastline_em", said, brand).alias("lastline_em"),
+        X.scored_by("lastline_contains", said, brand).alias("lastline_contains"), F.contains(F.lower(said), F.lower(brand)).alias("folded"),
+    )
+
+
+@query("whole_word_match", """SELECT p_partkey, p_partkey % 2 = 0 AS hit FROM part""")
+def whole_word_match(spark, sf_dir):
+    word = F.concat(F.lit("Name"), F.col("p_partkey").cast("string"))
+    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("It is "), F.upper(word), F.lit("."))).otherwise(F.concat(F.lit("It is "), word, F.lit("son.")))
+    return table(spark, sf_dir, "part").select("p_partkey", X.whole_word(said, word).alias("hit"))
+
+
+@query(
+    "bracket_score",
+    r"""WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Rating: [[' || p_size || ']] of [9]' WHEN 1 THEN 'so [' || p_size || ']' WHEN 2 THEN 'none' ELSE '[[x]] then [' || p_size || ']' END AS t FROM part), y AS (
+      SELECT p_partkey, CAST(coalesce(nullif(regexp_extract(t, '\[\[([0-9]+)\]\]', 1), ''), nullif(regexp_extract(t, '\[([0-9]+)\]', 1), '')) AS INTEGER) AS score FROM x)
+    SELECT p_partkey, score, score NOT BETWEEN 1 AND 40 AS out_of_range FROM y""",
+)
+def bracket_score(spark, sf_dir):
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    t = F.when(kind == 0, F.concat(F.lit("Rating: [["), size, F.lit("]] of [9]"))).when(kind == 1, F.concat(F.lit("so ["), size, F.lit("]"))).when(kind == 2, F.lit("none")).otherwise(F.concat(F.lit("[[x]] then ["), size, F.lit("]")))
+    return table(spark, sf_dir, "part").select("p_partkey", X.bracket_score(t).alias("score")).withColumn("out_of_range", ~F.col("score").between(1, 40))
+
+
+@query("yesno_judgment", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN NULL ELSE NULL END AS correct FROM orders""")
+def yesno_judgment(spark, sf_dir):
+    said = F.get(F.array(*map(F.lit, ("yes", " YES. ", "No!", "yes, because", ""))), (F.col("o_orderkey") % 5).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.yes_no(said).alias("correct"))
+
+
+@query("reader_failures", """WITH x AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' ELSE 'text' END AS output, CASE event_id % 5 WHEN 0 THEN 'SAFETY' WHEN 1 THEN 'MAX_TOKENS' ELSE 'STOP' END AS finish FROM events)
+    SELECT finish, CASE WHEN output = '' OR finish NOT IN ('STOP', 'MAX_TOKENS') THEN 'reader_failure' ELSE 'scored' END AS metric, count(*) AS n FROM x GROUP BY ALL""")
+def reader_failures(spark, sf_dir):
+    output = F.when(F.col("event_id") % 3 == 0, "").otherwise("text")
+    finish = F.when(F.col("event_id") % 5 == 0, "SAFETY").when(F.col("event_id") % 5 == 1, "MAX_TOKENS").otherwise("STOP")
+    metric = F.when((output == "") | ~finish.isin("STOP", "MAX_TOKENS"), "reader_failure").otherwise("scored")
+    return table(spark, sf_dir, "events").groupBy(finish.alias("finish"), metric.alias("metric")).agg(F.count("*").alias("n"))
+
+
+@query("text_digests", """SELECT doc_id, sha256(to_json(text)) AS canonical, sha256(text) AS plain, sha1(text) AS short FROM documents""")
+def text_digests(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.text_digest(F.col("text")).alias("canonical"), F.sha2(F.col("text").cast("binary"), 256).alias("plain"), F.sha1("text").alias("short"))
+
+
+@query(
+    "whitespace_fold",
+    r"""SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'))) AS folded FROM documents""",
+)
+def whitespace_fold(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(X.fold(F.col("text")).cast("binary"), 256).alias("folded"))
+
+
+@query("sentence_split", r"""SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1))) AS n, string_split(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1))[1] AS first FROM documents""")
+def sentence_split(spark, sf_dir):
+    s = X.sentences(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n"), F.get(s, F.lit(0)).alias("first"))
+
+
+@query(
+    "prompt_projection",
+    """SELECT c.conv_id, c.turn, replace(replace('Context: {context} Question: {question}', '{context}', coalesce(p.text, '')), '{question}', c.text) AS prompt
+    FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE c.role = 'user'""",
+)
+def prompt_projection(spark, sf_dir):
+    """A prompt holds context and question, never gold or method."""
+    rows = table(spark, sf_dir, "conversations")
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    rows = rows.where("role = 'user'").join(before, ["conv_id", "turn"], "left")
+    filled = F.replace(F.replace(F.lit("Context: {context} Question: {question}"), F.lit("{context}"), F.coalesce("context", F.lit(""))), F.lit("{question}"), F.col("text"))
+    return rows.select("conv_id", "turn", filled.alias("prompt"))
+
+
+@query(
+    "judge_prompts",
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Does the answer decline? ' WHEN lang = 'en' THEN 'Same meaning? ' ELSE 'Same facts? ' END || left(text, 40) AS prompt, CAST(strlen(left(text, 40)) * 1.01 AS DOUBLE) AS reserved FROM documents""",
+)
+def judge_prompts(spark, sf_dir):
+    """Judge prompts by question type, and the conservative reservation for them."""
+    lead = F.when(F.col("doc_id") % 7 == 0, "Does the answer decline? ").when(F.col("lang") == "en", "Same meaning? ").otherwise("Same facts? ")
+    shown = F.left("text", F.lit(40))
+    return documents(spark, sf_dir).select("doc_id", F.concat(lead, shown).alias("prompt"), (F.octet_length(shown) * 1.01).cast("double").alias("reserved"))

@@ -1 +1,85 @@
+"""Queries that audit stored results."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewater.operators import integrity as I
+from tidewater.plans.context import documents
+from tidewater.plans.registry import query, table
+
+
+@query("conflict_detect", """SELECT source, lang, count(DISTINCT md5(text)) AS digests FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL HAVING count(DISTINCT md5(text)) > 1""")
+def conflict_detect(spark, sf_dir):
+    return I.conflicts(documents(spark, sf_dir).withColumn("digest", F.md5("text")), ["source", "lang"], "digest", F.col("doc_id") % 3 == 0)
+
+
+@query(
+    "repair_override",
+    """WITH r AS (SELECT o_orderkey, o_orderkey % 4 = 0 AS failed, o_orderkey % 3 AS fingerprint, o_custkey AS value FROM orders), f AS (
+      SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_orderkey END AS repair_of, o_orderkey % 6 % 3 AS fingerprint, -o_custkey AS value FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT o_orderkey, CASE WHEN ok THEN fv ELSE value END AS value, failed AND NOT ok AS failed, fv IS NOT NULL AND NOT ok AS refused FROM (
+      SELECT r.*, f.value AS fv, coalesce(r.failed AND f.repair_of = r.o_orderkey AND f.fingerprint = r.fingerprint, false) AS ok FROM r LEFT JOIN f USING (o_orderkey))""",
+)
+def repair_override(spark, sf_dir):
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rows = orders.select("o_orderkey", (key % 4 == 0).alias("failed"), (key % 3).alias("fingerprint"), F.col("o_custkey").alias("value"))
+    fixes = orders.where(key % 2 == 0).select("o_orderkey", F.when(key % 5 == 0, -1).otherwise(key).alias("repair_of"), (key % 6 % 3).alias("fingerprint"), (-F.col("o_custkey")).alias("value"))
+    return I.repaired(rows, fixes, "o_orderkey")
+
+
+@query(
+    "audit_checks_unpivot",
+    """WITH x AS (SELECT d.n_chars = length(d.text) AS length_matches, d.text <> '' AS nonempty, l.doc_id IS NOT NULL AS labelled, l.quality IN (0, 1) AS quality_valid, d.lang IN ('en', 'de') AS known_lang FROM documents d LEFT JOIN labels l USING (doc_id))
+    SELECT "check", count(*) FILTER (WHERE coalesce(ok, false)) AS passed, count(*) FILTER (WHERE NOT coalesce(ok, false)) AS failed FROM (
+      SELECT 'length_matches' AS "check", length_matches AS ok FROM x UNION ALL SELECT 'nonempty', nonempty FROM x UNION ALL SELECT 'labelled', labelled FROM x UNION ALL SELECT 'quality_valid', quality_valid FROM x UNION ALL SELECT 'known_lang', known_lang FROM x) GROUP BY 1""",
+)
+def audit_checks_unpivot(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").withColumn("there", F.lit(True))
+    rows = documents(spark, sf_dir).join(labels, "doc_id", "left")
+    checks = {"length_matches": F.col("n_chars") == F.length("text"), "nonempty": F.col("text") != "", "labelled": F.col("there").isNotNull(), "quality_valid": F.col("quality").isin(0, 1), "known_lang": F.col("lang").isin("en", "de")}
+    return I.check_counts(rows, checks)
+
+
+@query("one_to_one_audit", """SELECT md5(text) AS receipt, count(DISTINCT doc_id) AS uses FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) > 1""")
+def one_to_one_audit(spark, sf_dir):
+    return I.one_to_one(documents(spark, sf_dir).withColumn("receipt", F.md5("text")), "receipt", "doc_id")
+
+
+@query("fingerprint_groups", """SELECT source, count(DISTINCT lang) AS fingerprints, string_agg(DISTINCT lang, ',' ORDER BY lang) AS names FROM documents GROUP BY source""")
+def fingerprint_groups(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy("source").agg(F.countDistinct("lang").alias("fingerprints"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("names"))
+
+
+@query(
+    "manifest_diff",
+    """WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS path, md5(text) AS d FROM documents WHERE doc_id % 5 <> 0), w AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS d FROM documents WHERE doc_id % 3 <> 0)
+    SELECT path, CASE WHEN w.d IS NULL THEN 'extra' WHEN h.d IS NULL THEN 'missing' WHEN h.d = w.d THEN 'ok' ELSE 'changed' END AS status FROM h FULL OUTER JOIN w USING (path)""",
+)
+def manifest_diff(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("digest"))
+    want = rows.where("doc_id % 3 <> 0").withColumn("digest", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("digest")))
+    return I.manifest_diff(rows.where("doc_id % 5 <> 0"), want)
+
+
+@query("dedup_identical", """SELECT lang, md5(text) AS digest, count(*) AS copies FROM documents GROUP BY ALL""")
+def dedup_identical(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy("lang", F.md5("text").alias("digest")).agg(F.count("*").alias("copies"))
+
+
+@query("determinism_except", """SELECT count(*) AS differing FROM (SELECT doc_id, md5(text) FROM documents EXCEPT SELECT doc_id, md5(text) FROM documents)""")
+def determinism_except(spark, sf_dir):
+    """Two runs compared both ways."""
+    one = documents(spark, sf_dir).select("doc_id", F.md5("text").alias("d"))
+    other = documents(spark, sf_dir).select("doc_id", F.md5("text").alias("d"))
+    return one.exceptAll(other).union(other.exceptAll(one)).agg(F.count("*").alias("differing"))
+
+
+@query(
+    "stored_selection_gate",
+    """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'selector' WHEN n_chars <> length(text) OR doc_id % 11 = 0 THEN 'source_mismatch' WHEN n_chars > 20000 THEN 'budget' WHEN text = '' THEN 'reader' END AS error_type FROM documents) SELECT error_type, count(*) AS n FROM x GROUP BY 1""",
+)
+def stored_selection_gate(spark, sf_dir):
+    """The first gate that a stored selection fails names its error."""
+    error = F.when(F.col("doc_id") % 13 == 0, "selector").when((F.col("n_chars") != F.length("text")) | (F.col("doc_id") % 11 == 0), "source_mismatch").when(F.col("n_chars") > 20000, "budget").when(F.col("text") == "", "reader")
+    return documents(spark, sf_dir).groupBy(error.alias("error_type")).agg(F.count("*").alias("n"))
