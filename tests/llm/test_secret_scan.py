@@ -1,0 +1,49 @@
+from pyspark.sql import functions as F
+
+from tidewater.llm import secret_scan as S
+
+KEY, HASH = "9fQ2xLr7Tz0bVw4KdY8mNs3Hc6Ge1JaP", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_secrets_stay_and_false_positives_go(spark):
+    rows = [
+        (1, f'api_key = "{KEY}"', "src/app.py"), (2, f'token = "{HASH}" and more', None), (3, f"commit {HASH} fixes it", "CHANGELOG"), (4, "uuid 123e4567-e89b-12d3-a456-426614174000", "notes.txt"),
+        (5, "see /images/summer-garden-photo-large-12 for it", "docs/readme.md"), (6, 'api_key = "your_api_key_1234567890abcdefgh"', "docs/readme.md"), (7, "plain words and Donaudampfschifffahrtsgesellschaft", "x"), (8, None, "x"), (9, "", None),
+        (10, f'token = "{HASH}" x token = "{HASH}"', "x"), (10, f'token = "{HASH}" x token = "{HASH}"', "x"), (None, f'password: "{KEY}"', "x"),
+    ]
+    docs = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, source string, score double, length int")
+    got = S.find_secrets(docs).collect()
+    assert sorted((r.doc_id or 0, r.ordinal) for r in got) == [(0, 0), (1, 0), (2, 0), (10, 0), (10, 0), (10, 1), (10, 1)]
+    assert all(0.5 <= r.score <= 1 for r in got)
+    assert S.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_forest_on_findings_held_back(spark):
+    rows = S.labelled_findings(spark, 6000).withColumn("k", F.monotonically_increasing_id() % 3).cache()
+    forest = S.fit_forest(rows.where("k <> 0"))
+    back = S.forest_score(S.describe(rows.where("k = 0")), forest).select("label", "score").collect()
+    assert sum((r.score >= 0.5) == (r.label == 1) for r in back) / len(back) > 0.95
+    rows.unpersist()
+
+
+def test_walk_is_the_forest_of_spark(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    described = S.describe(S.labelled_findings(spark, 800)).cache()
+    rows = VectorAssembler(inputCols=S.NAMES, outputCol="features").transform(described)
+    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=3).fit(rows.select("features", "label"))
+    trees = [S.tree_arrays(t._call_java("rootNode")) for t in model.trees]
+    mine = [r.score for r in S.forest_score(described, trees, 4).collect()]
+    theirs = [r.probability[1] for r in model.transform(rows).select("probability").collect()]
+    assert max(abs(a - b) for a, b in zip(mine, theirs, strict=True)) < 1e-5
+    described.unpersist()
+
+
+def test_candidates_against_python(spark):
+    import re
+
+    texts = ["a" * 15 + "1", "a" * 14 + "1", "x1" * 20 + " " + "y2" * 9, "abc" * 10, "é" + "k9" * 10 + "ß", "1" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.ordinal, r.candidate) for r in S.candidates(docs, path_col=None).collect())
+    assert got == [(i, k, m) for i, t in enumerate(texts) for k, m in enumerate(re.findall(S.CANDIDATE, t))]
