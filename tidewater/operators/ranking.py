@@ -12,23 +12,27 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``doc_id, chunk_ord, score, rank`` of every chunk, for one question (doc_id, query) per context.
+    """Chunk spans with ``score`` and ``rank`` of every chunk, for one question (doc_id, query) per context.
 
-    All statistics are per context, so after one shuffle by context every aggregation, window and join stays in place.
-    Chunks that share no term with the question keep score 0.
+    All statistics are per context. The join with the questions deals chunks out by context, and every window and
+    aggregation after it stays there: one pass over the texts, one shuffle. Chunks that share no term keep score 0.
     """
-    chunks = chunks.select(key, "chunk_ord", lexemes(F.col("chunk_text")).alias("terms")).repartition(key)
-    stats = chunks.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    tf = chunks.select(key, "chunk_ord", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "chunk_ord", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(key, "term").agg(F.count("*").alias("df")).join(stats, key)
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.withColumn("raw", raw).withColumn("floor", F.avg("raw").over(Window.partitionBy(key)) * EPSILON)
-    idf = idf.select(key, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    asked = questions.select(key, F.explode(lexemes(F.col("query"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = asked.join(idf, [key, "term"]).join(tf, [key, "term"]).groupBy(key, "chunk_ord").agg(F.round(F.sum(part), 6).alias("score"))
-    rows = chunks.select(key, "chunk_ord").join(questions.select(key), key, "left_semi").join(hits, [key, "chunk_ord"], "left")
-    rows = rows.select(key, "chunk_ord", F.coalesce("score", F.lit(0.0)).alias("score"))
+    spans = [c for c in ("token_start", "token_end") if c in chunks.columns]
+    asked = questions.select(key, lexemes(F.col("query")).alias("asked"))
+    rows = chunks.select(key, "chunk_ord", *spans, lexemes(F.col("chunk_text")).alias("terms")).join(asked, key)
+    whole = Window.partitionBy(key)
+    rows = rows.withColumns({"dl": F.size("terms"), "n": F.count("*").over(whole), "avgdl": F.avg(F.size("terms")).over(whole)})
+    keep = [key, "chunk_ord", *spans, "n", "avgdl", "dl", "asked"]
+    tf = rows.select(*keep, F.explode_outer("terms").alias("term")).groupBy(*keep, "term").agg(F.count("term").alias("tf"))
+    tf = tf.withColumn("df", F.count("term").over(Window.partitionBy(key, "term")))
+    tf = tf.withColumn("raw", F.when(F.col("df") > 0, F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    # a term stands in df rows, so weights of 1 / df give the mean over the vocabulary
+    each = 1 / F.nullif(F.col("df"), F.lit(0))
+    tf = tf.withColumn("floor", EPSILON * F.sum(F.col("raw") * each).over(whole) / F.sum(each).over(whole))
+    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    times = F.size("asked") - F.size(F.array_remove("asked", F.col("term")))
+    part = F.when(F.array_contains("asked", F.col("term")), times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    rows = tf.groupBy(key, "chunk_ord", *spans).agg(F.round(F.coalesce(F.sum(part), F.lit(0.0)), 6).alias("score"))
     return ranked(rows, key)
 
 

@@ -29,10 +29,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(items, "item_id").select("doc_id", F.col("text").alias("query"))
 
 
-def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with their BM25 scores and ranks."""
+def ranking(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+    """Chunks with their BM25 scores and ranks; their texts are joined back only where they are asked for."""
     chunks = chunk_grid(documents(spark, sf_dir))
-    return chunks.join(bm25(chunks, questions(spark, sf_dir)), ["doc_id", "chunk_ord"])
+    scores = bm25(chunks, questions(spark, sf_dir))
+    return scores.join(chunks.select("doc_id", "chunk_ord", "chunk_text"), ["doc_id", "chunk_ord"]) if text else scores
 
 
 @query("tok_piece_counts", f"WITH {TOK} SELECT doc_id, len(p) AS n_pieces, length(text) AS n_chars, strlen(text) AS n_bytes FROM tok")
@@ -163,7 +164,7 @@ def pack_sql(order: str) -> str:
 
 
 def pack_query(spark, sf_dir, order):
-    out = render(pack_concat(ranking(spark, sf_dir), BUDGETS), order)
+    out = render(pack_concat(ranking(spark, sf_dir, True), BUDGETS), order)
     return out.select("doc_id", "budget", "kept_chunks", F.col("selected_tokens").cast("long").alias("selected_tokens"), digest("filtered_text").alias("text_sha256"))
 
 
@@ -329,5 +330,5 @@ def compress_topb_tokens(spark, sf_dir):
     FROM running WHERE used <= 128 GROUP BY doc_id""",
 )
 def prune_sentences_pack(spark, sf_dir):
-    rows = prune_sentences(ranking(spark, sf_dir), 128)
+    rows = prune_sentences(ranking(spark, sf_dir, True), 128)
     return rows.select("doc_id", F.col("selected_tokens").cast("long").alias("selected_tokens"), "kept_chunks", digest("filtered_text").alias("text_sha256"))

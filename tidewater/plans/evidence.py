@@ -73,7 +73,7 @@ def packed_hits(spark, sf_dir):
     docs = documents(spark, sf_dir)
     facts, chunks = planted(docs), chunk_grid(docs)
     scores = bm25(chunks, facts.select("doc_id", F.col("gold").alias("query")))
-    packed = pack_concat(chunks.drop("chunk_text").join(scores, ["doc_id", "chunk_ord"]), BUDGETS)
+    packed = pack_concat(scores, BUDGETS)
     merged = spans.merge_rows(packed.select("doc_id", "budget", F.col("token_start").alias("s"), F.col("token_end").alias("e")), ["doc_id", "budget"])
     return span_hits(merged, facts, ["doc_id"])
 
@@ -96,7 +96,7 @@ def span_covers(spark, sf_dir):
     docs = documents(spark, sf_dir)
     facts, chunks = planted(docs), chunk_grid(docs)
     scores = bm25(chunks, facts.select("doc_id", F.col("gold").alias("query")))
-    packed = pack_concat(chunks.drop("chunk_text").join(scores, ["doc_id", "chunk_ord"]), BUDGETS)
+    packed = pack_concat(scores, BUDGETS)
     lists = packed.groupBy("doc_id", "budget").agg(spans.merge_array(F.collect_list(F.struct(F.col("token_start").alias("s"), F.col("token_end").alias("e")))).alias("m"))
     return lists.join(facts, "doc_id").select("doc_id", "budget", spans.covers(F.col("m"), F.col("token_start"), F.col("token_end")).alias("covered"))
 
