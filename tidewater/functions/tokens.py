@@ -51,3 +51,7 @@ def piece_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     so_far = Window.partitionBy(id_col).orderBy("piece_ord").rowsBetween(Window.unboundedPreceding, 0)
     chars, size = F.sum("chars").over(so_far), F.sum("bytes").over(so_far)
     return rows.select(id_col, "piece_ord", (chars - F.col("chars")).alias("char_start"), chars.alias("char_end"), (size - F.col("bytes")).alias("byte_start"), size.alias("byte_end"))
+
+
+#: Tokenizers by name: columns that count a text. Others can be added; every result says which one it used.
+TOKENIZERS = {"piece": count, "bytes": lambda text: F.octet_length(text), "chars": lambda text: F.char_length(text), "lexeme": lambda text: F.size(lexemes(text))}

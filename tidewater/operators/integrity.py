@@ -47,3 +47,11 @@ def require_one(rows: DataFrame, column: str) -> None:
 def publishable(cells: DataFrame, complete: Column) -> bool:
     """Whether every cell is complete, so that a table may be written."""
     return cells.where(~F.coalesce(complete, F.lit(False))).isEmpty()
+
+
+def rebased_ids(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Foreign chunk ids (example, source, n_ids) with whether they may be taken over: only if the source's text is the example's own."""
+    mine = sources.select(F.col("id").alias("example"), F.col("digest").alias("own"))
+    theirs = sources.select(F.col("id").alias("source"), F.col("digest").alias("foreign"))
+    joined = rows.join(mine, "example", "left").join(theirs, "source", "left")
+    return joined.withColumn("accepted", F.coalesce(F.col("own") == F.col("foreign"), F.lit(False))).select(*rows.columns, "accepted")

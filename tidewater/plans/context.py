@@ -72,6 +72,17 @@ def tok_native_audit(spark, sf_dir):
     return chunk_grid(documents(spark, sf_dir)).agg(F.max(n).alias("longest"), F.count_if(n > 400).alias("over_limit"), F.count("*").alias("n_chunks"))
 
 
+@query(
+    "tok_registry",
+    rf"""WITH {TOK} SELECT tokenizer, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS longest FROM (
+      SELECT 'piece' AS tokenizer, len(p) AS n FROM tok UNION ALL SELECT 'bytes', strlen(text) FROM tok UNION ALL SELECT 'chars', length(text) FROM tok
+      UNION ALL SELECT 'lexeme', len(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM tok) GROUP BY tokenizer""",
+)
+def tok_registry(spark, sf_dir):
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("tokenizer"), f(F.col("text")).cast("long").alias("n")) for k, f in tokens.TOKENIZERS.items())))
+    return documents(spark, sf_dir).select(each.alias("x")).select("x.*").groupBy("tokenizer").agg(F.sum("n").alias("total"), F.max("n").alias("longest"))
+
+
 @query("tok_clip", f"WITH {TOK} SELECT doc_id, sha256(array_to_string(p[1:100], '')) AS clipped_sha256, len(p) > 100 AS clipped FROM tok")
 def tok_clip(spark, sf_dir):
     text, clipped = tokens.clip(F.col("text"), F.lit(100))

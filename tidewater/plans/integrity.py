@@ -83,3 +83,38 @@ def stored_selection_gate(spark, sf_dir):
     """The first gate that a stored selection fails names its error."""
     error = F.when(F.col("doc_id") % 13 == 0, "selector").when((F.col("n_chars") != F.length("text")) | (F.col("doc_id") % 11 == 0), "source_mismatch").when(F.col("n_chars") > 20000, "budget").when(F.col("text") == "", "reader")
     return documents(spark, sf_dir).groupBy(error.alias("error_type")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "legacy_id_rebase",
+    """WITH r AS (SELECT doc_id AS example, (doc_id + doc_id % 2) AS source FROM documents), h AS (SELECT doc_id, md5(text) AS d FROM documents)
+    SELECT r.example, r.source, coalesce(a.d = b.d, false) AS accepted FROM r LEFT JOIN h a ON a.doc_id = r.example LEFT JOIN h b ON b.doc_id = r.source""",
+)
+def legacy_id_rebase(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    rows = docs.select(F.col("doc_id").alias("example"), (F.col("doc_id") + F.col("doc_id") % 2).alias("source"))
+    return I.rebased_ids(rows, docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("digest")))
+
+
+@query(
+    "independent_rescore",
+    """SELECT count(*) AS n, count(*) FILTER (WHERE (regexp_matches(p_type, 'STEEL')) <> (position('STEEL' IN p_type) > 0)) AS disagreements, count(*) FILTER (WHERE contains(p_type, 'STEEL')) AS hits FROM part""",
+)
+def independent_rescore(spark, sf_dir):
+    """A score computed twice, by unlike expressions, and compared."""
+    one, other = F.contains("p_type", F.lit("STEEL")), F.col("p_type").rlike("STEEL")
+    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.count_if(one != other).alias("disagreements"), F.count_if(one).alias("hits"))
+
+
+@query(
+    "sampled_rebuild",
+    """WITH x AS (SELECT doc_id, text, n_chars, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS r FROM documents)
+    SELECT doc_id, length(text) = n_chars AS same_length, sha256(text) AS text_sha256, contains(text, 'INJECTED-GOLD') AS injected FROM x WHERE r <= 3""",
+)
+def sampled_rebuild(spark, sf_dir):
+    """Three contexts of each cell, rebuilt and hashed, and searched for injected gold."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("source").orderBy(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
+    rows = documents(spark, sf_dir).withColumn("r", F.row_number().over(order)).where("r <= 3")
+    return rows.select("doc_id", (F.length("text") == F.col("n_chars")).alias("same_length"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.contains("text", F.lit("INJECTED-GOLD")).alias("injected"))

@@ -351,3 +351,40 @@ def judgment_join(spark, sf_dir):
     links = documents(spark, sf_dir).select("doc_id", F.md5("text").alias("key"), F.length("text").alias("n"))
     judged = links.where("n % 5 <> 0").select("key", (F.col("n") % 2).cast("long").alias("correct")).distinct()
     return links.join(judged, "key", "left").select("doc_id", F.coalesce("correct", F.lit(0)).alias("correct"), F.col("correct").isNull().alias("missing"))
+
+
+@query(
+    "cohort_scores",
+    f"""WITH {ANSWERS} SELECT method, round(avg(CASE WHEN failed THEN 0.0::DOUBLE ELSE 1.0 END), 6) AS success_rate, round(avg(value) FILTER (WHERE NOT failed), 6) AS mean_score,
+      round(avg(CASE WHEN value >= 95 THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (WHERE NOT failed), 6) AS perfect_rate FROM answers GROUP BY method""",
+)
+def cohort_scores(spark, sf_dir):
+    scored = ~F.col("failed")
+    return answers(spark, sf_dir).groupBy("method").agg(S.mean(scored.cast("double")).alias("success_rate"), S.mean(F.when(scored, F.col("value"))).alias("mean_score"), S.mean(F.when(scored, (F.col("value") >= 95).cast("double"))).alias("perfect_rate"))
+
+
+@query("rerun_set", f"""WITH {ANSWERS} SELECT doc_id, left(text, 20) AS prompt FROM documents WHERE doc_id IN (SELECT example_id FROM answers WHERE failed OR value < 1)""")
+def rerun_set(spark, sf_dir):
+    """Prompts of the examples that failed or scored nothing."""
+    failed = answers(spark, sf_dir).where("failed OR value < 1").select(F.col("example_id").alias("doc_id"))
+    return documents(spark, sf_dir).join(failed, "doc_id", "left_semi").select("doc_id", F.left("text", F.lit(20)).alias("prompt"))
+
+
+@query(
+    "topk_first_and_latest",
+    """WITH x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS d FROM events) SELECT user_id, event_id, a <= 3 AS first_three FROM x WHERE a <= 3 OR d <= 3""",
+)
+def topk_first_and_latest(spark, sf_dir):
+    w = Window.partitionBy("user_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("a"), F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))).alias("d"))
+    return rows.where("a <= 3 OR d <= 3").select("user_id", "event_id", (F.col("a") <= 3).alias("first_three"))
+
+
+@query(
+    "needle_matrix",
+    """SELECT n_name AS needle, r_name AS test, depth, CAST(n_nationkey % 3 AS BIGINT) AS question FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) d(depth)""",
+)
+def needle_matrix(spark, sf_dir):
+    """Needles, their tests and the depths at which they are placed: nested lists exploded in place."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.withColumn("depth", F.explode(F.array(F.lit(0.25), F.lit(0.75)))).select(F.col("n_name").alias("needle"), F.col("r_name").alias("test"), "depth", (F.col("n_nationkey") % 3).cast("long").alias("question"))
