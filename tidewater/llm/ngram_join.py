@@ -21,7 +21,6 @@ with nothing; rows that repeat an id are taken as copies if their sets are equal
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -34,11 +33,9 @@ from tidewater.llm.shared import LOWER, MAX_BROADCAST_ROWS, UPPER, materialise,
 
 #: Similarity as a fraction; words of a shingle; ratio of a band's sizes; parts for a band's largest size; reserve of signatures.
 SIMILAR, WORDS, BAND, PARTS, RESERVE = (3, 4), 5, 4.0, 0.45, 0.125
-#: Members of a short run; rounds over long runs; sets in a block of the last comparison.
-SHORT, ROUNDS, BLOCK = 12, 3, 512
-WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Members of a short run; rounds over long runs, and the sets that make a round worth while; sets in a block of the last comparison.
+SHORT, ROUNDS, ROUND_LEAST, BLOCK = 12, 3, 1024, 512
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-SPACES = bytes(32 if c in b"\t\n\x0b\x0c\r" else c for c in FOLD)
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -67,16 +64,17 @@ def word_hashes() -> WordHashes:
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(SPACES).split(b" ")
-    words = [w for w in words if w]
+    words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()  # at the six white space bytes
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     size = min(n, len(words))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
-        out = mixed(out + h[k : len(h) - size + 1 + k], 0x9E3779B97F4A7C15)
-    return np.unique(out)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : len(h) - size + 1 + k]
+    out = np.sort(mixed(out, 0x2545F491))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def most_different(size: int) -> int:
@@ -100,9 +98,11 @@ def reserve_of(size: int) -> int:
 
 
 def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted set for each band that it signs for, and how many of them a similar set that stops later shares.
+    """Signatures of a sorted set for each band that it signs for, and how many of them it shares with a similar set at least.
 
-    That number is 0 if the set has not more than k non-empty parts; such sets are compared in blocks instead.
+    If the other set stops later or has no more parts, that is all of them but k; if it stops earlier, it has its own reserve,
+    and it is not smaller than t times this one. The number is 0 if the set has not more than k non-empty parts; such sets
+    are compared in blocks instead.
     """
     size = len(s)
     k = most_different(size)
@@ -116,7 +116,8 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         take = min(len(starts), k + 1 + reserve_of(size))
         total = np.add.reduceat(content, starts)[:take]
         out.append(mixed(total + part[starts[:take]] * np.uint64(0x9E3779B97F4A7C15), 0xA5A5A5A5 + band))
-        needed.append(np.full(take, max(0, take - k), np.int32))
+        least = reserve_of(-(-size * SIMILAR[0] // SIMILAR[1])) + 1
+        needed.append(np.full(take, max(0, min(take - k, least)), np.int32))
     return np.concatenate(out), np.concatenate(needed)
 
 
@@ -268,23 +269,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = materialise(shared_signatures(signed).distinct(), "shared")
     comp = link(shared, originals, n, max_broadcast)
 
-    out = sets.join(sized(classes, max_broadcast), ["n_shingles", "a", "b"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = sets.join(sized(classes, max_broadcast), ["n_shingles", "a", "b"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     out = out.join(sized(comp, max_broadcast), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def viable(shared: DataFrame) -> DataFrame:
-    """Rows of the sets that share as many signatures as a similar set would; the others have no partner."""
-    least = materialise(shared.groupBy("sig").agg(F.min("needed").alias("m"), F.count("*").alias("n")), "needs")
-    rows = materialise(shared.join(least, "sig").where("n > 1 OR needed = 0").select("sig", "rep", "needed", "m"), "needed")
-    enough = materialise(rows.groupBy("rep").agg(F.count("*").alias("k"), F.min("m").alias("m")).where("k >= m").select("rep", "m"), "viable")
-    return materialise(rows.select("sig", "rep", "needed").join(sized(enough), "rep"), "rows")
+    """Rows of the sets that share as many signatures as they would with a similar set; the others have no partner."""
+    enough = materialise(shared.groupBy("rep").agg(F.count("*").alias("k"), F.min("needed").alias("m")).where("k >= m").select("rep", "m"), "viable")
+    rows = materialise(shared.select("sig", "rep", "needed").join(sized(enough), "rep"), "rows")
+    runs = materialise(rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig", F.lit(True).alias("run")), "runs")
+    return materialise(rows.join(sized(runs), "sig", "left").where("run OR needed = 0").drop("run"), "rows")
 
 
 def link(shared: DataFrame, originals: DataFrame, n: int, max_broadcast: int) -> DataFrame:
     """``rep, c`` of the classes that have a similar one."""
     spark = shared.sparkSession
-    rows = viable(viable(shared).select("sig", "rep", "needed"))
+    rows = viable(viable(shared))
     ids = materialise(rows.select("rep").distinct(), "ids")
     batches_of(spark, 500)
     candidates = originals.join(sized(ids, max_broadcast), "rep", "left_semi").select(F.col("rep").alias("doc_id"), F.col("t"))
@@ -316,7 +317,7 @@ def link(shared: DataFrame, originals: DataFrame, n: int, max_broadcast: int) ->
     long = materialise(long.select("sig", "rep").join(sized(hidden, max_broadcast), "rep", "left_semi"), "longrows")
     for _ in range(ROUNDS):
         rest = materialise(open_runs(labelled(long, comp)), "open")
-        if rest.isEmpty():
+        if rest.select("rep").distinct().count() <= ROUND_LEAST:  # few enough to be compared in blocks at once
             break
         # the next centre of a run: its smallest member that is not of the first one's component
         home = materialise(rest.where("rep = first").select("sig", F.col("c").alias("home")), "home")
