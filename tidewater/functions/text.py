@@ -71,8 +71,9 @@ def number_values(text: Column) -> Column:
     """Magnitudes that a text can mean: each number as it stands, times the unit within 20 characters after it, times the text's unit."""
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
     between = F.split(text, NUMBER, -1)
-    # the unit of a number stands in what follows it, which another number may cut short
-    following = F.transform(F.slice(between, F.lit(2), F.size(found)), lambda rest: F.substring(rest, 1, 20))
+    # the 20 characters after a number: a number has one at least, so 20 numbers and what lies between them hold them all
+    after = lambda k: [F.coalesce(F.get(x, k + d), F.lit("")) for d in range(1, 21) for x in (between, found)]
+    following = F.transform(found, lambda _, k: F.substring(F.concat(*after(k)), 1, 20))
     whole = scale_of(text)
     each = F.zip_with(found, following, lambda t, rest: F.array(F.abs(read_number(t)), F.abs(read_number(t)) * scale_of(rest), F.abs(read_number(t)) * whole))
     return F.when(F.size(found) > 0, F.array_distinct(F.filter(F.flatten(each), lambda v: v.isNotNull()))).otherwise(F.array().cast("array<decimal(38,10)>"))
