@@ -5,8 +5,8 @@ where a partner could be in the next one, for that too. A band fixes the number
 hashed into. Two sets of J >= t differ in at most ``k = floor(size * (1 - t) / t)`` shingles, so they differ in at most k parts
 and agree on all others. A set enumerates its non-empty parts in order until it has ``k + 1`` and a reserve of them; each is
 signed with a hash of its content. Whichever of two similar sets stops at the earlier part has ``k + 1`` parts up to there
-that the other signs as well, so at least ``1 + reserve`` signatures are shared: none is missed, and a set with fewer
-signatures that occur elsewhere has no partner and is left out.
+that the other signs as well, so ``1 + reserve`` signatures are shared: none is missed, and a set with fewer signatures that
+occur elsewhere has no partner and is left out. Small sets sign with all their parts, so they must share most of them.
 
 Equal sets are one class from the start (one aggregation, combined before its shuffle). Signatures that two or more classes
 share are read as sorted runs. Candidate pairs are only ever (a member, the run's smallest member), then, among members that
@@ -33,6 +33,8 @@ from tidewater.llm.shared import LOWER, MAX_BROADCAST_ROWS, UPPER, materialise,
 
 #: Similarity as a fraction; words of a shingle; ratio of a band's sizes; parts for a band's largest size; reserve of signatures.
 SIMILAR, WORDS, BAND, PARTS, RESERVE = (3, 4), 5, 4.0, 0.45, 0.125
+#: Size up to which a set signs with all its parts.
+SMALL = 256
 #: Members of a short run; rounds over long runs, and the sets that make a round worth while; sets in a block of the last comparison.
 SHORT, ROUNDS, ROUND_LEAST, BLOCK = 12, 3, 1024, 512
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -94,15 +96,27 @@ def parts_of(band: int) -> int:
 
 
 def reserve_of(size: int) -> int:
-    return int(RESERVE * size)
+    """Signatures beyond k + 1. A small set signs with all its parts, so that what it must share is most of it."""
+    return size if size <= SMALL else int(RESERVE * size)
+
+
+def least_shared(size: int, taken: int) -> int:
+    """Signatures that a set of this size, which signs with ``taken`` parts, shares at least with any similar set.
+
+    If the other set has no more parts or stops later, all but k. If it stops earlier it is not small, and it shares all
+    but its own k, that is its reserve and one; it has t times this set's size at least.
+    """
+    num, den = SIMILAR
+    own = taken - most_different(size)
+    if size * den // num <= SMALL:
+        return max(0, own)
+    return max(0, min(own, int(RESERVE * max(SMALL + 1, -(-size * num // den))) + 1))
 
 
 def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a sorted set for each band that it signs for, and how many of them it shares with a similar set at least.
 
-    If the other set stops later or has no more parts, that is all of them but k; if it stops earlier, it has its own reserve,
-    and it is not smaller than t times this one. The number is 0 if the set has not more than k non-empty parts; such sets
-    are compared in blocks instead.
+    That number is 0 if the set has not more than k non-empty parts; such sets are compared in blocks instead.
     """
     size = len(s)
     k = most_different(size)
@@ -116,8 +130,7 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         take = min(len(starts), k + 1 + reserve_of(size))
         total = np.add.reduceat(content, starts)[:take]
         out.append(mixed(total + part[starts[:take]] * np.uint64(0x9E3779B97F4A7C15), 0xA5A5A5A5 + band))
-        least = reserve_of(-(-size * SIMILAR[0] // SIMILAR[1])) + 1
-        needed.append(np.full(take, max(0, min(take - k, least)), np.int32))
+        needed.append(np.full(take, least_shared(size, take), np.int32))
     return np.concatenate(out), np.concatenate(needed)
 
 
