@@ -100,3 +100,25 @@ def test_streamed_runs(spark):
         got = sorted(map(tuple, N.shared_signatures(df).collect()))
         assert got == sorted(r for r in rows if sum(x[0] == r[0] for x in rows) > 1)
     N.batches_of(spark, 1000)
+
+
+def chain(seed):
+    rng = random.Random(seed)
+    ids = rng.sample(range(100), 40)
+    return [(ids[k], ids[max(0, k - rng.randint(1, 3))]) for k in range(1, len(ids))]
+
+
+#: In both the sum of all labels once stood still before they were settled.
+@pytest.mark.parametrize("links", [[(9, 3), (8, 3), (5, 9), (1, 8), (6, 5), (7, 5), (4, 6), (2, 4)], chain(195)])
+def test_components_of_chains_against_union_find(spark, links):
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    assert {r.rep: r.c for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()} == {x: root(x) for x in parent}

@@ -208,8 +208,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``rep, c`` for the nodes of ``links`` (a, b): the smallest node of each component, by least labels and pointer jumping."""
-    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")), "labels")
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
+    both = materialise(links.select(F.inline(ends)).distinct(), "edges")  # each node its own neighbour, so that labels only fall and an equal sum is a fixed point
+    label = materialise(both.groupBy("a").agg(F.min("b").alias("c")), "labels")
     total = None
     while True:
         now = label.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
@@ -217,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
             return label.select(F.col("a").alias("rep"), "c")
         total = now
         near = both.join(sized(label.select(F.col("a").alias("b"), "c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        near = materialise(near, "near")  # every node is its neighbour's neighbour, so no own label is lost
+        near = materialise(near, "near")
         label = near.join(sized(label.select(F.col("a").alias("c"), F.col("c").alias("up"))), "c").select("a", F.least("c", "up").alias("c"))
         label = materialise(label, "labels")
 
