@@ -47,3 +47,13 @@ def test_candidates_against_python(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r.doc_id, r.ordinal, r.candidate) for r in S.candidates(docs, path_col=None).collect())
     assert got == [(i, k, m) for i, t in enumerate(texts) for k, m in enumerate(re.findall(S.CANDIDATE, t))]
+
+
+def test_names_and_values_without_spaces(spark):
+    forms = [f"api_key={KEY}", f"export AWS_SECRET_ACCESS_KEY={KEY}", f"https://x.org/?user=1&access_token={KEY}", f"service_2_production_token={KEY}", f"token={KEY[:30]}=="]
+    docs = spark.createDataFrame([(k, t, "config/prod.env") for k, t in enumerate(forms)], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in S.candidates(docs).collect()}  # of a text, the last
+    assert {k: r.candidate for k, r in found.items()} == dict(enumerate([KEY] * 4 + [KEY[:30] + "=="]))
+    assert all(r.assigned == 1 and r.said_for == 1 for r in S.describe(S.candidates(docs)).where(F.col("candidate").startswith(KEY[:30])).collect())
+    assert {(r.doc_id, r.candidate) for r in S.find_secrets(docs).collect()} >= {(k, r.candidate) for k, r in found.items()}
+    assert S.labelled_findings(spark, 300).where(F.col("candidate").contains("=") & ~F.col("candidate").rlike("[^=]={1,2}$")).count() == 0

@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of 16 or more token characters with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,512}[0-9])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])"
+#: A run of 16 or more token characters with a digit among them; '=' belongs to it only as padding at its end.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Characters of context on either side.
 CONTEXT = 24
 
@@ -73,7 +73,10 @@ def describe(rows: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """``n`` findings by rule: half secrets (random keys that are assigned), half false positives of seven kinds."""
+    """``n`` findings by rule: half secrets (random keys that are assigned), half false positives of seven kinds.
+
+    They are what ``candidates`` finds in the generated texts, so the forest learns from rows as a scan yields them.
+    """
     r = lambda salt: F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 256)
     pick = lambda words, salt: F.array(*map(F.lit, words))[F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))).cast("int")]
     base64 = F.translate(F.base64(F.unhex(r("b"))), "=", "")
@@ -85,13 +88,14 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     false = F.array(r("c").substr(1, 40), r("m").substr(1, 32), uuid, slug, F.concat(pick(["your_", "EXAMPLE", "test_", "xxxx", "sample-"], "y"), r("x").substr(1, 4), F.lit("1234567890abcdefgh")), F.translate(r("d"), "abcdef", "012345").substr(F.lit(1), size), F.concat(F.lit("AKIAIOSFODNN7"), F.lit("EXAMPLE")))
     plain = F.array(F.lit("commit "), F.lit("md5: "), F.lit("uuid "), F.lit("see /images/"), F.concat(pick(["token = \"", "api_key: "], "k"), F.lit("")), F.lit("order no. "), F.lit("aws_access_key = \""))
     yes, kind = F.col("id") % 2 == 0, F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(7)).cast("int")
-    return spark.range(n).select(
-        F.when(yes, named).otherwise(plain[kind]).alias("before"),
-        F.when(yes, secret[F.pmod(kind, F.lit(5))]).otherwise(false[kind]).alias("candidate"),
-        pick(["\"", "", " and more", "'", "\"\nnext line", " the"], "z").alias("after"),
+    value = F.when(yes, secret[F.pmod(kind, F.lit(5))]).otherwise(false[kind])
+    after = pick(["\"", "", " and more", "'", "\"\nnext line", " the"], "z")
+    texts = spark.range(n).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.when(yes, named).otherwise(plain[kind]), value, after).alias("text"),
         F.when(yes, pick(["src/app.py", "config/prod.env", "deploy.sh", "src1", "notes.txt", "tests/test_api.py"], "s")).otherwise(pick(["docs/readme.md", "tests/fixture.json", "src/app.py", "src2", "CHANGELOG", "notes.txt"], "s")).alias("path"),
-        F.when(yes, 1.0).otherwise(0.0).alias("label"),
     )
+    return candidates(texts, path_col="path").select("before", "candidate", "after", "path", F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.0).alias("label"))
 
 
 def tree_arrays(root) -> dict[str, list]:
@@ -143,7 +147,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("doc_id", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE, -1).alias("between"))
     rows = rows.select("doc_id", "path", "found", "between", F.posexplode("found").alias("k", "candidate"))
     return rows.select(
-        "doc_id", F.col("k").alias("ordinal"), "candidate", F.right(F.col("between")[F.col("k")], F.lit(CONTEXT)).alias("before"), F.left(F.col("between")[F.col("k") + 1], F.lit(CONTEXT)).alias("after"), "path"
+        "doc_id", F.col("k").alias("ordinal"), "candidate", F.right(F.concat(F.coalesce(F.get("found", F.col("k") - 1), F.lit("")), F.col("between")[F.col("k")]), F.lit(CONTEXT)).alias("before"), F.left(F.col("between")[F.col("k") + 1], F.lit(CONTEXT)).alias("after"), "path"
     )
 
 
