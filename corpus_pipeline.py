@@ -15,7 +15,7 @@ from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.language_id import annotate
 from tidewater.llm.ngram_join import similar_components
 from tidewater.llm.queries import code_digests, small_batches, table, vocabulary
-from tidewater.llm.shared import drop_ids, materialise
+from tidewater.llm.shared import ascii_lower, drop_ids, materialise, sized
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    found = exact_dedup(docs)
-    return drop_ids(docs, materialise(found.where("NOT kept AND NOT doc_id <=> keep_id").select("doc_id"), "dropped"))
+    """Of equal texts the row with the largest id stays; rows that repeat id and text leave one, and an id's other texts stay."""
+    rows = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)})
+    found = exact_dedup(docs).where("NOT kept")
+    gone = materialise(found.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__text"), F.expr("doc_id <=> keep_id").alias("__again")).distinct(), "dropped")
+    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__text"))
+    out = rows.join(sized(gone), same, "left_anti")
+    again = gone.where("__again")
+    if not again.isEmpty():  # rows that repeat id and text: one of them stays
+        out = out.unionByName(rows.join(sized(again), same, "left_semi").dropDuplicates(["__id", "__sha"]))
+    return out.select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

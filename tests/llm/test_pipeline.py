@@ -55,3 +55,11 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     rows = C.run(spark, SF)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 100
+
+
+def test_exact_stage_drops_rows_and_not_ids(spark):
+    rows = [(1, "r"), (1, "r"), (1, "R"), (None, "n"), (2, "N"), (None, "only"), (None, "only"), (5, "a"), (9, "a"), (5, "b"), (3, "one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = C.exact_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str) == sorted([(1, "r"), (2, "n"), (None, "only"), (9, "a"), (5, "b"), (3, "one")], key=str)
