@@ -57,3 +57,16 @@ def test_names_and_values_without_spaces(spark):
     assert all(r.assigned == 1 and r.said_for == 1 for r in S.describe(S.candidates(docs)).where(F.col("candidate").startswith(KEY[:30])).collect())
     assert {(r.doc_id, r.candidate) for r in S.find_secrets(docs).collect()} >= {(k, r.candidate) for k, r in found.items()}
     assert S.labelled_findings(spark, 300).where(F.col("candidate").contains("=") & ~F.col("candidate").rlike("[^=]={1,2}$")).count() == 0
+
+
+def test_what_is_assigned_to_a_password_like_name(spark):
+    long = KEY * 25
+    planted = {
+        'password = "Tr0ub4dor&3"': "Tr0ub4dor&3", "password=Tr0ub4dor&3": "Tr0ub4dor&3", 'password: "correcthorsebatterystaple"': "correcthorsebatterystaple", '{"db_password": "xK&vQ!zRw"}': "xK&vQ!zRw",
+        f"secret = '{long}'": long, f"token={long}": long, f"PWD={long}\n": long, "https://x.org/?token=qZ7!xV&user=1": "qZ7!xV",
+    }
+    docs = spark.createDataFrame([(k, t, "config/prod.env") for k, t in enumerate(planted)] + [(90, long, "x"), (91, "if password == other and the token is old", "x")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.candidate for r in S.candidates(docs).where("ordinal = 0").collect()}
+    assert got == dict(enumerate(planted.values())) | {90: long, 91: "other"}
+    kept = {(r.doc_id, r.candidate) for r in S.find_secrets(docs).collect()}
+    assert kept >= set(enumerate(planted.values())) and 91 not in {k for k, _ in kept}

@@ -19,6 +19,15 @@ from pyspark.sql import functions as F
 
 #: A run of 16 or more token characters with a digit among them; '=' belongs to it only as padding at its end.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+#: What is assigned to a password-like name, of any length: all between quotes, else up to white space, a quote, a tag or the
+#: next NAME= of a list, without punctuation at its end. Names end at most 64 characters after the word that makes them such.
+ASSIGNED = (
+    r"(?<=[=:]>?[ \t]{0,8}[\"'`]?)"  # a cheap look before the long one
+    r"(?<=(?i:passw|pwd|passphrase|passcode|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key)[A-Za-z0-9+/_-]{0,64}[\"'`]?[ \t]{0,8}[=:]{1,3}>?[ \t]{0,8}[\"'`]?)"
+    r"(?![=:>])(?:(?<=\")(?:[^\"\\\r\n]|\\.)++(?=\")|(?<=')(?:[^'\\\r\n]|\\.)++(?=')|(?<=`)(?:[^`\\\r\n]|\\.)++(?=`)"
+    r"|(?:(?![&,;|][A-Za-z0-9_.-]+=)[.,;:)\]}]*+[^\s\"'`<>.,;:)\]}])++)"
+)
+FOUND = f"{ASSIGNED}|{CANDIDATE}"
 #: Characters of context on either side.
 CONTEXT = 24
 
@@ -73,7 +82,7 @@ def describe(rows: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """``n`` findings by rule: half secrets (random keys that are assigned), half false positives of seven kinds.
+    """``n`` findings by rule: half secrets (random keys and passwords that are assigned), half false positives of eleven kinds.
 
     They are what ``candidates`` finds in the generated texts, so the forest learns from rows as a scan yields them.
     """
@@ -84,11 +93,18 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     uuid = F.concat_ws("-", r("u").substr(1, 8), r("u").substr(9, 4), r("u").substr(13, 4), r("u").substr(17, 4), r("u").substr(21, 12))
     slug = F.concat_ws("-", *[pick(DICTIONARY, f"w{k}") for k in range(4)], F.pmod("id", F.lit(90)).cast("string"))
     secret = F.array(r("h").substr(F.lit(1), size), r("h").substr(1, 40), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(r("a").substr(1, 16))), F.concat(pick(["ghp_", "sk-", "xoxb-", "glpat-"], "p"), F.substring(base64, 1, 32)))
+    # passwords: short ones with punctuation, ones without a digit, and very long ones
+    short = F.concat(F.substring(base64, 1, 4), pick(["&", "!", "#", "$", "%", "@"], "t"), F.substring(base64, 9, 5))
+    worded = F.concat(*[pick(DICTIONARY, f"v{k}") for k in range(4)])
+    secret = F.concat(secret, F.array(short, worded, F.substring(F.repeat(base64, 20), 1, 800)))
     named = F.concat(pick(["", "aws_", "my ", "the ", "prod-", "user "], "q"), pick(["token", "secret", "password", "api_key", "auth_token", "private_key", "access_key", "credential"], "n"), pick([" = \"", ": ", "=", "='", ": \"", " = "], "e"))
     false = F.array(r("c").substr(1, 40), r("m").substr(1, 32), uuid, slug, F.concat(pick(["your_", "EXAMPLE", "test_", "xxxx", "sample-"], "y"), r("x").substr(1, 4), F.lit("1234567890abcdefgh")), F.translate(r("d"), "abcdef", "012345").substr(F.lit(1), size), F.concat(F.lit("AKIAIOSFODNN7"), F.lit("EXAMPLE")))
-    plain = F.array(F.lit("commit "), F.lit("md5: "), F.lit("uuid "), F.lit("see /images/"), F.concat(pick(["token = \"", "api_key: "], "k"), F.lit("")), F.lit("order no. "), F.lit("aws_access_key = \""))
-    yes, kind = F.col("id") % 2 == 0, F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(7)).cast("int")
-    value = F.when(yes, secret[F.pmod(kind, F.lit(5))]).otherwise(false[kind])
+    # and what is assigned to such a name in prose, code and forms
+    said = pick(["required", "none", "null", "true", "changeme", "get_token(request)", "os.environ", "string", "${PASSWORD}", "the", "your_password"], "g")
+    false = F.concat(false, F.array(pick(DICTIONARY, "o"), said, said, F.substring(F.repeat(base64, 20), 1, 800)))
+    plain = F.array(F.lit("commit "), F.lit("md5: "), F.lit("uuid "), F.lit("see /images/"), F.concat(pick(["token = \"", "api_key: "], "k"), F.lit("")), F.lit("order no. "), F.lit("aws_access_key = \""), *[pick(["password: ", "token = ", "the secret: ", "password=\"", "api_key="], f"l{k}") for k in range(3)], F.lit("data:image/png;base64,"))
+    yes, kind = F.col("id") % 2 == 0, F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(11)).cast("int")
+    value = F.when(yes, secret[F.pmod(F.xxhash64("id", F.lit("of")), F.lit(8)).cast("int")]).otherwise(false[kind])
     after = pick(["\"", "", " and more", "'", "\"\nnext line", " the"], "z")
     texts = spark.range(n).select(
         F.col("id").alias("doc_id"),
@@ -143,8 +159,8 @@ def forest_score(described: DataFrame, forest: list[dict[str, list]], depth: int
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """``doc_id, ordinal, candidate, before, after, path``; ordinal counts the candidates of a text, from 0."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), path.alias("path")).where(F.col("t").rlike(CANDIDATE))
-    rows = rows.select("doc_id", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE, -1).alias("between"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), path.alias("path")).where(F.col("t").rlike(FOUND))
+    rows = rows.select("doc_id", "path", F.regexp_extract_all("t", F.lit(FOUND), F.lit(0)).alias("found"), F.split("t", FOUND, -1).alias("between"))
     rows = rows.select("doc_id", "path", "found", "between", F.posexplode("found").alias("k", "candidate"))
     return rows.select(
         "doc_id", F.col("k").alias("ordinal"), "candidate", F.right(F.concat(F.coalesce(F.get("found", F.col("k") - 1), F.lit("")), F.col("between")[F.col("k")]), F.lit(CONTEXT)).alias("before"), F.left(F.col("between")[F.col("k") + 1], F.lit(CONTEXT)).alias("after"), "path"
