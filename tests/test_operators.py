@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -66,12 +67,13 @@ def test_bm25_keeps_chunks_without_a_hit(spark):
     assert len(got) == n
 
 
-def test_dense_refuses_unbounded_probes(spark):
-    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "vec_id int, embedding array<float>")
+def test_dense_takes_probes_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "vec_id int, embedding array<float>")
     probes = v.select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("probe"))
-    assert dense_topk(probes, v, 2).count() == 8
-    with pytest.raises(ValueError):
-        dense_topk(probes, v, 2, max_probes=3)
+    want = sorted(map(tuple, dense_topk(probes, v, 3).collect()))
+    assert len(want) == 120
+    for block in (1, 7, 40):
+        assert sorted(map(tuple, dense_topk(probes, v, 3, block).collect())) == want
 
 
 def test_numpy_bootstrap(spark):
@@ -90,15 +92,36 @@ def test_numpy_bootstrap(spark):
     assert got.estimate == pytest.approx(sum(r[3] for r in rows) / 20)
 
 
-def test_stream_fold_is_the_batch_fold(spark):
-    from tidewater.plans.events import event_fold_streaming, parts
-
-    sf = "/root/testdata/sf0.001"
-    batch = {r.request_id: (r.text, r.finish, r.prompt, r.output, r.total) for r in E.fold(parts(spark, sf)).collect()}
-    stream = [r for r in event_fold_streaming(spark, sf).collect() if r.finish is not None]
-    finished = {k for k, v in batch.items() if v[1] is not None}
-    assert {r.request_id for r in stream} == finished
-    assert all((r.text, r.finish, r.prompt, r.output, r.total) == batch[r.request_id] for r in stream)
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_stream_fold_is_the_batch_fold_in_any_order(spark, tmp_path, seed):
+    """Events of 12 requests, in order or permuted, an event or several a micro-batch."""
+    import datetime
+
+    from tidewater.plans.events import parts
+
+    rng = random.Random(seed)
+    rows = [r for r in parts(spark, "/root/testdata/sf0.001").withColumn("ts", F.col("ts").cast("timestamp")).collect() if r.request_id % 1009 < 12]
+    schema = "request_id long, seq long, ts timestamp, text string, thought boolean, finish string, prompt long, output long, total long, candidates int"
+    batch = {r.request_id: (r.text, r.finish, r.prompt, r.output, r.total, r.n_events) for r in E.fold(spark.createDataFrame(rows, schema)).collect()}
+    if seed is not None:
+        rng.shuffle(rows)
+    else:
+        rows.sort(key=lambda r: (r.request_id, r.seq))
+    files = [rows[k::6] for k in range(6)]
+    last = max(r.ts for r in rows)
+    files.append([(None, 1, last + datetime.timedelta(days=400), *[None] * 7)])
+    for k, part in enumerate(files):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        os.utime(next((tmp_path / "in" / str(k)).glob("part-*.parquet")), (1e9 + k, 1e9 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = E.fold_stream(stream, "1000 days").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck")
+    out.trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.schema(E.OUTPUT).parquet(f"{tmp_path}/out").count() == 0  # within the delay nothing is settled
+    spark.createDataFrame([(None, 2, last + datetime.timedelta(days=1500), *[None] * 7)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(E.OUTPUT).parquet(f"{tmp_path}/out").where("request_id IS NOT NULL").collect()
+    assert len(got) == len(batch)
+    assert {r.request_id: (r.text, r.finish, r.prompt, r.output, r.total, r.n_events) for r in got} == batch
 
 
 def test_costs_and_labels(spark):

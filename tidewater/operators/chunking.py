@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.tokens import decode, pieces
@@ -10,17 +10,24 @@ from tidewater.functions.tokens import decode, pieces
 SIZE, OVERLAP = 64, 16
 
 
-def chunk_grid(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, chunk_ord, token_start, token_end, chunk_text``: no shuffle; an empty text has no chunk, the last window ends with the text."""
+def chunk_array(parts: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Of a text's pieces, which should not be empty, the array of its windows; the last one ends with the text."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be under size")
-    step = size - overlap
-    rows = docs.select(F.col(id_col), pieces(F.col(text_col)).alias("p")).withColumn("n", F.size("p")).where("n > 0")
-    last = F.greatest(F.ceil((F.col("n") - size) / step), F.lit(0)).cast("int")
-    rows = rows.select(id_col, "p", "n", F.explode(F.sequence(F.lit(0), last)).alias("chunk_ord"))
-    start = F.col("chunk_ord") * step
-    end = F.least(start + size, F.col("n"))
-    return rows.select(id_col, "chunk_ord", start.alias("token_start"), end.alias("token_end"), decode(F.slice("p", start + 1, end - start)).alias("chunk_text"))
+    step, n = size - overlap, F.size(parts)
+    last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
+
+    def window(k: Column) -> Column:
+        start, end = k * step, F.least(k * step + size, n)
+        return F.struct(k.alias("chunk_ord"), start.alias("token_start"), end.alias("token_end"), decode(F.slice(parts, start + 1, end - start)).alias("chunk_text"))
+
+    return F.transform(F.sequence(F.lit(0), last), window)
+
+
+def chunk_grid(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, chunk_ord, token_start, token_end, chunk_text``: no shuffle; an empty text has no chunk."""
+    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col), pieces(F.col(text_col)).alias("p"))
+    return rows.select(id_col, F.inline(chunk_array(F.col("p"), size, overlap)))
 
 
 def chunk_ids(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -60,10 +60,13 @@ def route(method: Column, complete: Column, whole_chunks: Column, redecodes: Col
     )
 
 
-def planted(docs: DataFrame, at: float = 1 / 3, length: int = 12) -> DataFrame:
-    """Evidence with known truth: ``length`` pieces from a fixed share of each text, with token and character spans."""
-    p = pieces(F.col("text"))
-    rows = docs.select("doc_id", "lang", p.alias("p")).withColumn("token_start", F.floor(F.size("p") * at).cast("int")).withColumn("token_end", F.least(F.col("token_start") + length, F.size("p")))
+def planted(docs: DataFrame, at: float = 1 / 3, length: int = 12, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence with known truth: ``length`` pieces from a fixed share of each text, with token and character spans.
+
+    ``keep`` may name ``p``, the text's pieces.
+    """
+    rows = docs.where(F.length("text") > 0).select("doc_id", "lang", pieces(F.col("text")).alias("p"))
+    rows = rows.withColumn("token_start", F.floor(F.size("p") * at).cast("int")).withColumn("token_end", F.least(F.col("token_start") + length, F.size("p")))
     before = F.array_join(F.slice("p", F.lit(1), F.col("token_start")), "")
     gold = F.array_join(F.slice("p", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")), "")
-    return rows.where("token_end > token_start").select("doc_id", "lang", "token_start", "token_end", F.length(before).alias("char_start"), (F.length(before) + F.length(gold)).alias("char_end"), gold.alias("gold"))
+    return rows.select("doc_id", "lang", "token_start", "token_end", F.length(before).alias("char_start"), (F.length(before) + F.length(gold)).alias("char_end"), gold.alias("gold"), *keep)

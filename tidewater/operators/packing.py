@@ -40,30 +40,37 @@ def union_costs(ranked_chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds ``union_tokens`` and ``union_spans``: size and number of spans of the union of a chunk and all that rank before it.
 
     The token line is cut into elementary cells, each with the best rank that covers it. On a grid whose overlap is at most
-    its step a cell is covered by one chunk or by two neighbours, so cells come from a window over neighbours, and running
-    sums over ranks give both costs. No chunk is compared with more than its neighbours.
+    its step a cell is covered by one chunk or by two neighbours, so cells come from a window over neighbours. What a cell adds
+    to the union stands beside the ranked rows themselves, and a running sum over ranks gives both costs: the ranking is read once
+    and dealt out once, and no chunk is compared with more than its neighbours.
     """
     line = Window.partitionBy(key).orderBy("token_start")
-    rows = ranked_chunks.withColumn("before_end", F.lag("token_end").over(line)).withColumn("before_rank", F.lag("rank").over(line)).withColumn("next_start", F.lead("token_start").over(line))
+    names = ranked_chunks.columns
+    rows = ranked_chunks.select(key, F.struct(*names).alias("own"), "token_start", "token_end", "rank")
+    rows = rows.withColumns({"before_end": F.lag("token_end").over(line), "before_rank": F.lag("rank").over(line), "next_start": F.lead("token_start").over(line)})
     shared_to = F.greatest(F.least(F.coalesce("before_end", "token_start"), F.col("token_end")), F.col("token_start"))
     own_to = F.greatest(F.coalesce(F.least("next_start", "token_end"), F.col("token_end")), shared_to)
-    cells = rows.select(
-        key,
-        F.explode(
-            F.array(
-                F.struct(F.col("token_start").alias("s"), shared_to.alias("e"), F.least("rank", "before_rank").alias("m")),
-                F.struct(shared_to.alias("s"), own_to.alias("e"), F.col("rank").alias("m")),
-            )
-        ).alias("c"),
-    ).select(key, "c.*").where("e > s")
-    walk = Window.partitionBy(key).orderBy("s")
-    cells = cells.withColumn("left", F.when(F.lag("e").over(walk) == F.col("s"), F.lag("m").over(walk)))
+    nothing = F.lit(None)
+    cell = lambda s, e, m, own: F.struct(s.alias("s"), e.alias("e"), m.alias("m"), own.alias("own"))
+    no_chunk = F.when(F.lit(False), F.col("own"))
+    cells = F.array(
+        cell(F.col("token_start"), shared_to, F.least("rank", "before_rank"), no_chunk),
+        cell(shared_to, own_to, F.col("rank"), no_chunk),
+        cell(F.col("token_end"), nothing.cast("int"), F.col("rank"), F.col("own")),  # the chunk itself, which is no cell
+    )
+    cells = rows.select(key, F.explode(cells).alias("c")).select(key, "c.*").where("e > s OR own IS NOT NULL")
+    walk = Window.partitionBy(key).orderBy("s", F.col("e").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("own").isNull(), F.struct("e", "m")), ignorenulls=True).over(walk)
+    cells = cells.withColumn("last", last).withColumn("left", F.when(F.col("last.e") == F.col("s"), F.col("last.m")))
     opens = F.coalesce(F.col("m") < F.col("left"), F.lit(True))
-    changes = F.filter(F.array(F.struct(F.col("m").alias("rank"), (F.col("e") - F.col("s")).alias("dt"), F.when(opens, 1).otherwise(0).alias("ds")), F.struct(F.when(opens, F.col("left")).alias("rank"), F.lit(0).alias("dt"), F.lit(-1).alias("ds"))), lambda x: x["rank"].isNotNull())
-    deltas = cells.select(key, F.explode(changes).alias("x")).select(key, "x.*").groupBy(key, "rank").agg(F.sum("dt").alias("dt"), F.sum("ds").alias("ds"))
-    rows = ranked_chunks.join(deltas, [key, "rank"], "left")
-    running = Window.partitionBy(key).orderBy("rank").rowsBetween(*RUNNING)
-    return rows.withColumn("union_tokens", F.sum(F.coalesce("dt", F.lit(0))).over(running)).withColumn("union_spans", F.sum(F.coalesce("ds", F.lit(0))).over(running)).drop("dt", "ds")
+    change = lambda rank, dt, ds, own: F.struct(rank.alias("at"), dt.cast("int").alias("dt"), ds.cast("int").alias("ds"), own.alias("own"))
+    changes = F.when(F.col("own").isNotNull(), F.array(change(F.col("m"), F.lit(0), F.lit(0), F.col("own")))).otherwise(
+        F.filter(F.array(change(F.col("m"), F.col("e") - F.col("s"), opens, no_chunk), change(F.when(opens, F.col("left")), F.lit(0), F.lit(-1), no_chunk)), lambda x: x["at"].isNotNull())
+    )
+    rows = cells.select(key, F.explode(changes).alias("x")).select(key, "x.*")
+    running = Window.partitionBy(key).orderBy("at").rangeBetween(*RUNNING)
+    rows = rows.withColumn("union_tokens", F.sum("dt").over(running)).withColumn("union_spans", F.sum("ds").over(running))
+    return rows.where("own IS NOT NULL").select("own.*", "union_tokens", "union_spans")
 
 
 def pack_union(ranked_chunks: DataFrame, budgets: list[int], joiner_costs: bool = False, key: str = "doc_id") -> DataFrame:

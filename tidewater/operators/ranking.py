@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.tokens import lexemes
+from tidewater.operators.chunking import OVERLAP, SIZE, chunk_array
 
 #: The usual Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -14,26 +17,70 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 def bm25(chunks: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunk spans with ``score`` and ``rank`` of every chunk, for one question (doc_id, query) per context.
 
-    All statistics are per context. The join with the questions deals chunks out by context, and every window and
-    aggregation after it stays there: one pass over the texts, one shuffle. Chunks that share no term keep score 0.
+    For chunks that are rows of their own: one shuffle gathers a context's chunks in a row, where all the rest happens.
     """
     spans = [c for c in ("token_start", "token_end") if c in chunks.columns]
-    asked = questions.select(key, lexemes(F.col("query")).alias("asked"))
-    rows = chunks.select(key, "chunk_ord", *spans, lexemes(F.col("chunk_text")).alias("terms")).join(asked, key)
-    whole = Window.partitionBy(key)
-    rows = rows.withColumns({"dl": F.size("terms"), "n": F.count("*").over(whole), "avgdl": F.avg(F.size("terms")).over(whole)})
-    keep = [key, "chunk_ord", *spans, "n", "avgdl", "dl", "asked"]
-    tf = rows.select(*keep, F.explode_outer("terms").alias("term")).groupBy(*keep, "term").agg(F.count("term").alias("tf"))
-    tf = tf.withColumn("df", F.count("term").over(Window.partitionBy(key, "term")))
-    tf = tf.withColumn("raw", F.when(F.col("df") > 0, F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    # a term stands in df rows, so weights of 1 / df give the mean over the vocabulary
-    each = 1 / F.nullif(F.col("df"), F.lit(0))
-    tf = tf.withColumn("floor", EPSILON * F.sum(F.col("raw") * each).over(whole) / F.sum(each).over(whole))
-    idf = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
-    times = F.size("asked") - F.size(F.array_remove("asked", F.col("term")))
-    part = F.when(F.array_contains("asked", F.col("term")), times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    rows = tf.groupBy(key, "chunk_ord", *spans).agg(F.round(F.coalesce(F.sum(part), F.lit(0.0)), 6).alias("score"))
-    return ranked(rows, key)
+    row = F.struct("chunk_ord", *spans, lexemes(F.col("chunk_text")).alias("terms"))
+    rows = chunks.select(key, row.alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("chunks"))
+    return scored(rows.join(questions.select(key, lexemes(F.col("query")).alias("asked")), key), [key], spans)
+
+
+def bm25_texts(rows: DataFrame, query: Column, keep: list[str], text: bool = False, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """``bm25`` over the grid of each row's pieces ``p``, which should not be empty: without any shuffle, and texts are cut once.
+
+    Columns ``keep`` are carried along, and with ``text`` each chunk's text.
+    """
+    rows = rows.select(*keep, lexemes(query).alias("asked"), chunk_array(F.col("p"), size, overlap).alias("cut"))
+    # a chunk's text leaves the row only where it is asked for
+    fields = ["chunk_ord", "token_start", "token_end", *["chunk_text"] * text]
+    each = F.transform("cut", lambda c: F.struct(*(c[f].alias(f) for f in fields), lexemes(c["chunk_text"]).alias("terms")))
+    return scored(rows.select(*keep, "asked", each.alias("chunks")), keep, fields[1:])
+
+
+def scored(rows: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
+    """Scores and ranks the array ``chunks`` (chunk_ord, fields, terms) for the terms ``asked``, and gives a row per chunk.
+
+    Statistics are those of the row's own chunks. Of the vocabulary only the sum of its weights is needed, which a walk over its sorted
+    terms gives; only terms that are asked for are looked at in each chunk. Chunks that share no term keep score 0.
+    """
+    n, total = F.size("chunks"), F.aggregate("chunks", F.lit(0), lambda acc, c: acc + F.size(c["terms"]))
+    raw = lambda df: F.log(F.col("n") - df + 0.5) - F.log(df + 0.5)
+    rows = rows.select(
+        *keep, "asked", "chunks", n.alias("n"), (total / n).alias("avgdl"), F.array_distinct("asked").alias("words"),
+        F.sort_array(F.flatten(F.transform("chunks", lambda c: F.array_distinct(c["terms"])))).alias("sorted"),
+    )
+    start = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("df"), F.lit(0.0).alias("sum"), F.lit(0).alias("size"))
+
+    def walk(acc: Column, term: Column) -> Column:
+        same = acc["term"].eqNullSafe(term)
+        passed = F.when(same | (acc["df"] == 0), acc["sum"]).otherwise(acc["sum"] + raw(acc["df"]))
+        return F.struct(term.alias("term"), F.when(same, acc["df"] + 1).otherwise(1).alias("df"), passed.alias("sum"), F.when(same, acc["size"]).otherwise(acc["size"] + 1).alias("size"))
+
+    vocabulary = F.aggregate("sorted", start, walk)
+    held = F.transform("chunks", lambda c: F.array_intersect(c["terms"], F.col("words")))
+    rows = rows.select(*keep, "asked", "chunks", "n", "avgdl", "words", vocabulary.alias("v"), held.alias("held"))
+    floor = F.when(F.col("v.size") > 0, EPSILON * (F.col("v.sum") + raw(F.col("v.df"))) / F.col("v.size"))
+    rows = rows.withColumn("floor", floor)
+
+    def weight(term: Column) -> Column:
+        idf = raw(F.size(F.filter("held", lambda h: F.array_contains(h, term))))
+        times = F.size("asked") - F.size(F.array_remove("asked", term))
+        return times * F.when(idf < 0, F.col("floor")).otherwise(idf)
+
+    rows = rows.withColumn("weights", F.map_from_arrays("words", F.transform("words", weight)))
+
+    def score(c: Column, k: Column) -> Column:
+        dl = F.size(c["terms"])
+
+        def add(acc: Column, term: Column) -> Column:
+            tf = dl - F.size(F.array_remove(c["terms"], term))
+            return acc + F.col("weights")[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+        return F.round(F.aggregate(F.get("held", k), F.lit(0.0), add), 6)
+
+    order = F.sort_array(F.transform("chunks", lambda c, k: F.struct((-score(c, k)).alias("minus"), c["chunk_ord"].alias("chunk_ord"), *(c[f].alias(f) for f in fields))))
+    rows = rows.select(*keep, F.posexplode(order).alias("place", "c"))
+    return rows.select(*keep, "c.chunk_ord", *(f"c.{f}" for f in fields), (0.0 - F.col("c.minus")).alias("score"), (F.col("place") + 1).alias("rank"))
 
 
 def ranked(rows: DataFrame, key: str = "doc_id", score: str = "score", tie: str = "chunk_ord") -> DataFrame:
@@ -45,16 +92,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dense_topk(probes: DataFrame, corpus: DataFrame, k: int, max_probes: int = 10_000) -> DataFrame:
+def dense_topk(probes: DataFrame, corpus: DataFrame, k: int, block: int = 10_000) -> DataFrame:
     """``probe_id, vec_id, score, rank``: the k nearest of a stated probe set, against all vectors.
 
-    Probes are a bounded query set and are broadcast, so that the corpus is read in place; k rows of each probe leave a task.
+    Probes are a query set. They are dealt by id into blocks of about ``block``, and each block is broadcast, so that the corpus
+    is read in place, once a block; k rows of each probe leave a task.
     """
-    if probes.count() > max_probes:
-        raise ValueError("probes are a stated query set; take them in blocks")
-    pairs = corpus.join(F.broadcast(probes), F.col("vec_id") != F.col("probe_id"))
-    rows = pairs.select("probe_id", "vec_id", F.round(dot(F.col("probe"), F.col("embedding")), 5).alias("score"))
-    return ranked(rows, "probe_id", "score", "vec_id").where(F.col("rank") <= k)
+    blocks = max(1, -(-probes.count() // block))
+
+    def nearest(own: DataFrame) -> DataFrame:
+        pairs = corpus.join(F.broadcast(own), F.col("vec_id") != F.col("probe_id"))
+        rows = pairs.select("probe_id", "vec_id", F.round(dot(F.col("probe"), F.col("embedding")), 5).alias("score"))
+        return ranked(rows, "probe_id", "score", "vec_id").where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return nearest(probes)
+    own = F.pmod(F.xxhash64("probe_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (nearest(probes.where(own == i)) for i in range(blocks)))
 
 
 def rerank(candidates: DataFrame, second: Column, key: str = "probe_id") -> DataFrame:

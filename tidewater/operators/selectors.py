@@ -11,37 +11,41 @@ from tidewater.functions.text import sentences
 from tidewater.functions.tokens import count, decode, head, pieces, tail
 
 
-def full_context(text: Column, budget: Column) -> Column:
+def full_context(text: Column, parts: Column, budget: Column) -> Column:
     return text
 
 
-def empty_context(text: Column, budget: Column) -> Column:
+def empty_context(text: Column, parts: Column, budget: Column) -> Column:
     return F.lit("")
 
 
-def first_pieces(text: Column, budget: Column) -> Column:
-    return decode(head(pieces(text), budget))
+def first_pieces(text: Column, parts: Column, budget: Column) -> Column:
+    return decode(head(parts, budget))
 
 
-def last_pieces(text: Column, budget: Column) -> Column:
-    return decode(tail(pieces(text), budget))
+def last_pieces(text: Column, parts: Column, budget: Column) -> Column:
+    return decode(tail(parts, budget))
 
 
-def both_ends(text: Column, budget: Column) -> Column:
+def both_ends(text: Column, parts: Column, budget: Column) -> Column:
     """Half of the budget, rounded down, from the front, the rest from the end, without a separator; a text that fits is whole."""
-    parts, front = pieces(text), F.floor(budget / 2).cast("int")
+    front = F.floor(budget / 2).cast("int")
     return F.when(F.size(parts) <= budget, text).otherwise(F.concat(decode(head(parts, front)), decode(tail(parts, budget - front))))
 
 
-#: Selectors that are columns of the text alone.
-SELECTORS: dict[str, Callable[[Column, Column], Column]] = {"full_context": full_context, "empty_context": empty_context, "head": first_pieces, "tail": last_pieces, "head_tail": both_ends}
+#: Selectors that are columns of the text and its pieces alone.
+SELECTORS: dict[str, Callable[[Column, Column, Column], Column]] = {"full_context": full_context, "empty_context": empty_context, "head": first_pieces, "tail": last_pieces, "head_tail": both_ends}
 
 
 def select_all(docs: DataFrame, methods: list[str], budgets: list[int]) -> DataFrame:
-    """``doc_id, method, budget, source_tokens, filtered_text``: a row per text, method and budget that the text exceeds; no shuffle."""
-    rows = docs.withColumn("source_tokens", count(F.col("text"))).withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).where("source_tokens > budget")
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), SELECTORS[m](F.col("text"), F.col("budget")).alias("filtered_text")) for m in methods))).alias("x")
-    return rows.select("doc_id", "budget", "source_tokens", each).select("doc_id", "x.method", "budget", "source_tokens", "x.filtered_text")
+    """``doc_id, method, budget, source_tokens, filtered_text``: a row per text, method and budget that the text exceeds.
+
+    No shuffle; a text is cut once, for all methods and budgets.
+    """
+    cells = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(b).alias("budget"), SELECTORS[m](F.col("text"), F.col("p"), F.lit(b)).alias("filtered_text")) for m in methods for b in budgets))
+    rows = docs.select("doc_id", "text", pieces(F.col("text")).alias("p"))
+    rows = rows.select("doc_id", F.size("p").alias("source_tokens"), F.inline(cells))
+    return rows.where("source_tokens > budget").select("doc_id", "method", "budget", "source_tokens", "filtered_text")
 
 
 def keep_best_pieces(docs: DataFrame, budget: int) -> DataFrame:

@@ -6,34 +6,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import spans, tokens
+from tidewater.operators.layout import spread
 from tidewater.operators.chunking import chunk_grid, chunk_ids
 from tidewater.operators.packing import pack_concat, pack_skip, pack_union, render, union_costs
-from tidewater.operators.ranking import bm25, dense_topk, dot, rerank
+from tidewater.operators.ranking import bm25_texts, dense_topk, rerank
 from tidewater.operators.selectors import keep_best_pieces, prune_sentences, select_all
 from tidewater.plans.registry import BM25, BUDGET_ROWS, BUDGETS, CHUNKS, TOK, query, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def digest(name: str) -> F.Column:
     return F.sha2(F.col(name).cast("binary"), 256)
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's question: the benchmark items in turn. The items are counted and few; Spark picks the join by their size."""
-    items = table(spark, sf_dir, "benchmark")
-    n = items.count()
-    docs = documents(spark, sf_dir).select("doc_id", F.pmod("doc_id", F.lit(n)).alias("item_id"))
-    return docs.join(items, "item_id").select("doc_id", F.col("text").alias("query"))
-
-
 def ranking(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
-    """Chunks with their BM25 scores and ranks; their texts are joined back only where they are asked for."""
-    chunks = chunk_grid(documents(spark, sf_dir))
-    scores = bm25(chunks, questions(spark, sf_dir))
-    return scores.join(chunks.select("doc_id", "chunk_ord", "chunk_text"), ["doc_id", "chunk_ord"]) if text else scores
+    """Chunks with their BM25 scores and ranks, and their texts where they are asked for.
+
+    A document's question is a benchmark item, in turn. The items are counted and few; Spark picks the join by their size.
+    """
+    items = table(spark, sf_dir, "benchmark")
+    asked = F.pmod("doc_id", F.lit(items.count())).alias("item_id")
+    docs = documents(spark, sf_dir).where(F.length("text") > 0).select("doc_id", "text", asked)
+    docs = docs.join(items.select("item_id", F.col("text").alias("query")), "item_id")
+    return bm25_texts(docs.select("doc_id", "query", tokens.pieces(F.col("text")).alias("p")), F.col("query"), ["doc_id"], text)
 
 
 @query("tok_piece_counts", f"WITH {TOK} SELECT doc_id, len(p) AS n_pieces, length(text) AS n_chars, strlen(text) AS n_bytes FROM tok")
@@ -250,9 +248,18 @@ def pack_validate(spark, sf_dir):
     return rows.select("doc_id", "budget", F.size("spans").cast("long").alias("n_spans"), spans.length(F.col("spans")).cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
-@query("pack_skip")
+@query(
+    "pack_skip",
+    f"""WITH RECURSIVE {BM25}, pack AS (
+      SELECT doc_id, 0::BIGINT AS step, 0::BIGINT AS used, CAST([] AS INTEGER[]) AS kept FROM (SELECT DISTINCT doc_id FROM ranked)
+      UNION ALL
+      SELECT p.doc_id, p.step + 1, CASE WHEN p.used + r.token_end - r.token_start <= 128 THEN p.used + r.token_end - r.token_start ELSE p.used END,
+             CASE WHEN p.used + r.token_end - r.token_start <= 128 THEN list_append(p.kept, r.chunk_ord) ELSE p.kept END
+      FROM pack p JOIN ranked r ON r.doc_id = p.doc_id AND r.rank = p.step + 1
+    ) SELECT doc_id, max_by(used, step) AS used, list_sort(max_by(kept, step)) AS kept FROM pack GROUP BY doc_id""",
+)
 def pack_skip_query(spark, sf_dir):
-    """Greedy packing that goes on after a miss; SQL has no fold, so tests hold it against a loop."""
+    """Greedy packing that goes on after a miss."""
     return pack_skip(ranking(spark, sf_dir), 128)
 
 

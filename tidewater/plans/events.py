@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.layout import fresh_folder
 from tidewater.plans.registry import query, table
 from tidewater.streaming import events as E
 
@@ -55,18 +56,20 @@ def event_ttft(spark, sf_dir):
     return E.fold(parts(spark, sf_dir)).select("request_id", (micros("first_text") - micros("began")).alias("ttft_us"), (micros("ended") - micros("began")).alias("latency_us"), "n_events")
 
 
-@query("event_fold_streaming")
+@query("event_fold_streaming", f"WITH {FOLDED} SELECT request_id, text, finish, prompt, output, total, n_events FROM folded")
 def event_fold_streaming(spark, sf_dir):
-    """The fold as a stateful stream over a written copy of the parts, run until what is there is done. Tests compare it with the batch."""
-    import uuid
+    """The fold as a stateful stream over a written copy of the parts, run until what is there is done.
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewater-stream"
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    An event without a request ends the copy, ten days after the others, so that the watermark passes them all.
+    """
+    base = fresh_folder(spark, "stream")
     rows = parts(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.write.parquet(f"{base}/parts")
+    end = rows.agg(F.max("ts").alias("ts")).select(*(F.expr("ts + INTERVAL 10 DAYS").alias("ts") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    rows.unionByName(end).write.parquet(f"{base}/parts")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/parts")
-    E.fold_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(E.OUTPUT).parquet(f"{base}/out")
+    out = E.fold_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(E.OUTPUT).parquet(f"{base}/out").where("request_id IS NOT NULL")
 
 
 @query(

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import spans
 from tidewater.functions.text import fold, value_match
-from tidewater.operators.chunking import chunk_grid
-from tidewater.operators.evidence import planted, recall, route, session_recall, set_metrics, span_hits, verbatim_hits
+from tidewater.operators.evidence import planted, recall, route, session_recall, set_metrics, verbatim_hits
 from tidewater.operators.packing import pack_concat
-from tidewater.operators.ranking import bm25
+from tidewater.operators.ranking import bm25_texts
 from tidewater.operators.selectors import select_all
 from tidewater.plans.context import documents
 from tidewater.plans.registry import BM25, BUDGET_ROWS, BUDGETS, TOK, query, table
@@ -68,14 +67,18 @@ PACKED_FACTS = BM25.replace("questions AS (\n  SELECT d.doc_id, b.text AS query
 )"""
 
 
+def packed_facts(spark, sf_dir):
+    """What BM25 packs of each text with its planted passage as question. The passage's place is carried along, so no text is read twice."""
+    facts = planted(documents(spark, sf_dir), keep=("p",)).select("doc_id", F.struct("lang", "token_start", "token_end").alias("fact"), "gold", "p")
+    return pack_concat(bm25_texts(facts, F.col("gold"), ["doc_id", "fact"]), BUDGETS)
+
+
 def packed_hits(spark, sf_dir):
     """The planted passage as question: is it in what BM25 packs?"""
-    docs = documents(spark, sf_dir)
-    facts, chunks = planted(docs), chunk_grid(docs)
-    scores = bm25(chunks, facts.select("doc_id", F.col("gold").alias("query")))
-    packed = pack_concat(scores, BUDGETS)
-    merged = spans.merge_rows(packed.select("doc_id", "budget", F.col("token_start").alias("s"), F.col("token_end").alias("e")), ["doc_id", "budget"])
-    return span_hits(merged, facts, ["doc_id"])
+    packed = packed_facts(spark, sf_dir)
+    merged = spans.merge_rows(packed.select("doc_id", "fact", "budget", F.col("token_start").alias("s"), F.col("token_end").alias("e")), ["doc_id", "fact", "budget"])
+    covered = (F.col("s") <= F.col("fact.token_start")) & (F.col("e") >= F.col("fact.token_end"))
+    return merged.groupBy("doc_id", "fact", "budget").agg(F.bool_or(covered).alias("hit")).select("doc_id", "budget", "hit", "fact.lang")
 
 
 @query("evidence_span_recall", f"WITH {PACKED_FACTS} SELECT doc_id, CAST(budget AS INTEGER) AS budget, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fraction_retained, hit AS all_retained, 1::BIGINT AS n_support FROM found")
@@ -93,12 +96,8 @@ def evidence_by_method_budget(spark, sf_dir):
     f"WITH {PACKED_FACTS} SELECT doc_id, CAST(budget AS INTEGER) AS budget, hit AS covered FROM found",
 )
 def span_covers(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    facts, chunks = planted(docs), chunk_grid(docs)
-    scores = bm25(chunks, facts.select("doc_id", F.col("gold").alias("query")))
-    packed = pack_concat(scores, BUDGETS)
-    lists = packed.groupBy("doc_id", "budget").agg(spans.merge_array(F.collect_list(F.struct(F.col("token_start").alias("s"), F.col("token_end").alias("e")))).alias("m"))
-    return lists.join(facts, "doc_id").select("doc_id", "budget", spans.covers(F.col("m"), F.col("token_start"), F.col("token_end")).alias("covered"))
+    lists = packed_facts(spark, sf_dir).groupBy("doc_id", "fact", "budget").agg(spans.merge_array(F.collect_list(F.struct(F.col("token_start").alias("s"), F.col("token_end").alias("e")))).alias("m"))
+    return lists.select("doc_id", "budget", spans.covers(F.col("m"), F.col("fact.token_start"), F.col("fact.token_end")).alias("covered"))
 
 
 #: A session is a pair of turns; the annotated turns are the user's longest in each session; a selection keeps the last turns.

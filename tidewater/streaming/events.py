@@ -7,6 +7,7 @@ incomplete and goes to the side.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,29 +44,38 @@ def fold(events: DataFrame) -> DataFrame:
     return rows.withColumns({"complete": ~lacking, "recovered": recovered}).drop("tail")
 
 
-STATE = "text string, seq long, finish string, prompt long, output long, total long, n long"
+STATE = "held string"
 OUTPUT = "request_id long, text string, finish string, prompt long, output long, total long, n_events long"
+FIELDS = ("finish", "prompt", "output", "total")
 
 
 def fold_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The same fold over a stream: a request is given out when it has finished, or when its watermark passes; state is one answer per open request."""
+    """The same fold over a stream, in whatever order and however many micro-batches its events come.
+
+    A request is given out once, when the watermark has passed its last event: until then events can come in between. Parts are
+    held with their sequence number, and of each field the value with the largest one; state is one answer per open request.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else ["", -1, None, None, None, None, 0]
+        held = json.loads(state.get[0]) if state.exists else {"parts": [], "fields": {}, "n": 0, "last": 0}
         if not state.hasTimedOut:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for r in rows.itertuples(index=False):
-                if isinstance(r.text, str) and not (r.thought is True or r.thought == 1.0):
-                    held[0] += r.text
-                for k, v in enumerate((r.finish, r.prompt, r.output, r.total), 2):
-                    held[k] = held[k] if pd.isna(v) else v if k == 2 else int(v)
-                held[6] += 1
-            if held[2] is None:
-                state.update(tuple(held))
-                state.setTimeoutTimestamp(int(rows.ts.max().timestamp() * 1000) + 3_600_000)
-                return
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    if isinstance(r.text, str) and not (r.thought is True or r.thought == 1.0):
+                        held["parts"].append((int(r.seq), r.text))
+                    for name in FIELDS:
+                        value = getattr(r, name)
+                        if not pd.isna(value) and int(r.seq) >= held["fields"].get(name, (-1, None))[0]:
+                            held["fields"][name] = (int(r.seq), value if isinstance(value, str) else int(value))
+                    held["n"] += 1
+                    held["last"] = max(held["last"], int(r.ts.timestamp() * 1000))
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(held["last"], state.getCurrentWatermarkMs()) + 1)
+            return
         state.remove()
-        yield pd.DataFrame([[key[0], held[0], held[2], held[3], held[4], held[5], held[6]]], columns=["request_id", "text", "finish", "prompt", "output", "total", "n_events"])
+        text = "".join(t for _, t in sorted(held["parts"]))
+        fields = [held["fields"].get(name, (0, None))[1] for name in FIELDS]
+        yield pd.DataFrame([[key[0], text, *fields, held["n"]]], columns=["request_id", "text", *FIELDS, "n_events"])
 
     return events.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
