@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODEL_PRICES = "model string, input_rate double, output_rate double, long_threshold long, input_rate_long double, output_rate_long double"
+MODEL_PRICES = "model string, input_rate double, output_rate double, long_threshold long, input_rate_long double, output_rate_long double, thinking_rate double"
+
+
+def read_prices(path: str) -> tuple[list[tuple], dict[str, float]]:
+    """Rows of ``MODEL_PRICES`` and the hourly rates of machines, from a versioned price file (JSON, dollars per million tokens)."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    names = ("input_per_1m", "output_per_1m", "long_context_threshold", "input_per_1m_long", "output_per_1m_long", "thinking_per_1m")
+    return [(model, *(None if n not in row else int(row[n]) if n == "long_context_threshold" else float(row[n]) for n in names)) for model, row in data["models"].items()], data["gpu_hourly"]
 
 
 def model_prices(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, MODEL_PRICES)
 
 
-def api_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Adds ``cost`` in dollars to calls (model, input_tokens, output_tokens, thought_tokens). Past its threshold all of a call is at the long rate."""
-    rows = calls.join(F.broadcast(prices), "model", "left")
+def api_cost(calls: DataFrame, prices: DataFrame, strict: bool = False) -> DataFrame:
+    """Adds ``cost`` in dollars to calls (model, input_tokens, output_tokens, thought_tokens).
+
+    Past its threshold all of a call is at the long rate. Thoughts cost the thinking rate, and where none is stated that of output. A
+    model without a price costs null, or with ``strict`` raises. Prices are a file's rows; Spark picks the join by their size.
+    """
+    rows = calls.join(prices.withColumn("priced", F.lit(True)), "model", "left")
     long = F.coalesce(F.col("input_tokens") > F.col("long_threshold"), F.lit(False))
     rate = lambda k: F.when(long, F.col(f"{k}_rate_long")).otherwise(F.col(f"{k}_rate"))
-    cost = (F.col("input_tokens") * rate("input") + (F.col("output_tokens") + F.coalesce("thought_tokens", F.lit(0))) * rate("output")) / 1e6
-    return rows.select(*calls.columns, F.round(cost, 8).alias("cost"))
+    thinking = F.coalesce("thinking_rate", rate("output"))
+    cost = F.round((F.col("input_tokens") * rate("input") + F.col("output_tokens") * rate("output") + F.coalesce("thought_tokens", F.lit(0)) * thinking) / 1e6, 8)
+    if strict:
+        cost = F.when(F.col("priced"), cost).otherwise(F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("double"))
+    return rows.select(*calls.columns, cost.alias("cost"))
 
 
 def gpu_cost(kind: Column, seconds: Column, hourly: dict[str, float]) -> Column:

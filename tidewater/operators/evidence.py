@@ -60,6 +60,20 @@ def route(method: Column, complete: Column, whole_chunks: Column, redecodes: Col
     )
 
 
+def annotation_status() -> Column:
+    """Of an annotation (review, reviewer, source_sha256, context, char_start, char_end, quoted): ok, or the first thing that is wrong."""
+    own = F.sha2(F.col("context").cast("binary"), 256)
+    found = F.substring(F.col("context"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return (
+        F.when(~F.col("review").eqNullSafe(F.lit("reviewed")), "not_reviewed")
+        .when(F.coalesce("reviewer", F.lit("")) == "", "no_reviewer")
+        .when(~F.col("source_sha256").eqNullSafe(own), "source_changed")
+        .when(F.coalesce("quoted", F.lit("")) == "", "no_support")
+        .when(found != F.col("quoted"), "span_mismatch")
+        .otherwise("ok")
+    )
+
+
 def planted(docs: DataFrame, at: float = 1 / 3, length: int = 12, keep: tuple[str, ...] = ()) -> DataFrame:
     """Evidence with known truth: ``length`` pieces from a fixed share of each text, with token and character spans.
 

@@ -115,3 +115,13 @@ def rerank(candidates: DataFrame, second: Column, key: str = "probe_id") -> Data
     """Candidates in the order of a second score; equal ones keep the order they had. Nothing else is added."""
     rows = candidates.withColumn("second_score", F.round(second, 6))
     return rows.withColumn("second_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("second_score"), "rank")))
+
+
+def candidates_needed(candidates: int, budget: int, size: int) -> int:
+    """How many to rescore: as many as are asked for, or as a budget could hold of chunks of ``size`` and eight more."""
+    return max(candidates, -(-budget // size) + 8)
+
+
+def yes_share(yes: Column, no: Column) -> Column:
+    """Softmax of a yes and a no logit."""
+    return 1 / (1 + F.exp(no - yes))

@@ -76,6 +76,33 @@ def cluster_bootstrap(clusters: DataFrame, keys: list[str], draws: int = 2000, s
     return clusters.groupBy(*keys).applyInPandas(run, f"{types}, estimate double, lo double, hi double, n_clusters long")
 
 
+def paired_clusters(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``cluster, cluster_sum, cluster_n, complete`` of the differences left minus right on common examples.
+
+    Sides are (example_id, cluster, value, evaluable). A failure (null value) counts as 0; examples that either side can't evaluate
+    are left out; a pair whose clusters differ raises.
+    """
+    b = right.select("example_id", F.col("cluster").alias("cluster_b"), F.col("value").alias("value_b"), F.col("evaluable").alias("evaluable_b"))
+    rows = left.join(b, "example_id").where("evaluable AND evaluable_b")
+    same = F.when(F.col("cluster").eqNullSafe(F.col("cluster_b")), F.col("cluster")).otherwise(F.raise_error(F.lit("a pair has two clusters")).cast(left.schema["cluster"].dataType))
+    rows = rows.withColumn("cluster", same).withColumn("d", F.coalesce("value", F.lit(0.0)) - F.coalesce("value_b", F.lit(0.0)))
+    both = F.col("value").isNotNull() & F.col("value_b").isNotNull()
+    return rows.groupBy("cluster").agg(F.sum("d").alias("cluster_sum"), F.count("*").alias("cluster_n"), F.count_if(both).alias("complete"))
+
+
+def paired_interval(left: DataFrame, right: DataFrame, draws: int = 200) -> DataFrame:
+    """One row: the ratio of sums over clusters, its interval, and the counts of pairs. Under two clusters there is no interval and it raises."""
+    clusters = paired_clusters(left, right)
+    few = F.when(F.col("n_clusters") < 2, F.raise_error(F.lit("at least two independent clusters are required")).cast("double")).otherwise(F.col("estimate"))
+    one = portable_bootstrap(clusters.withColumn("k", F.lit(0)), draws, ["k"]).withColumn("estimate", few).drop("k")
+    counts = clusters.agg(F.sum("cluster_n").alias("n_paired"), F.sum("complete").alias("n_complete_pairs"))
+    sides = left.select("example_id", F.col("evaluable").alias("l")).join(right.select("example_id", F.col("evaluable").alias("r")), "example_id", "full_outer")
+    missing = sides.agg(
+        F.count_if(F.col("r").isNull()).alias("n_unpaired_left"), F.count_if(F.col("l").isNull()).alias("n_unpaired_right"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull() & ~(F.col("l") & F.col("r"))).alias("n_missing_annotations")
+    )
+    return one.join(counts).join(missing)  # a row each
+
+
 def round_robin(rows: DataFrame, group: str, digest: Column, n: int) -> DataFrame:
     """A stratified sample of n: one of each group in turn, groups by name, within a group by hash."""
     rows = rows.withColumn("turn_no", F.row_number().over(Window.partitionBy(group).orderBy(digest)))
