@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidewater.llm import ngram_join as N
+from tidewater.llm import part_enum as P
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -59,47 +60,73 @@ def test_components_against_all_pairs(spark, seed, monkeypatch):
     assert run(spark, rows) == want
     if seed == 1:  # every run is long, so that rounds and blocks have work; and nothing may be broadcast
         monkeypatch.setattr(N, "SHORT", 1)
-        monkeypatch.setattr(N, "ROUNDS", 1)
-        monkeypatch.setattr(N, "ROUND_LEAST", 0)
-        monkeypatch.setattr(N, "BLOCK", 7)
+        monkeypatch.setattr(N, "BLOCK_SHINGLES", 300)
         assert run(spark, rows, max_broadcast=0) == want
 
 
-def test_signatures_of_similar_sets_are_shared():
+def signed(sets):
+    sigs, whose, needed = P.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    return [set(sigs[whose == k].tolist()) for k in range(len(sets))], needed
+
+
+def test_similar_sets_share_the_signatures_that_they_need(rounds=400):
     rng = np.random.default_rng(3)
-    for _ in range(400):
-        size = int(rng.integers(1, 3000)) if rng.random() < 0.3 else int(rng.integers(1, 60))
+    for _ in range(rounds):
+        size = int(rng.integers(3, 3000)) if rng.random() < 0.4 else int(rng.integers(3, 300))
         x = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
-        y = x[rng.permutation(len(x))[: max(1, int(np.ceil(0.75 * len(x))))]] if rng.random() < 0.5 else np.concatenate((x, rng.integers(0, 1 << 63, len(x) // 3, np.uint64)))
-        if rng.random() < 0.4 and len(x) > 8:
-            k = len(x) // 8
+        kind, k = rng.random(), len(x) // 7
+        if kind < 0.4:
+            y = x[rng.permutation(len(x))[: max(1, int(np.ceil(0.75 * len(x))))]]
+        elif kind < 0.7:
+            y = np.concatenate((x, rng.integers(0, 1 << 63, len(x) // 3, np.uint64)))
+        else:
             y = np.concatenate((x[k:], rng.integers(0, 1 << 63, k, np.uint64)))
         y = np.unique(y)
         both = len(np.intersect1d(x, y))
-        if 4 * both < 3 * (len(x) + len(y) - both):
+        if 4 * both < 3 * (len(x) + len(y) - both) or np.array_equal(x, y):
             continue
-        (sx, nx), (sy, ny) = N.signatures(x), N.signatures(y)
-        assert len(np.intersect1d(sx, sy)) >= min(nx.min(), ny.min()) and min(nx.min(), ny.min()) >= 1
-
-
-def test_edges(spark):
-    assert run(spark, []) == {}
-    got = [tuple(r) for r in N.similar_components(spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, "a b c d e f")], "doc_id long, text string")).collect()]
-    assert sorted(got, key=str) == [(5, 2, 5), (5, 2, 5), (6, 2, 5), (None, 2, None)]
-    long = " ".join(f"w{i}" for i in range(60_000))
-    assert run(spark, [(1, long), (2, long + " x")]) == {1: (59_996, 1), 2: (59_997, 1)}
-
-
-def test_streamed_runs(spark):
-    import pyarrow as pa  # noqa: F401
-
-    rows = [(s, r, 1) for s in range(40) for r in range(1 + s % 5 * (30 if s == 4 else 1))]
-    df = spark.createDataFrame(rows, "sig long, rep long, needed int")
-    for batch in (1, 2, 7, 1000):
-        N.batches_of(spark, batch)
-        got = sorted(map(tuple, N.shared_signatures(df).collect()))
-        assert got == sorted(r for r in rows if sum(x[0] == r[0] for x in rows) > 1)
-    N.batches_of(spark, 1000)
+        (sx, sy), needed = signed([x, y])
+        assert len(sx & sy) >= needed.max()
+        assert needed.max() >= 1 or len(x) < 8 or 180 < len(x) < 400  # hardly any pair is left to the comparison of loose sets
+
+
+def test_subsets_are_enumerated():
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 380, np.uint64))  # signs for one band only
+    (sigs,), needed = signed([x])
+    full = 380 // 3 // 2 + 1 + 380 // 32  # partitions that are seen, beside some that are not full
+    assert 2.5 * full < len(sigs) < 4 * full  # three subsets of each
+    assert needed[0] == -(-380 * 3 // 4) // 32 + 1
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_runs_through_packed_arrays(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    have, packs = {}, []
+    for _ in range(5):
+        nodes = rng.integers(-50, 50, 30)
+        at = np.repeat(np.arange(30), 20)
+        sigs = rng.integers(0, 300, 600).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for s, k in zip(((sigs >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32) | sigs & np.uint64(0xFFFFFFFF)).tolist(), at.tolist(), strict=True):
+            have.setdefault(s, set()).add(int(nodes[k]))
+        packs += [(r[0], r[1], *map(bytearray, r[2:])) for r in N.pack(sigs, at, nodes, ranges)]
+    packs.append((0, 2, bytearray(), bytearray(np.array([7, 8]).tobytes()), bytearray(np.array([3, 0], np.int32).tobytes())))
+    got = N.shared_signatures(spark.createDataFrame(packs, "range int, kind int, sigs binary, nodes binary, places binary")).collect()
+    assert {(r.node, r.needed) for r in got if r.sig is None} == {(7, 3), (8, 0)}
+    runs = {}
+    for r in got:
+        if r.sig is not None:
+            runs.setdefault(r.sig, set()).add(r.node)
+    assert runs == {s: x for s, x in have.items() if len(x) > 1}
+
+
+def test_sets_of_colliding_digests_stay_apart(spark, monkeypatch):
+    rows = corpus(1)
+    real = N.digests
+    monkeypatch.setattr(N, "digests", lambda flat, offsets: (real(flat, offsets)[0] % 40, real(flat, offsets)[1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = N.set_table(N.text_rows(docs, "doc_id", "text"), 5)
+    assert len(N.collisions(sets)) > 10
+    assert run(spark, rows) == brute(rows)
 
 
 def chain(seed):
@@ -121,4 +148,4 @@ def test_components_of_chains_against_union_find(spark, links):
     for a, b in links:
         low, high = sorted((root(a), root(b)))
         parent[high] = low
-    assert {r.rep: r.c for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()} == {x: root(x) for x in parent}
+    assert {r.node: r.c for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()} == {x: root(x) for x in parent}

@@ -2,37 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators.layout import fresh_folder
+
 #: Rows up to which the small side of a join is broadcast. Those sides are narrow (under 200 bytes a row), so 20 MB at most.
 MAX_BROADCAST_ROWS = 100_000
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+#: Bytes of an Arrow batch, and text bytes that a Python worker takes up at a time. A longer text is a batch of its own.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests in local mode) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidewater-{label}-{uuid.uuid4().hex}"
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Arrow batches of up to ``BATCH_BYTES`` go to Python workers; afterwards as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and lost executors cost no recompute."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and lost executors cost no recompute.
+
+    What Python workers take at a time is bounded meanwhile; so operators that run Python give their results in this way.
+    """
+    spark, path = df.sparkSession, fresh_folder(df.sparkSession, label)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +58,30 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in the materialised one-column table ``dropped``; rows with a null id stay."""
-    return docs.join(sized(dropped.distinct() if dropped.columns == [id_col] else dropped.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a further column that numbers its rows. It is written, so that every evaluation has the same numbers."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def drop_rows(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """Rows of a ``numbered`` table whose number is not in the materialised one-column table ``dropped``, without the number."""
+    return rows.join(sized(dropped), name, "left_anti").drop(name)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in zero-copy slices of about ``limit`` bytes of ``column``; a longer text is a slice of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(lengths) // limit
+        cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
