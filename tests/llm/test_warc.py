@@ -1,10 +1,11 @@
+import gzip
 import hashlib
 
 from pyspark.sql import functions as F
 
 from tidewater.llm.warc import WarcReader, archive_round_trip, read_warc, write_warc
 
-ROWS = [(1, "http://a/é", "x" * 150), (2, "http://b", "x" * 150), (3, None, "short"), (4, "http://c", "short"), (5, "http://d", None), (6, "u\r\nv", "WARC/1.1\r\n\r\nContent-Length: 7\r\n\r\n" * 9), (7, "http://e", "ü" * 50), (8, "http://f", "ü" * 50), (9, "g", "y" * 300_000)]
+ROWS = [(1, "http://a/é", "x" * 150), (2, "http://b", "x" * 150), (3, None, "short"), (4, "http://c", "short"), (5, "http://d", None), (6, " u\r\nv ", "WARC/1.1\r\n\r\nContent-Length: 7\r\n\r\n" * 9), (7, "http://e", "ü" * 50), (8, "http://f", "ü" * 50), (9, "g", "y" * 300_000)]
 
 
 def expected(rows, least=100):
@@ -65,7 +66,35 @@ def test_seeks_past_rejected_payloads():
 
 
 def test_edge_tables(spark):
-    schema = "page_id long, url string, html string"
+    schema = "page_id long, url string, html string, first long"
     assert archive_round_trip(spark.createDataFrame([], schema)).count() == 0
-    got = archive_round_trip(spark.createDataFrame([(None, None, None), (1, "a", "p" * 200), (1, "a", "p" * 200)], schema)).collect()
-    assert sorted((r.page_id or 0, r.payload_bytes) for r in got) == [(0, 0), (1, 200), (1, 200)]
+    one, none, other = "p" * 200, "q" * 200, "r" * 200
+    rows = [(None, None, None), (1, "a", one), (1, "a", one), (1, "b", one), (2, "c", one), (None, "d", one), (None, "e", none), (None, "e", none), (None, "f", other), (7, "g", other), (1, "h", "s"), (1, "h", "s")]
+    got = archive_round_trip(spark.createDataFrame([(*r, 3) for r in rows], schema)).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for text, kept, refers in ((one, 1, 1), (none, None, None), (other, 7, 7)):
+        mine = [r for r in got if r.payload_digest == digest(text)]
+        assert len(mine) == sum(r[2] == text for r in rows)
+        assert [r.page_id for r in mine if r.record_type == "response"] == [kept]
+        assert all(r.refers_to == refers and r.payload_bytes == 200 for r in mine if r.record_type == "revisit")
+    assert sum(r.record_type == "response" for r in got) == 6
+    assert {r.target_uri for r in got} == {r[1] for r in rows}
+
+
+def test_uris_as_they_stand(spark):
+    uris = [" sp ", "a\tb ", "x\r\ny", "", None, "é: ü"]
+    rows = archive_round_trip(spark.createDataFrame(list(enumerate(uris)), "page_id long, url string").selectExpr("*", "'h' AS html")).collect()
+    assert {r.page_id: r.target_uri for r in rows} == dict(enumerate([" sp ", "a\tb ", "x%0D%0Ay", "", None, "é: ü"]))
+
+
+def test_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>\r\n\r\nmore"
+    record = lambda kind, block, more="": (f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-TARGET-URI: http://x\r\n{more}CONTENT-LENGTH: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    records = [record("warcinfo", b"software: x"), record("response", http, "Content-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:ABC\r\n"), record("resource", b"plain")]
+    with open(tmp_path / "a.warc.gz", "wb") as f:
+        f.write(b"".join(gzip.compress(r) for r in records))
+    rows = {r.record_type: r for r in read_warc(spark, f"file://{tmp_path}").collect()}
+    body = b"<p>hi</p>\r\n\r\nmore"
+    assert bytes(rows["response"].payload) == body and rows["response"].payload_bytes == len(body) and rows["response"].target_uri == "http://x"
+    assert bytes(rows["resource"].payload) == b"plain" and bytes(rows["warcinfo"].payload) == b"software: x"
+    assert rows["response"].payload_digest == hashlib.sha256(body).hexdigest()

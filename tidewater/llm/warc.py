@@ -5,14 +5,18 @@ go to any file system that Spark writes, under its commit protocol. Payloads tha
 
 The reader plans partitions of whole archive files, takes predicates on record type and on headers, reads a record's
 headers first, and seeks past the payload of a record that a predicate rejects or when no payload column is asked for.
+It takes others' archives too: gzipped ones (``.gz``, a member a record), header names in any case, and HTTP messages, whose
+payload is what follows their own headers.
 
 Defined cases: a null payload is written as an empty one; a null id is written without its header and read as null;
-pages that repeat id and payload are records of their own (all but one of them revisit it); an empty table gives no
-archive rows; other columns are ignored. Record types and URIs are read as they stand; a null URI reads as null.
+pages that repeat id and payload are records of their own, and all but one of them revisit it, as do all but one of equal
+payloads that all lack an id; an empty table gives no archive rows; other columns are ignored. URIs are read as they stand, blanks
+at their ends included, but for line breaks, which a header can't hold and which are written as %0D and %0A; a null URI reads as null.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import os
@@ -25,31 +29,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from tidewater.llm.shared import MAX_BROADCAST_ROWS, fresh_path, materialise, sized
+from tidewater.llm.shared import MAX_BROADCAST_ROWS, materialise, numbered, sized
+from tidewater.operators.layout import fresh_folder
 
 END = "\r\n\r\n"
 SCHEMA = "page_id long, record_type string, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 #: Column, header and conversion.
-HEADERS = {"page_id": ("WARC-Page-Id", int), "record_type": ("WARC-Type", str), "target_uri": ("WARC-Target-URI", str), "refers_to": ("WARC-Refers-To-Page-Id", int), "payload_bytes": ("WARC-Payload-Length", int), "payload_digest": ("WARC-Payload-Digest", lambda x: x.rpartition(":")[2])}
+HEADERS = {"page_id": ("WARC-Page-Id", int), "record_type": ("WARC-Type", str.strip), "target_uri": ("WARC-Target-URI", str), "refers_to": ("WARC-Refers-To-Page-Id", int), "payload_bytes": ("WARC-Payload-Length", int), "payload_digest": ("WARC-Payload-Digest", lambda x: x.strip().rpartition(":")[2])}
 #: Bytes that a reader takes at a time, and rows and payload bytes of one batch.
 BLOCK, BATCH_ROWS, BATCH_BYTES = 1 << 20, 2_000, 16 << 20
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 100, max_broadcast: int = MAX_BROADCAST_ROWS) -> None:
-    """A record per row. Of equal payloads of ``least_bytes`` or more the one with the smallest id is a response, others revisit it.
+def with_first(rows: DataFrame, least_bytes: int, max_broadcast: int) -> DataFrame:
+    """Adds to rows (i, u, b, d, n) ``first``, the id of the response that a row revisits or is, and ``revisit``.
 
     Digests go through an aggregation that combines before its shuffle; only digests that repeat are joined back, by
-    broadcast up to ``max_broadcast`` of them and else by a shuffle join, which Spark splits where a digest is hot.
+    broadcast up to ``max_broadcast`` of them and else by a shuffle join, which Spark splits where a digest is hot. Where
+    the smallest id of a payload repeats, those rows are written with a number, by which one of them is chosen.
     """
+    long = rows.where(F.col("n") >= least_bytes)
+    # ids that are null come last
+    ids = long.groupBy("d", "i").agg(F.count("*").alias("rows")).groupBy("d").agg(F.min(F.struct(F.col("i").isNull(), "i", "rows")).alias("least"), F.sum("rows").alias("copies"))
+    keyed = materialise(ids.where("copies > 1").select("d", F.col("least.i").alias("first"), (F.col("least.rows") > 1).alias("tied"), F.lit(True).alias("again")), "warc-copies")
+    rows = rows.join(sized(keyed, max_broadcast), "d", "left")
+    names = [*[c for c in rows.columns if c not in ("tied", "again")], "revisit"]
+    if keyed.where("tied").isEmpty():
+        return rows.withColumn("revisit", F.col("again").isNotNull() & ~F.col("i").eqNullSafe(F.col("first"))).select(names)
+    tied = F.coalesce(F.col("tied") & F.col("i").eqNullSafe(F.col("first")), F.lit(False))
+    chosen = numbered(rows.where(tied), "number")
+    best = materialise(chosen.groupBy("d").agg(F.min("number").alias("best")), "warc-first")
+    chosen = chosen.join(sized(best, max_broadcast), "d").withColumn("revisit", F.col("number") != F.col("best"))
+    others = rows.where(~tied).withColumn("revisit", F.col("again").isNotNull() & ~F.col("i").eqNullSafe(F.col("first")))
+    return others.select(names).unionByName(chosen.select(names))
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 100, max_broadcast: int = MAX_BROADCAST_ROWS) -> None:
+    """A record per row. Of equal payloads of ``least_bytes`` or more the one with the smallest id is a response, others revisit it."""
     payload = F.coalesce(F.col("b"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(uri_col).cast("string").alias("u"), F.col(payload_col).alias("b")).select("i", "u", payload.alias("b"))
     rows = rows.withColumn("d", F.sha2(F.col("b").cast("binary"), 256)).withColumn("n", F.octet_length("b").cast("long"))
-    keyed = materialise(rows.where(F.col("n") >= least_bytes).groupBy("d").agg(F.min("i").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "first"), "warc-copies")
-    rows = rows.join(sized(keyed, max_broadcast), "d", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("i").eqNullSafe(F.col("first"))
+    rows, revisit = with_first(rows, least_bytes, max_broadcast), F.col("revisit")
     head = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     optional = lambda name, value: F.coalesce(head(name, value), F.lit(""))
-    uri = F.regexp_replace("u", "[\\r\\n]", " ")
+    uri = F.replace(F.replace(F.col("u"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         head("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
@@ -73,10 +95,10 @@ def file_system(uri: str):
     """A pyarrow file system and path for what Spark names by URI; only local files need no further library."""
     from pyarrow import fs
 
-    parts = urlsplit(uri)
+    parts = urlsplit(uri.replace("s3a://", "s3://", 1))
     if parts.scheme in ("", "file"):
         return fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else uri
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(parts.geturl())
 
 
 def list_archives(uri: str) -> list[tuple[str, int]]:
@@ -99,8 +121,17 @@ class Archives(InputPartition):
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
+    """By lower-case name; of a value one blank before it goes and nothing else."""
     lines = block.decode("utf-8", "replace").split("\r\n")
-    return {k: v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+    return {k.strip().lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+
+
+def payload_of(block: bytes, heads: dict[str, str]) -> bytes:
+    """What a record's block holds: of an HTTP message, what follows its headers."""
+    if heads.get("content-type", "").strip().lower().startswith("application/http"):
+        head, gap, body = block.partition(b"\r\n\r\n")
+        return body if gap else b""
+    return block
 
 
 class WarcReader(DataSourceReader):
@@ -151,20 +182,22 @@ class WarcReader(DataSourceReader):
             if not data.startswith(b"WARC/", at):
                 raise ValueError("a record does not begin with its version")
             heads = parse_headers(data[at:stop])
-            row = {c: convert(heads[h]) if h in heads else None for c, (h, convert) in HEADERS.items()}
+            row = {c: convert(heads[h.lower()]) if h.lower() in heads else None for c, (h, convert) in HEADERS.items()}
             row["payload"] = None
-            at, length = stop + 4, int(heads["Content-Length"])
+            at, length = stop + 4, int(heads["content-length"])
             end = at + length + 4
             if self.payload and self.keeps(row):
                 if end > len(data):
                     data, at, end = data[at:] + f.read(end - len(data)), 0, length + 4
-                row["payload"] = data[at : at + length]
-                if len(row["payload"]) < length:
+                if len(data) < at + length:
                     raise ValueError("an archive ends inside a payload")
-                if self.verify and row["record_type"] == "response":
-                    row["payload_bytes"], row["payload_digest"] = length, hashlib.sha256(row["payload"]).hexdigest()
-                    if row["payload_digest"] != heads.get("WARC-Payload-Digest", "").rpartition(":")[2]:
+                row["payload"] = payload_of(data[at : at + length], heads)
+                if row["record_type"] == "response":
+                    row["payload_bytes"], digest = len(row["payload"]), hashlib.sha256(row["payload"]).hexdigest()
+                    stated = heads.get("warc-payload-digest", "").strip()
+                    if self.verify and stated.lower().startswith("sha256:") and stated.rpartition(":")[2] != digest:
                         raise ValueError("a payload differs from its digest")
+                    row["payload_digest"] = digest
             if end > len(data):  # past what has been read: seek, nothing is read
                 f.seek(end - len(data), io.SEEK_CUR)
                 data, at = b"", 0
@@ -179,7 +212,7 @@ class WarcReader(DataSourceReader):
         for path in partition.files:
             rows, size = [], 0
             with system.open_input_file(path) as f:
-                for row in self.records(f):
+                for row in self.records(gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f):
                     rows.append(row)
                     size += len(row["payload"] or b"")
                     if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
@@ -210,6 +243,6 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``pages`` to archives and read them back, payloads included."""
-    path = path or fresh_path(pages.sparkSession, "warc")
+    path = path or fresh_folder(pages.sparkSession, "warc")
     write_warc(pages, path)
     return read_warc(pages.sparkSession, path)
