@@ -15,7 +15,7 @@ from tidewater.llm.token_counts import CountingTokenizer, StateMap, count_tokens
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 LIBRARY, COUNTER, CODEC = Tokenizer.from_file(JSON), CountingTokenizer(JSON), Codec(RANKS)
 OWN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=tiktoken_ranks(RANKS), special_tokens={})
-HARD = ["", " ", "  ", "a  b", "it's   we'll 'S 're", "x\n\n  y\t\tz ", "<|endoftext|>", "a <|endoftext|>  <|endoftext|> b<|endof", "naïve 東京 😀👍🏽 Ⅷ ²x 12345", "\x1c\x1d a\x1cb", "a b　c d", "\x00\x01", "a" * 500, "ab" * 300 + " " * 50, "!?!?!?!?" * 40, "A\r\n\r\nB", "́e"]
+HARD = ["", "\U0003d000'm x\U000323b5y 1\u088f2", "\u1c89'm \ua7cb", " ", "  ", "a  b", "it's   we'll 'S 're", "x\n\n  y\t\tz ", "<|endoftext|>", "a <|endoftext|>  <|endoftext|> b<|endof", "naïve 東京 😀👍🏽 Ⅷ ²x 12345", "\x1c\x1d a\x1cb", "a b　c d", "\x00\x01", "a" * 500, "ab" * 300 + " " * 50, "!?!?!?!?" * 40, "A\r\n\r\nB", "́e"]
 text = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list(" \n\t'stremdlv019.,ab"))), max_size=80)
 
 
@@ -35,6 +35,37 @@ def test_chunked_counts_and_round_trip(x, chunk):
     assert CODEC.decode(ids.tolist()) == x.encode()
 
 
+def test_the_table_counts_as_merges_do():
+    """Transitions emit counts; a longer token that takes the place of shorter ones emits less than one."""
+    counter = COUNTER.bytes
+    rng = random.Random(3)
+    for _ in range(3000):
+        word = bytes(rng.choice(b"\xf0\xbd\x80\xe2\x99'!aetionrs. ") for _ in range(rng.randint(1, 12)))
+        assert counter.count(word) == len(counter.merge(word))
+    assert len(counter.states) > 100 and min(n for row in counter.table for _, n in row.values()) < 1
+    small = CountingTokenizer(JSON).bytes
+    assert small.count(b"international") == small.count(b"international") and len(small.states) <= 14
+
+
+def test_ordinary_texts_go_through_chunk_maps_and_the_tree(monkeypatch):
+    calls = {"compose": 0, "join": 0}
+
+    def counted(cls, name):
+        real = getattr(cls, name)
+
+        def call(self, *args):
+            calls[name] += 1
+            return real(self, *args)
+
+        monkeypatch.setattr(cls, name, call)
+
+    counted(CountingTokenizer, "compose")
+    counted(Codec, "join")
+    x = " ".join("".join(random.Random(k).choices("aeinrst", k=7)) for k in range(700))
+    assert CountingTokenizer(JSON).count(x) == len(LIBRARY.encode(x, add_special_tokens=False).ids) and calls["compose"]
+    assert Codec(RANKS).encode(x).tolist() == OWN.encode_ordinary(x) and calls["join"] > 700
+
+
 def test_long_pieces():
     rng = random.Random(1)
     for x in ("".join(rng.choices("abcdeéß", k=5000)), "z" * 20_000, "".join(rng.choices("etaoin", k=3000))):

@@ -3,7 +3,8 @@
 A piece's halves are encoded recursively. Two encodings join by re-encoding a window at the seam, which grows on either
 side until the window's outermost tokens come out as they went in. Then every two neighbouring tokens of the result are
 compatible (encoding the two gives just the two), and the sequence with that property is the encoding, so tokens
-outside the window cannot change. Decoding concatenates byte strings up the same tree.
+outside the window cannot change. Decoding halves the ids and concatenates byte strings up the tree. Every piece that is no token of its
+own goes through the tree, down to leaves of ``LEAF_BYTES``; fragments of text that were met before are looked up.
 
 Defined cases: a null text counts as empty (no ids, decoded to no bytes); ids that the vocabulary lacks raise; rows are
 independent; other columns are ignored.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -21,15 +23,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.bpe import FRAGMENT, split_pattern, tiktoken_ranks
+from tidewater.llm.bpe import FRAGMENT, split, tiktoken_ranks
+from tidewater.llm.shared import sliced
 
-#: Bytes that are merged directly; and fragments kept by a worker, of up to so many characters: at most some 100 MB.
-LEAF_BYTES, KEEP_FRAGMENTS, KEEP_CHARS = 32, 400_000, 64
+#: Bytes of a leaf in encoding, and ids of one in decoding; and fragments kept by a worker, of up to so many characters: at most some 80 MB.
+LEAF_BYTES, LEAF_IDS, KEEP_FRAGMENTS, KEEP_CHARS = 2, 64, 400_000, 64
+#: Windows and halves kept by a worker, and bytes of the longest half that is kept.
+KEEP_PAIRS, KEEP_HALVES = 150_000, 5
+#: Bytes that are merged without a heap; a rank that no token has.
+SHORT_BYTES, NEVER = 24, 1 << 60
 
 
 def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Lowest-ranked neighbours merge first, the leftmost of equals: by a heap over a linked list."""
+    """Lowest-ranked neighbours merge first, the leftmost of equals: short data by looking for the least rank, else by a heap over a linked list."""
     n = len(data)
+    if n <= SHORT_BYTES:
+        parts = [data[i : i + 1] for i in range(n)]
+        each = [ranks.get(data[i : i + 2], NEVER) for i in range(n - 1)]
+        while each and (least := min(each)) < NEVER:
+            i = each.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del each[i]
+            if i:
+                each[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
+            if i < len(each):
+                each[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
+        return [ranks[x] for x in parts]
     after, before, end = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -57,13 +76,26 @@ class Codec:
         self.ranks = tiktoken_ranks(path)
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
         self.kept: dict[str, bytes] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.halves: dict[bytes, list[int]] = {}
+
+    def window(self, left: list[int], right: list[int]) -> list[int]:
+        """The two sides' bytes encoded anew; windows of a token on either side are kept."""
+        if len(left) > 1 or len(right) > 1:
+            return merge(self.decode(left + right), self.ranks)
+        pair = (left[0], right[0])
+        if (found := self.pairs.get(pair)) is None:
+            if len(self.pairs) >= KEEP_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[pair] = merge(self.decode(left + right), self.ranks)
+        return found
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right:
             return left + right
         i = j = 1
         while True:
-            window = merge(self.decode(left[-i:] + right[:j]), self.ranks)
+            window = self.window(left[-i:], right[:j])
             loose_left = i < len(left) and window[0] != left[-i]
             loose_right = j < len(right) and window[-1] != right[j - 1]
             if not loose_left and not loose_right:
@@ -71,9 +103,16 @@ class Codec:
             i, j = min(len(left), i * 2) if loose_left else i, min(len(right), j * 2) if loose_right else j
 
     def reduce(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF_BYTES:
-            return merge(data, self.ranks)
-        return self.join(self.reduce(data[: len(data) // 2]), self.reduce(data[len(data) // 2 :]))
+        if (r := self.ranks.get(data)) is not None and len(data) <= LEAF_BYTES:
+            return [r]
+        if len(data) > KEEP_HALVES:
+            return self.join(self.reduce(data[: len(data) // 2]), self.reduce(data[len(data) // 2 :]))
+        if (found := self.halves.get(data)) is None:
+            if len(self.halves) >= KEEP_PAIRS:
+                self.halves.clear()
+            middle = len(data) // 2
+            found = self.halves[data] = self.join(self.reduce(data[:middle]), self.reduce(data[middle:])) if middle else merge(data, self.ranks)
+        return found
 
     def piece(self, data: bytes) -> list[int]:
         return [r] if (r := self.ranks.get(data)) is not None else self.reduce(data)
@@ -81,7 +120,7 @@ class Codec:
     def fragment(self, text: str) -> bytes:
         """Ids as int32 bytes, of text between certain splits."""
         if (found := self.kept.get(text)) is None:
-            found = np.array([x for p in split_pattern().findall(text) for x in self.piece(p.encode())], np.int32).tobytes()
+            found = array("i", [x for p in split(text) for x in self.piece(p.encode())]).tobytes()
             if len(text) <= KEEP_CHARS:
                 if len(self.kept) >= KEEP_FRAGMENTS:
                     self.kept.clear()
@@ -91,8 +130,10 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.fragment, FRAGMENT.findall(text))), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[int]) -> bytes:
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode(ids[: len(ids) // 2]) + self.decode(ids[len(ids) // 2 :])
 
 
 @functools.cache
@@ -105,7 +146,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(vocabulary).encode
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             each = [encode(x) if x else np.empty(0, np.int32) for x in batch.column("t").to_pylist()]
             offsets = np.fromiter(accumulate(map(len, each), initial=0), np.int32, len(each) + 1)
             ids = pa.ListArray.from_arrays(offsets, np.concatenate(each) if each else np.empty(0, np.int32))

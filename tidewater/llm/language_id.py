@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.shared import materialise, sliced, small_batches
+
 #: Families of languages by code. A language that is not listed forms a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy".split(),
@@ -138,12 +140,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = labelled.where(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("t"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "t"):
             rows = [(lang, h, features(t).astype(np.float16).tobytes()) for lang, h, t in zip(*(b.column(c).to_pylist() for c in ("lang", "h", "t")), strict=True) if LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "h", "x"])
 
     by: dict[str, list] = defaultdict(list)
-    for r in sample.mapInArrow(run, "lang string, h long, x binary").orderBy("h", "lang", "x").limit(2 * SAMPLE_ROWS).collect():
+    with small_batches(docs.sparkSession):
+        rows = sample.mapInArrow(run, "lang string, h long, x binary").orderBy("h", "lang", "x").limit(2 * SAMPLE_ROWS).collect()
+    for r in rows:
         if len(by[r.lang]) < most:
             by[r.lang].append(np.frombuffer(r.x, np.float16))
     if not by:
@@ -159,12 +163,13 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     model = model or fit(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "t"):
             found = [model.predict(t) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return materialise(found, "languages")
 
 
 def annotate(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", name: str = "lang_pred") -> DataFrame:
@@ -172,7 +177,7 @@ def annotate(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     model = model or fit(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, text_col):
             found = [model.predict(t)[0] for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, name])
 

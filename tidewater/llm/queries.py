@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.shared import materialise
+from tidewater.operators.layout import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def vocabulary(name: str) -> str:
@@ -18,11 +21,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches that fit a small executor even if texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.warc import archive_round_trip
 
@@ -32,7 +30,6 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.token_counts import count_tokens
 
-    small_batches(spark)
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 1024)
 
 
@@ -45,18 +42,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.bpe_codec import decode_documents, encode_documents
 
-    small_batches(spark)
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     return code_digests(decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path))
 
 
 def code_digests(coded: DataFrame) -> DataFrame:
-    return coded.select(
+    digests = coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return materialise(digests, "digests")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +65,6 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.language_id import identify
 
-    small_batches(spark)
     return identify(table(spark, sf_dir, "documents"))
 
 
@@ -81,7 +77,6 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.decontaminate import find_contamination
 
-    small_batches(spark)
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -115,12 +110,11 @@ ORACLES: dict[str, str] = {
         WITH p AS (
           SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha256(encode(coalesce(html, ''))) AS d FROM pages
         ), f AS (
-          SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d
+          SELECT *, n >= 100 AND row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST) > 1 AS again, min(page_id) OVER (PARTITION BY d) AS first FROM p
         )
-        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
-               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN first <> page_id THEN first END AS refers_to, url AS target_uri
-        FROM p LEFT JOIN f USING (d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first END AS refers_to, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri
+        FROM f
     """,
     "op5_exact_dedup": """
         WITH t AS (

@@ -2,14 +2,16 @@
 
 The tokenizer is compiled into deterministic transducers whose transitions carry the number of tokens they emit:
 
-* The byte transducer reads one pre-token. Its state after a prefix is the last token of that prefix's encoding (and of
-  the shorter prefixes that a longer token may still reach back to). Exactly one vocabulary token that ends at the next
-  byte is compatible with the last token before it, so the state is deterministic and each step emits a fixed count.
+* The byte transducer reads one pre-token, byte by byte. Its state holds the places from which a longer token could still reach
+  the next byte: for each the bytes since, the token before it, and how many tokens fewer or more were emitted there. Of the
+  tokens that end at the next byte exactly one is compatible with the token before it, so a step is deterministic and emits
+  a fixed count, which can be 0 or less where a longer token takes the place of shorter ones. States and transitions are
+  compiled into a table when first met, within a bound.
 * The text transducer's symbols are runs between synchronising positions, where a split is certain whatever came
   before: after a character that is no white space, before white space. Its transitions are compiled when first needed
   and kept, within a bound.
 
-A long text is cut into chunks. A chunk's state map says what the chunk does from any entry state: the head up to its
+Every text is cut into chunks. A chunk's state map says what the chunk does from any entry state: the head up to its
 first synchronising position depends on the entry state and is kept, the rest is a constant count and a tail. State
 maps compose associatively, and a prefix scan over the chunks gives the count before each chunk and in all.
 
@@ -28,28 +30,50 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.bpe import FRAGMENT, WHITE_SPACE, json_ranks, split_pattern
+from tidewater.llm.bpe import FRAGMENT, WHITE_SPACE, json_ranks, split
+from tidewater.llm.shared import materialise, sliced
 
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS = 1 << 12
 #: Transitions kept by each transducer of a worker, of symbols up to KEEP_CHARS: at most some 100 MB.
-KEEP_TRANSITIONS, KEEP_CHARS = 400_000, 64
+KEEP_TRANSITIONS, KEEP_CHARS = 300_000, 64
+#: States of the byte transducer's table, before it is begun anew.
+KEEP_STATES = 60_000
 
 FIRST_SYNC = regex.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
 
 
+#: A rank that no merge has.
+NEVER = 1 << 60
+#: A place of a state: the bytes since, the token before them, and the count there less the count now.
+Place = tuple[bytes, bytes, int]
+
+
 class ByteTransducer:
-    """Counts the tokens of one pre-token, byte by byte."""
+    """Counts the tokens of one pre-token by a table of states and transitions, which grows as bytes call for it."""
 
     def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]):
-        self.vocab, self.merges, self.longest = vocab, merges, max(map(len, vocab))
+        self.vocab, self.merges = vocab, merges
+        self.open = {token[:k] for token in vocab for k in range(1, len(token))}  # what a longer token begins with
         self.compatible: dict[tuple[bytes, bytes], bool] = {}
-
-    def _merge(self, parts: list[bytes]) -> list[bytes]:
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.merges.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.merges:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        self.reset()
+
+    def reset(self) -> None:
+        start: tuple[Place, ...] = ((b"", b"", 0),)
+        self.states, self.number = [start], {start: 0}
+        self.table: list[dict[int, tuple[int, int]]] = [{}]  # of each state, by byte: the next state and the emitted count
+
+    def merge(self, word: bytes) -> list[bytes]:
+        """The tokens of a short string: the lowest-ranked neighbours merge first."""
+        parts, rank = [word[i : i + 1] for i in range(len(word))], self.merges.get
+        ranks = [rank(pair, NEVER) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
         return parts
 
     def pair(self, a: bytes, b: bytes) -> bool:
@@ -57,25 +81,35 @@ class ByteTransducer:
         if (found := self.compatible.get((a, b))) is None:
             if len(self.compatible) >= KEEP_TRANSITIONS:
                 self.compatible.clear()
-            found = self.compatible[a, b] = self._merge([bytes([x]) for x in a + b]) == [a, b]
+            found = self.compatible[a, b] = self.merge(a + b) == [a, b]
         return found
 
+    def compile(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of a state by a byte, put into the table."""
+        last = bytes((byte,))
+        grown = [(since + last, before, count) for since, before, count in self.states[state]]
+        for token, before, count in grown:  # the longest first
+            if token in self.vocab and (not before or self.pair(before, token)):
+                break
+        else:
+            raise ValueError(f"the vocabulary has no token for byte {byte}")
+        emitted = count + 1
+        after = (*((since, before, count - emitted) for since, before, count in grown if since in self.open), (b"", token, 0))
+        if (number := self.number.get(after)) is None:
+            number = self.number[after] = len(self.states)
+            self.states.append(after)
+            self.table.append({})
+        self.table[state][byte] = (number, emitted)
+        return number, emitted
+
     def count(self, word: bytes) -> int:
-        vocab, pair, longest = self.vocab, self.pair, self.longest
-        if word in vocab:
-            return 1
-        last: list[bytes] = [b""]
-        emitted = [0]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = word[start:end]
-                if token in vocab and (not start or pair(last[start], token)):
-                    last.append(token)
-                    emitted.append(emitted[start] + 1)
-                    break
-            else:
-                raise ValueError(f"the vocabulary has no token for byte {word[end - 1]}")
-        return emitted[-1]
+        if len(self.states) >= KEEP_STATES:
+            self.reset()
+        table, state, total = self.table, 0, 0
+        for byte in word:
+            state, emitted = table[state].get(byte) or self.compile(state, byte)
+            total += emitted
+        return total
 
 
 class Transitions(dict):
@@ -115,7 +149,7 @@ class CountingTokenizer:
         """Of text between synchronising positions; special strings are a token each, as the library has it by default."""
         if self.special and (parts := self.special.split(text))[1:]:
             return len(parts) // 2 + sum(map(self._run, filter(None, parts[::2])))
-        return sum(map(self.words.__getitem__, split_pattern().findall(text)))
+        return sum(map(self.words.__getitem__, split(text)))
 
     def emit(self, text: str) -> int:
         return sum(map(self.runs.__getitem__, FRAGMENT.findall(text)))
@@ -162,11 +196,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = tokenizer(vocabulary).count
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             counts = [count(x) if x else 0 for x in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
-    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return materialise(rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit), "counts")
