@@ -57,9 +57,29 @@ def test_run(spark):
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 100
 
 
-def test_exact_stage_drops_rows_and_not_ids(spark):
-    rows = [(1, "r"), (1, "r"), (1, "R"), (None, "n"), (2, "N"), (None, "only"), (None, "only"), (5, "a"), (9, "a"), (5, "b"), (3, "one")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
-    out = C.exact_stage(spark, docs, SF)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, __language string, language string, row long"
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", 7) for i, t in rows], SCHEMA)
+
+
+def kept(out, docs):
     assert out.columns == docs.columns
-    assert sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str) == sorted([(1, "r"), (2, "n"), (None, "only"), (9, "a"), (5, "b"), (3, "one")], key=str)
+    return sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str)
+
+
+def test_stages_drop_rows_and_not_ids(spark):
+    rows = [(1, "r"), (1, "r"), (1, "R"), (None, "n"), (2, "N"), (None, "only"), (None, "only"), (5, "a"), (9, "a"), (5, "b"), (3, "one"), (None, None), (4, "12 34")]
+    docs = rows_of(spark, rows)
+    assert len(kept(C.language_stage(spark, docs, SF), docs)) == 11
+    docs = rows_of(spark, rows[:-2])
+    want = sorted([(1, "r"), (2, "n"), (None, "only"), (9, "a"), (5, "b"), (3, "one")], key=str)
+    assert kept(C.exact_stage(spark, docs, SF), docs) == want
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, base), (7, base + " x"), (7, "an other text that nothing else has"), (None, base + " y"), (8, base + " z"), (8, base + " z"), (None, "lone text of some words here"), (6, ""), (6, "")]
+    docs = rows_of(spark, rows)
+    assert kept(C.near_stage(spark, docs, SF), docs) == sorted([(3, base), (7, rows[2][1]), (None, rows[6][1]), (6, ""), (6, "")], key=str)
+    assert C.benchmark_stage(spark, docs, SF).count() == 9
+    for _, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
