@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents. Stages are
 written as Parquet to the shared folder and read again, so that a lost executor costs at most one stage's work.
+
+Defined cases: stages drop rows and not ids, by a number that each row of their input gets. So an id's other texts stay if it
+repeats, one of rows that repeat id and text stays, and rows without an id are deduplicated like others (of copies one with an id
+stays, if there is one). Null texts and texts without a letter go in the first stage. Further columns of documents are carried
+through, whatever their names. An empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -14,45 +19,44 @@ from tidewater.llm.decontaminate import drop_contaminated
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.language_id import annotate
 from tidewater.llm.ngram_join import similar_components
-from tidewater.llm.queries import code_digests, small_batches, table, vocabulary
-from tidewater.llm.shared import ascii_lower, drop_ids, materialise, sized
+from tidewater.llm.queries import code_digests, table, vocabulary
+from tidewater.llm.shared import drop_rows, free_name, materialise, numbered, sized
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected are documents in no language: null texts and texts without a letter."""
-    small_batches(spark)
-    found = annotate(docs, name="__language")
-    return found.where("__language <> 'und'").select(*docs.columns)
+    name = free_name(docs, "language")
+    return materialise(annotate(docs, name=name).where(F.col(name) != "und").drop(name), "languages")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; rows that repeat id and text leave one, and an id's other texts stay."""
-    rows = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)})
-    found = exact_dedup(docs).where("NOT kept")
-    gone = materialise(found.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__text"), F.expr("doc_id <=> keep_id").alias("__again")).distinct(), "dropped")
-    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__text"))
-    out = rows.join(sized(gone), same, "left_anti")
-    again = gone.where("__again")
-    if not again.isEmpty():  # rows that repeat id and text: one of them stays
-        out = out.unionByName(rows.join(sized(again), same, "left_semi").dropDuplicates(["__id", "__sha"]))
-    return out.select(*docs.columns)
+    """Of equal texts the row with the largest id stays."""
+    name = free_name(docs, "row")
+    rows = numbered(docs, name)
+    found = exact_dedup(rows.select(F.struct(F.col("doc_id").alias("id"), F.col(name).alias("row")).alias("doc_id"), "text"))
+    return drop_rows(rows, materialise(found.where("NOT kept").select(F.col("doc_id.row").alias(name)), "dropped"), name)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id stays."""
-    found = similar_components(docs)
-    return drop_ids(docs, materialise(found.where("component_id <> doc_id").select("doc_id"), "dropped"))
+    """Of each component of similar documents the row with the smallest id stays."""
+    name = free_name(docs, "row")
+    rows = numbered(docs, name)
+    found = materialise(similar_components(rows, id_col=name).select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")), "components")
+    several = materialise(found.where("c <> row").select("c").distinct(), "several")
+    members = found.join(sized(several), "c", "left_semi").join(rows.select(F.col(name).alias("row"), F.col("doc_id").alias("id")), "row")
+    members = materialise(members, "members")
+    best = members.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("best"))
+    dropped = members.join(best, "c").where("row <> best").select(F.col("row").alias(name))
+    return drop_rows(rows, materialise(dropped, "dropped"), name)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    small_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, decoded again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    small_batches(spark)
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     return code_digests(decode_documents(encode_documents(docs, path), path))
 
