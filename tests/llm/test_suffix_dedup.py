@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm.suffix_array import permuted_repeats, suffix_array
+from tidewater.llm.suffix_array import permuted_prefixes, permuted_repeats, suffix_array
 from tidewater.llm.suffix_dedup import remove_repeats
 
 
@@ -26,6 +26,15 @@ def test_repeats(text, window):
     assert permuted_repeats(np.frombuffer(data, np.uint8), window).tolist() == [i + window <= len(data) and seen[data[i : i + window]] > 1 for i in range(len(data))]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=60), st.integers(1, 4), st.integers(1, 30), st.randoms(use_true_random=False))
+def test_prefixes_in_text_order_are_compared_by_bytes(piece, times, most, rng):
+    data = piece * times
+    before = [rng.choice([-1, *(j for j in (rng.randrange(len(data)), i - len(piece), i - 1) if 0 <= j != i)]) for i in range(len(data))]
+    want = [0 if j < 0 else next((n for n in range(most) if max(i, j) + n >= len(data) or data[i + n] != data[j + n]), most) for i, j in enumerate(before)]
+    assert permuted_prefixes(np.frombuffer(data, np.uint8), np.array(before), most).tolist() == want
+
+
 def brute(rows, window):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[i : i + window] for _, b in texts for i in range(len(b) - window + 1))

@@ -8,8 +8,14 @@ predecessors in later buckets are appended there in order, those in the same buc
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
+BASE = 0x9E3779B97F4A7C15
+#: What a character stands for in the hashes.
+VALUES = np.random.default_rng(5).integers(1, 1 << 63, 1 << 9, np.uint64) | np.uint64(1)
+
 
 def classify(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is S-type; the last character of ``t`` is its only 0."""
@@ -73,17 +79,21 @@ def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) -> np
     return np.concatenate(out)
 
 
+@functools.lru_cache(4)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hashes' base, and of its inverse, modulo 2 ** 64: 2 ** bits of them."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        power = np.full(1 << bits, base, np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power))
+    return out[0], out[1]
+
+
 def prefix_hashes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of a polynomial hash modulo 2 ** 64, and powers of its base's inverse."""
-    values = np.random.default_rng(5).integers(1, 1 << 63, 1 << 9, np.uint64) | np.uint64(1)
-    base = 0x9E3779B97F4A7C15
-    power = np.full(len(t), base, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    inverse = np.full(len(t), pow(base, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[t] * power, dtype=np.uint64)))
-    return sums, np.cumprod(inverse)
+    power, inverse = powers(len(t).bit_length())
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUES[t] * power[: len(t)], dtype=np.uint64))), inverse
 
 
 def substring_hashes(hashes: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -137,21 +147,66 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     return induce(t, smaller, ordered, 257)[1:]
 
 
+def diagonal_prefixes(data: np.ndarray, at: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
+    """Bytes, up to ``most``, that are the same from each of two places on, compared eight at a time."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    out = np.zeros(len(at), np.int64)
+    live = np.arange(len(at))
+    for done in range(0, most, 8):
+        x, y = at[live] + done, other[live] + done
+        inside = np.minimum(x, y) >= 0
+        room = len(data) - np.maximum(x, y)
+        live, x, y, room = live[inside & (room > 0)], x[inside & (room > 0)], y[inside & (room > 0)], room[inside & (room > 0)]
+        if not len(live):
+            break
+        differ = eight[x] ^ eight[y]
+        lowest = differ & (~differ + np.uint64(1))  # the first bit that differs
+        same = np.where(differ == 0, 8, np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) >> 3)
+        same = np.minimum(same, room)
+        out[live] += same
+        live = live[same == 8]
+    return np.minimum(out, most)
+
+
+def permuted_prefixes(data: np.ndarray, before: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix, up to ``most`` bytes, of the suffix at each place with the suffix at ``before`` (-1: none), in text order.
+
+    Where a place and its predecessor's lie on one diagonal, the prefix at the predecessor's goes on: a byte is compared for each
+    place, and eight at a time only where a diagonal ends.
+    """
+    if not (n := len(data)):
+        return np.empty(0, np.int64)
+    at = np.arange(n)
+    there = before >= 0
+    diagonal = np.where(there, before - at, n + 1)
+    same = np.zeros(n, bool)
+    same[there] = data[at[there]] == data[before[there]]
+    ends = np.flatnonzero(np.concatenate((diagonal[1:] != diagonal[:-1], [True])))  # last places of the diagonals
+    end = np.repeat(ends, np.diff(np.concatenate(([-1], ends))))
+    has = there[ends]
+    tail = np.zeros(len(ends), np.int64)
+    tail[has] = diagonal_prefixes(data, ends[has] + 1, ends[has] + 1 + diagonal[ends[has]], most)
+    tail = np.repeat(tail, np.diff(np.concatenate(([-1], ends))))
+    stop = np.where(same, n, at)  # the next place that differs, itself included
+    stop = np.minimum.accumulate(stop[::-1])[::-1]
+    reach = np.where(stop <= end, stop - at, end + 1 - at + tail)
+    return np.where(there, np.minimum(reach, most), 0)
+
+
 def permuted_repeats(data: np.ndarray, window: int) -> np.ndarray:
     """Whether the ``window`` bytes from each position also start elsewhere in ``data``, from suffix neighbours' common prefixes.
 
-    Common prefixes are taken in text order (each position against its predecessor in the suffix array), up to ``window``.
+    Common prefixes are taken in text order (each position against its predecessor in the suffix array), up to ``window``, by bytes.
     """
     n = len(data)
     out = np.zeros(n, bool)
     if n <= window:
         return out
     order = suffix_array(data, window)
-    previous = np.full(n, -1, np.int32)
+    previous = np.full(n, -1, np.int64)
     previous[order[1:]] = order[:-1]
-    at = np.flatnonzero((previous[: n - window + 1] >= 0) & (previous[: n - window + 1] <= n - window)).astype(np.int32)
-    own = substring_hashes(prefix_hashes(data.astype(np.int16)), np.arange(n - window + 1), np.arange(window, n + 1))
-    reach = at[own[at] == own[previous[at]]]
+    reach = np.flatnonzero(permuted_prefixes(data, previous, window) >= window)
     out[reach] = True
     out[previous[reach]] = True
     return out

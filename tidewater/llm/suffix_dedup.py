@@ -5,7 +5,8 @@ Which shard a string belongs to follows from its bytes: the least hash of its 32
 one window, lie in different stretches, so every repeat is one between stretches of a key.
 A stretch whose whole text repeats is decided by counts (combined before their shuffle). Where a key has stretches of
 different text, one of each text goes to the key's shard, whose suffix array (induced sorting) and common prefixes with
-suffix neighbours, in text order, show the windows that repeat. A key with more such texts than a shard should hold is
+suffix neighbours, compared by bytes in text order, show the windows that repeat. Whole stretches are equal if key and text
+hash, of 64 bits each and computed apart, are. A key with more such texts than a shard should hold is
 decided window by window, by counting hashes of windows, which spreads it over all tasks.
 
 Rows are told apart by id and text. Defined cases: null texts count as empty; texts under ``window`` bytes are kept; rows that
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import MAX_BROADCAST_ROWS, materialise, sized
+from tidewater.llm.shared import MAX_BROADCAST_ROWS, materialise, sized, sliced
 from tidewater.llm.suffix_array import permuted_repeats, prefix_hashes, substring_hashes
 
 #: Bytes of a repeated string; bytes of the grams that make keys; bytes of a shard; texts of a key that one shard takes.
 WINDOW, GRAM, SHARD_BYTES, SHARD_TEXTS = 200, 32, 2 << 20, 4000
 NO_ID = -(1 << 63)
+#: Bits that hold any place in a text.
+PLACE_BITS = np.uint64(31)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -46,15 +49,16 @@ def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def sliding_least(h: np.ndarray, n: int) -> np.ndarray:
-    """Place of the leftmost minimum of every n neighbours, by doubling."""
-    place, size = np.arange(len(h), dtype=np.int32), 1
-
-    def lesser(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return np.where(h[right] < h[left], right, left)
+    """Place of the minimum of every n neighbours by the hashes' upper bits, the leftmost of equals, by doubling.
 
+    The lower bits give way to the place, so that one minimum finds both; as many in every text, so that equal windows agree.
+    """
+    least, size = h >> PLACE_BITS << PLACE_BITS | np.arange(len(h), dtype=np.uint64), 1
     while size * 2 <= n:
-        place, size = lesser(place[:-size], place[size:]), size * 2
-    return lesser(place[: len(place) - (n - size)], place[n - size :]) if n > size else place
+        least, size = np.minimum(least[:-size], least[size:]), size * 2
+    if n > size:
+        least = np.minimum(least[: len(least) - (n - size)], least[n - size :])
+    return (least & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
 
 
 def stretches(data: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -84,7 +88,7 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
     """``key, doc, tag, lo, n, text``: the stretches of all rows (doc, tag, t)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             docs, tags, texts = batch.column("doc").to_numpy(), batch.column("tag").to_numpy(), batch.column("t").to_pylist()
             for at in range(0, len(texts), 100):
                 each = [stretches(as_bytes(t), window) for t in texts[at : at + 100]]
@@ -164,8 +168,6 @@ def window_spans(texts: DataFrame, window: int, max_broadcast: int) -> DataFrame
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_texts: int = SHARD_TEXTS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``doc, tag, start, stop``: bytes of rows (doc, tag, t) under a repeated window; spans of a row can overlap."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     found = stretch_table(docs, window)
     keys = materialise(found.groupBy("key").count().where("count > 1").select("key"), "keys")
     rows = materialise(found.join(sized(keys, max_broadcast), "key", "left_semi"), "stretches")
@@ -177,7 +179,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_texts: int = SHA
     wanted = texts.join(sized(several, max_broadcast), "key").select("key", "hot", "first.*")
     cut = materialise(cut_out(docs, wanted, window, max_broadcast), "cut")
     hot = materialise(several.where("hot").select("key"), "hot")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if hot.isEmpty():
         return materialise(spans.unionByName(shard_spans(cut, window)), "spans")
     cool = cut.join(sized(hot, max_broadcast), "key", "left_anti").select(*cut.columns)
@@ -197,7 +198,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = materialise(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spanlists")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             out = []
             texts, spans = batch.column("t").to_pylist(), batch.column("spans")
             for text, each in zip(texts, spans, strict=True):
@@ -213,7 +214,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string()) + (pa.binary(),) * keep_bytes
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     joined = rows.join(sized(lists, 0) if lists.count() > max_broadcast // 10 else F.broadcast(lists), ["doc", "tag"], "left").select("doc", "t", "spans")
-    done = joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    done = materialise(joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes), "kept")
     return done.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *done.columns[1:])
