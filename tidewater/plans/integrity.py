@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import tokens
 from tidewater.operators import integrity as I
+from tidewater.operators.chunking import OVERLAP, SIZE, chunk_grid
+from tidewater.operators.evidence import planted, verbatim_hits
+from tidewater.operators.selectors import select_all
 from tidewater.plans.context import documents
-from tidewater.plans.registry import query, table
+from tidewater.plans.evidence import FACTS
+from tidewater.plans.registry import CHUNKS, TOK, query, table
 
 
-@query("conflict_detect", """SELECT source, lang, count(DISTINCT md5(text)) AS digests FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL HAVING count(DISTINCT md5(text)) > 1""")
+@query("conflict_detect", """SELECT source, lang, count(DISTINCT md5(text)) AS digests FROM documents WHERE NOT coalesce(n_chars <> length(text), true) GROUP BY ALL HAVING count(DISTINCT md5(text)) > 1""")
 def conflict_detect(spark, sf_dir):
-    return I.conflicts(documents(spark, sf_dir).withColumn("digest", F.md5("text")), ["source", "lang"], "digest", F.col("doc_id") % 3 == 0)
+    """Rows whose stated length is not their text's have failed, and can't be in conflict."""
+    failed = F.coalesce(F.col("n_chars") != F.length("text"), F.lit(True))
+    return I.conflicts(documents(spark, sf_dir).withColumn("digest", F.md5("text")), ["source", "lang"], "digest", failed)
 
 
 @query(
@@ -67,22 +75,33 @@ def dedup_identical(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("lang", F.md5("text").alias("digest")).agg(F.count("*").alias("copies"))
 
 
-@query("determinism_except", """SELECT count(*) AS differing FROM (SELECT doc_id, md5(text) FROM documents EXCEPT SELECT doc_id, md5(text) FROM documents)""")
+@query(
+    "determinism_except",
+    f"""WITH {CHUNKS}, one AS (SELECT doc_id, md5(array_to_string(p[1:64], '')) AS d FROM tok WHERE len(p) > 64), other AS (SELECT doc_id, md5(chunk_text) AS d FROM chunks WHERE chunk_ord = 0 AND token_end = 64)
+    SELECT (SELECT count(*) FROM (SELECT * FROM one EXCEPT ALL SELECT * FROM other)) AS only_selected, (SELECT count(*) FROM (SELECT * FROM other EXCEPT ALL SELECT * FROM one)) AS only_chunked""",
+)
 def determinism_except(spark, sf_dir):
-    """Two runs compared both ways."""
-    one = documents(spark, sf_dir).select("doc_id", F.md5("text").alias("d"))
-    other = documents(spark, sf_dir).select("doc_id", F.md5("text").alias("d"))
-    return one.exceptAll(other).union(other.exceptAll(one)).agg(F.count("*").alias("differing"))
+    """One selection made in two ways, compared both ways: the head of 64 pieces, and the first chunk of the grid.
+
+    A text of just 64 pieces has such a chunk and no selection, so the two differ by those.
+    """
+    docs = documents(spark, sf_dir)
+    one = select_all(docs, ["head"], [64]).select("doc_id", F.md5("filtered_text").alias("d"))
+    other = chunk_grid(docs).where("chunk_ord = 0 AND token_end = 64").select("doc_id", F.md5("chunk_text").alias("d"))
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    return count(one.exceptAll(other), "only_selected").join(count(other.exceptAll(one), "only_chunked"))  # a row each
 
 
 @query(
     "stored_selection_gate",
-    """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'selector' WHEN n_chars <> length(text) OR doc_id % 11 = 0 THEN 'source_mismatch' WHEN n_chars > 20000 THEN 'budget' WHEN text = '' THEN 'reader' END AS error_type FROM documents) SELECT error_type, count(*) AS n FROM x GROUP BY 1""",
+    f"""WITH {TOK}, x AS (SELECT CASE WHEN len(p) = 0 THEN 'selector' WHEN d.n_chars <> length(d.text) THEN 'source_mismatch' WHEN len(p) > 1000 THEN 'budget' WHEN NOT regexp_matches(d.text, '[.!?]') THEN 'reader' END AS error_type FROM tok JOIN documents d USING (doc_id))
+    SELECT error_type, count(*) AS n FROM x GROUP BY 1""",
 )
 def stored_selection_gate(spark, sf_dir):
-    """The first gate that a stored selection fails names its error."""
-    error = F.when(F.col("doc_id") % 13 == 0, "selector").when((F.col("n_chars") != F.length("text")) | (F.col("doc_id") % 11 == 0), "source_mismatch").when(F.col("n_chars") > 20000, "budget").when(F.col("text") == "", "reader")
-    return documents(spark, sf_dir).groupBy(error.alias("error_type")).agg(F.count("*").alias("n"))
+    """The first gate that a stored selection fails names its error: nothing selected, another source, over budget, nothing to read."""
+    rows = documents(spark, sf_dir).select("text", "n_chars", tokens.count(F.col("text")).alias("n"))
+    error = F.when(F.col("n") == 0, "selector").when(F.col("n_chars") != F.length("text"), "source_mismatch").when(F.col("n") > 1000, "budget").when(~F.col("text").rlike("[.!?]"), "reader")
+    return rows.groupBy(error.alias("error_type")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -98,23 +117,31 @@ def legacy_id_rebase(spark, sf_dir):
 
 @query(
     "independent_rescore",
-    """SELECT count(*) AS n, count(*) FILTER (WHERE (regexp_matches(p_type, 'STEEL')) <> (position('STEEL' IN p_type) > 0)) AS disagreements, count(*) FILTER (WHERE contains(p_type, 'STEEL')) AS hits FROM part""",
+    rf"""WITH {TOK}, {FACTS}, x AS (
+      SELECT b <= 128 AS by_span, contains(trim(regexp_replace(array_to_string(p[1:128], ''), '[ \t\n\r\f\v]+', ' ', 'g')), trim(regexp_replace(gold, '[ \t\n\r\f\v]+', ' ', 'g'))) AS by_text FROM facts WHERE len(p) > 128
+    ) SELECT count(*) AS n, count(*) FILTER (WHERE by_span) AS by_span, count(*) FILTER (WHERE by_text) AS by_text, count(*) FILTER (WHERE by_span <> by_text) AS disagreements FROM x""",
 )
 def independent_rescore(spark, sf_dir):
-    """A score computed twice, by unlike expressions, and compared."""
-    one, other = F.contains("p_type", F.lit("STEEL")), F.col("p_type").rlike("STEEL")
-    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.count_if(one != other).alias("disagreements"), F.count_if(one).alias("hits"))
+    """Evidence in the head of 128 pieces scored in two ways, by spans and by text: a passage that repeats is found by the second alone."""
+    docs = documents(spark, sf_dir)
+    facts = planted(docs).select("doc_id", "gold", F.col("token_end").alias("end"))
+    rows = verbatim_hits(select_all(docs, ["head"], [128]), facts, ["doc_id"]).select((F.col("end") <= 128).alias("by_span"), F.col("hit").alias("by_text"))
+    counts = [F.count_if(c).alias(c) for c in ("by_span", "by_text")]
+    return rows.agg(F.count("*").alias("n"), *counts, F.count_if(F.col("by_span") != F.col("by_text")).alias("disagreements"))
 
 
 @query(
     "sampled_rebuild",
-    """WITH x AS (SELECT doc_id, text, n_chars, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS r FROM documents)
-    SELECT doc_id, length(text) = n_chars AS same_length, sha256(text) AS text_sha256, contains(text, 'INJECTED-GOLD') AS injected FROM x WHERE r <= 3""",
+    f"""WITH {CHUNKS}, s AS (SELECT doc_id, text, n_chars, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS r FROM documents WHERE text <> ''), parts AS (
+      SELECT doc_id, chunk_ord, regexp_extract_all(chunk_text, '[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$') AS q, max(chunk_ord) OVER (PARTITION BY doc_id) AS last FROM chunks WHERE doc_id IN (SELECT doc_id FROM s WHERE r <= 3)
+    ), built AS (SELECT doc_id, string_agg(array_to_string(CASE WHEN chunk_ord = last THEN q ELSE q[1:48] END, ''), '' ORDER BY chunk_ord) AS t FROM parts GROUP BY doc_id)
+    SELECT doc_id, sha256(t) AS rebuilt_sha256, t = text AS same, length(t) = n_chars AS same_length, contains(t, 'INJECTED-GOLD') AS injected FROM s JOIN built USING (doc_id) WHERE r <= 3""",
 )
 def sampled_rebuild(spark, sf_dir):
-    """Three contexts of each cell, rebuilt and hashed, and searched for injected gold."""
-    from pyspark.sql import Window
-
+    """Three contexts of each cell, rebuilt from their stored chunks, hashed, compared with the source and searched for injected gold."""
     order = Window.partitionBy("source").orderBy(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
-    rows = documents(spark, sf_dir).withColumn("r", F.row_number().over(order)).where("r <= 3")
-    return rows.select("doc_id", (F.length("text") == F.col("n_chars")).alias("same_length"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.contains("text", F.lit("INJECTED-GOLD")).alias("injected"))
+    picked = documents(spark, sf_dir).where("text <> ''").withColumn("r", F.row_number().over(order)).where("r <= 3").select("doc_id", "text", "n_chars")
+    chunks = chunk_grid(picked).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_ord", "chunk_text"))).alias("chunks"))
+    parts = F.transform("chunks", lambda c, k: F.when(k == F.size("chunks") - 1, c["chunk_text"]).otherwise(tokens.decode(tokens.head(tokens.pieces(c["chunk_text"]), F.lit(SIZE - OVERLAP)))))
+    rows = chunks.select("doc_id", F.array_join(parts, "").alias("t")).join(picked, "doc_id")
+    return rows.select("doc_id", F.sha2(F.col("t").cast("binary"), 256).alias("rebuilt_sha256"), (F.col("t") == F.col("text")).alias("same"), (F.length("t") == F.col("n_chars")).alias("same_length"), F.contains("t", F.lit("INJECTED-GOLD")).alias("injected"))

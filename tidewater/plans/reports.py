@@ -194,21 +194,23 @@ def serving_cost(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("cost", cost).groupBy("event_type").agg(F.round(F.sum("cost"), 4).alias("total"), F.count_if(F.col("cost").isNull()).alias("unknown"))
 
 
-#: List prices per million tokens, and hourly prices.
-PRICES = [("large-long", 2.0, 12.0, 200_000, 4.0, 18.0), ("medium", 0.5, 3.0, None, None, None), ("small", 0.15, 0.6, None, None, None)]
+#: Hourly prices by machine.
 HOURLY = {"T4": 0.35, "L4": 0.71, "A100": 3.67}
 
 
 @query(
     "api_cost_tiers",
-    """WITH p(model, i, o, thr, il, ol) AS (VALUES ('large-long', 2.0, 12.0, 200000, 4.0, 18.0), ('medium', 0.5, 3.0, NULL, NULL, NULL), ('small', 0.15, 0.6, NULL, NULL, NULL)), c AS (
-      SELECT o_orderkey, (['large-long', 'medium', 'small', 'unlisted'])[1 + o_orderkey % 4] AS model, CAST(floor(o_totalprice) AS BIGINT) AS n, o_custkey AS m, o_orderkey % 100 AS t FROM orders
-    ) SELECT o_orderkey, model, round((n * CASE WHEN coalesce(n > thr, false) THEN il ELSE i END + (m + t) * CASE WHEN coalesce(n > thr, false) THEN ol ELSE o END)::DOUBLE / 1e6, 8) AS cost FROM c LEFT JOIN p USING (model)""",
+    """WITH p(model, i, o, thr, il, ol, th) AS (VALUES ('tiered', 2.0, 12.0, 200000, 4.0, 18.0, NULL), ('flat', 0.5, 3.0, NULL, NULL, NULL, NULL), ('thinking', 0.15, 0.6, NULL, NULL, NULL, 3.5)), c AS (
+      SELECT o_orderkey, (['tiered', 'flat', 'thinking', 'unlisted'])[1 + o_orderkey % 4] AS model, CAST(floor(o_totalprice) AS BIGINT) AS n, o_custkey AS m, o_orderkey % 100 AS t FROM orders
+    ), r AS (SELECT *, CASE WHEN coalesce(n > thr, false) THEN il ELSE i END AS ri, CASE WHEN coalesce(n > thr, false) THEN ol ELSE o END AS ro FROM c LEFT JOIN p USING (model))
+    SELECT o_orderkey, model, round((n * ri + m * ro + t * coalesce(th, ro))::DOUBLE / 1e6, 8) AS cost FROM r""",
 )
 def api_cost_tiers(spark, sf_dir):
-    model = F.get(F.array(*map(F.lit, ("large-long", "medium", "small", "unlisted"))), (F.col("o_orderkey") % 4).cast("int"))
+    """Calls at a tiered, a flat and a thinking rate; a model without a price costs null."""
+    prices = [("tiered", 2.0, 12.0, 200_000, 4.0, 18.0, None), ("flat", 0.5, 3.0, None, None, None, None), ("thinking", 0.15, 0.6, None, None, None, 3.5)]
+    model = F.get(F.array(*map(F.lit, ("tiered", "flat", "thinking", "unlisted"))), (F.col("o_orderkey") % 4).cast("int"))
     calls = table(spark, sf_dir, "orders").select("o_orderkey", model.alias("model"), F.floor("o_totalprice").alias("input_tokens"), F.col("o_custkey").alias("output_tokens"), (F.col("o_orderkey") % 100).alias("thought_tokens"))
-    return costs.api_cost(calls, costs.model_prices(spark, PRICES)).select("o_orderkey", "model", "cost")
+    return costs.api_cost(calls, costs.model_prices(spark, prices)).select("o_orderkey", "model", "cost")
 
 
 @query(
@@ -363,11 +365,11 @@ def cohort_scores(spark, sf_dir):
     return answers(spark, sf_dir).groupBy("method").agg(S.mean(scored.cast("double")).alias("success_rate"), S.mean(F.when(scored, F.col("value"))).alias("mean_score"), S.mean(F.when(scored, (F.col("value") >= 95).cast("double"))).alias("perfect_rate"))
 
 
-@query("rerun_set", f"""WITH {ANSWERS} SELECT doc_id, left(text, 20) AS prompt FROM documents WHERE doc_id IN (SELECT example_id FROM answers WHERE failed OR value < 1)""")
+@query("rerun_set", f"""WITH {ANSWERS} SELECT doc_id, sha256(text) AS prompt_sha256 FROM documents WHERE doc_id IN (SELECT example_id FROM answers WHERE failed OR value < 1)""")
 def rerun_set(spark, sf_dir):
     """Prompts of the examples that failed or scored nothing."""
     failed = answers(spark, sf_dir).where("failed OR value < 1").select(F.col("example_id").alias("doc_id"))
-    return documents(spark, sf_dir).join(failed, "doc_id", "left_semi").select("doc_id", F.left("text", F.lit(20)).alias("prompt"))
+    return documents(spark, sf_dir).join(failed, "doc_id", "left_semi").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("prompt_sha256"))
 
 
 @query(

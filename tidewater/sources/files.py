@@ -65,9 +65,17 @@ def replace_json(value: object, path: str) -> None:
     os.replace(beside, path)
 
 
+def small(df: DataFrame, most: int = 10_000) -> list:
+    """All rows of a report. A frame of more than ``most`` rows is no report and is refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    return rows
+
+
 def markdown(df: DataFrame) -> str:
     """A small report as a Markdown table."""
-    rows = [tuple("-" if v is None else str(v) for v in r) for r in df.limit(10_000).collect()]
+    rows = [tuple("-" if v is None else str(v) for v in r) for r in small(df)]
     lines = [df.columns, ["---"] * len(df.columns), *rows]
     return "\n".join(f"| {' | '.join(x)} |" for x in lines)
 
@@ -75,5 +83,5 @@ def markdown(df: DataFrame) -> str:
 def latex(df: DataFrame, row: str, column: str, value: str, columns: list[str]) -> str:
     """A pivoted LaTeX table; an incomplete cell is a dash."""
     wide = df.groupBy(row).pivot(column, columns).agg(F.first(value)).orderBy(row)
-    lines = [" & ".join([r[0], *("--" if v is None else f"{v:.1f}" for v in r[1:])]) + r" \\" for r in wide.limit(10_000).collect()]
+    lines = [" & ".join([r[0], *("--" if v is None else f"{v:.1f}" for v in r[1:])]) + r" \\" for r in small(wide)]
     return "\n".join([rf"\begin{{tabular}}{{l{'r' * len(columns)}}}", *lines, r"\end{tabular}"])
