@@ -174,3 +174,70 @@ def test_guards(spark):
     with pytest.raises(ValueError):
         integrity.require_one(spark.createDataFrame([(1,), (2,)], "f int"), "f")
     assert not integrity.publishable(spark.createDataFrame([(True,), (None,)], "ok boolean"), F.col("ok"))
+
+
+def test_byte_tokens(spark):
+    import public_tokenizers
+
+    from tidewater.operators import byte_tokens as B
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coder = B.encoding(path)
+    assert coder.encode_ordinary("a<|endoftext|>") == coder.encode("a<|endoftext|>", disallowed_special=())
+    rng = random.Random(6)
+    texts = ["", None, "日本語のテキスト 😀👍🏽 " * 30, "one two three " * 60, "".join(rng.choices("aé日 😀\n.", k=400))]
+    rows = spark.createDataFrame([(k, t, "two 日本語のテキスト") for k, t in enumerate(texts)], "doc_id int, text string, query string")
+    for budget in (0, 7, 40, 10_000):
+        got = {r.doc_id: r for r in B.pack_by_tokens(rows, path, budget, 16, 4).collect()}
+        for k, t in enumerate(texts):
+            r = got[k]
+            assert r.selected_tokens == len(coder.encode_ordinary(r.filtered_text)) <= budget
+            parts = r.filtered_text.split("\n") if "\n" not in (t or "") else []
+            assert all(p in (t or "") for p in parts)
+            if budget == 10_000:
+                assert r.kept_chunks == r.n_chunks and r.filtered_text == (t or "")
+    source = B.Source("日😀é", path)
+    for a in range(len(source.ids) + 1):
+        for b in range(a, len(source.ids) + 1):
+            spans = source.union([(a, b)])
+            assert source.render(spans) in "日😀é"
+    cut = spark.createDataFrame([(t,) for t in texts], "t string").select("t", B.clip(path, 9)(F.col("t")).alias("c"), B.count(path)(F.col("t")).alias("n")).collect()
+    for r in cut:
+        assert r.n == len(coder.encode_ordinary(r.t or "")) and len(coder.encode_ordinary(r.c or "")) <= 9
+        assert (r.t or "").startswith(r.c or "") and (r.n > 9 or r.c == r.t)
+
+
+def test_spending_and_selection_guards(spark):
+    from tidewater.operators import selection as X
+    from tidewater.operators import spend
+
+    log = [("a", 1, "reader", "reserve", 2.0), ("a", 2, "reader", "settle", 1.5), ("a", 3, "reader", "reserve", 9.0), ("b", 1, "judge", "reserve", 4.0), ("c", 1, "judge", "settle", 4.0)]
+    got = {r.key: (r.reserved, r.cost, r.refused, r.state, r.blocked) for r in spend.states(spark.createDataFrame(log, "key string, seq int, category string, action string, amount double")).collect()}
+    assert got == {"a": (2.0, 1.5, 1, "complete", False), "b": (4.0, None, 0, "reserved", True)}
+    asked = spark.createDataFrame([("x", "r", 1, 6.0), ("y", "r", 2, 5.0), ("z", "r", 3, 1.0), ("n", "r", 0, -1.0), ("u", "none", 1, 1.0)], "key string, category string, seq int, amount double")
+    granted = {r.key for r in spend.within_ceiling(asked, spark.createDataFrame([("r", 10.0)], "category string, ceiling double")).where("granted").collect()}
+    assert granted == {"x", "y"}
+    df = spark.createDataFrame([(["a::0", "a::1", "a::9", "bad", "b::x"],)], "ids array<string>")
+    assert [tuple(x) for x in df.select(X.spans_of_ids(F.col("ids"), 64, 16).alias("m")).first().m] == [(0, 112), (432, 496)]
+    with pytest.raises(ValueError):
+        X.require_count(df, 2)
+    assert X.require_count(df, 1) is df and X.require_count(df, None) is df
+
+
+def test_prices_and_pairs_that_raise(spark, tmp_path):
+    path = tmp_path / "p.json"
+    path.write_text(json.dumps({"models": {"m": {"input_per_1m": 1, "output_per_1m": 2, "thinking_per_1m": 5}}, "gpu_hourly": {"g": 0.5}}))
+    prices, hourly = costs.read_prices(str(path))
+    calls = spark.createDataFrame([("m", 1_000_000, 500_000, 100_000), ("other", 1, 1, 1)], "model string, input_tokens long, output_tokens long, thought_tokens long")
+    got = {r.model: r.cost for r in costs.api_cost(calls, costs.model_prices(spark, prices)).collect()}
+    assert got == {"m": 2.5, "other": None} and hourly == {"g": 0.5}
+    with pytest.raises(Exception, match="no price for model other"):
+        costs.api_cost(calls, costs.model_prices(spark, prices), strict=True).collect()
+    schema = "example_id int, cluster string, value double, evaluable boolean"
+    left, right = ([(k, f"c{k % n}", float(k), True) for k in range(4)] for n in (1, 1))
+    with pytest.raises(Exception, match="two independent clusters"):
+        S.paired_interval(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()
+    with pytest.raises(Exception, match="two clusters"):
+        S.paired_interval(spark.createDataFrame(left, schema), spark.createDataFrame([(k, "x", 1.0, True) for k in range(4)], schema)).collect()
+    with pytest.raises(ValueError):
+        files.markdown(spark.range(10_001))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from tidewater.functions import spans, tokens
-from tidewater.operators import costs, selection, spend
+from tidewater.operators import byte_tokens, costs, selection, spend
 from tidewater.operators import statistics as S
 from tidewater.operators.evidence import planted, span_hits
 from tidewater.operators.packing import pack_concat
@@ -320,3 +320,26 @@ def dense_chunks_pack(spark, sf_dir):
     rows = ranked(rows, "probe_id", "score", "vec_id").withColumns({"token_start": F.lit(0), "token_end": (20 + F.col("vec_id") % 60).cast("int")})
     packed = pack_concat(rows, [256], "probe_id")
     return packed.groupBy("probe_id").agg(F.count("*").alias("kept"), F.max("used").cast("long").alias("tokens"))
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("byte_bpe_pack")
+def byte_bpe_pack(spark, sf_dir):
+    """Packing under 128 tokens of a byte-level BPE. SQL has no such tokenizer; tests hold it against a loop over the library."""
+    items = table(spark, sf_dir, "benchmark")
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.pmod("doc_id", F.lit(items.count())).alias("item_id"))
+    rows = docs.join(items.select("item_id", F.col("text").alias("query")), "item_id")
+    return byte_tokens.pack_by_tokens(rows, ranks_path(), 128).select("doc_id", "n_chunks", "kept_chunks", "selected_tokens", F.size("spans").alias("n_spans"), F.sha2(F.col("filtered_text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("byte_bpe_clip")
+def byte_bpe_clip(spark, sf_dir):
+    """Texts cut to 100 tokens of a byte-level BPE, and how many they have then."""
+    text = byte_tokens.clip(ranks_path(), 100)(F.col("text"))
+    rows = documents(spark, sf_dir).select("doc_id", text.alias("t"))
+    return rows.select("doc_id", byte_tokens.count(ranks_path())(F.col("t")).alias("n_tokens"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
