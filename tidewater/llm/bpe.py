@@ -27,7 +27,7 @@ def split_pattern() -> regex.Pattern:
 
 
 @functools.cache
-def late_letters() -> re.Pattern:
+def late_letters() -> frozenset[str]:
     """Letters and numbers that ``regex`` knows and the tokenizer libraries, of an older Unicode, do not: to them they are other characters.
 
     What the libraries know is asked of one of them, which passes over what its pattern does not match.
@@ -37,15 +37,15 @@ def late_letters() -> re.Pattern:
     rest = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn")
     here = "".join(regex.findall(r"[\p{L}\p{N}]", rest))
     known = tiktoken.Encoding("known", pat_str=r"[\p{L}\p{N}]", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    late = sorted(set(here) - set(known.decode_bytes(known.encode_ordinary(here)).decode()))
-    return re.compile("[" + "".join(map(re.escape, late)) + "]" if late else "(?!)")
+    return frozenset(here) - frozenset(known.decode_bytes(known.encode_ordinary(here)).decode())
 
 
 def split(text: str) -> list[str]:
     """The pieces that are merged separately."""
-    if text.isascii() or not late_letters().search(text):
+    if text.isascii() or late_letters().isdisjoint(text):
         return split_pattern().findall(text)
-    masked = late_letters().sub("\ue000", text)  # a character that is neither letter, number nor white space
+    late = late_letters()
+    masked = "".join("\ue000" if c in late else c for c in text)  # a character that is neither letter, number nor white space
     return [text[m.start() : m.end()] for m in split_pattern().finditer(masked)]
 
 
