@@ -29,6 +29,18 @@ def test_prediction_is_from_text_alone_and_stable(spark):
     assert one == two
 
 
+def test_many_unlisted_languages(spark, monkeypatch):
+    """Beyond a number of families of their own they are put together by letter, and none is left out."""
+    monkeypatch.setattr(L, "OWN_FAMILIES", 3)
+    rng = np.random.default_rng(2)
+    words = {f"{a}{b}": [f"{a}{b}{k}{c}" for k, c in enumerate("lmnop")] for a in "xyz" for b in "123"}
+    rows = [(i, " ".join(rng.choice(words[lang], 10)), lang) for i in range(360) for lang in [sorted(words)[i % 9]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit(df).families.names == ["unlisted x", "unlisted y", "unlisted z"]
+    held = L.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert {r.lang_pred for r in held} == set(words) and sum(r.lang == r.lang_pred for r in held) > 0.95 * len(held)
+
+
 def test_edges(spark):
     extra = [(1001, None, "en", None, None), (1002, "", "de", None, None), (1003, "12 3!² Ⅷ", "fr", None, None), (None, "the and of", None, None, None), (1004, "the " * 200_000, None, None, None), (1005, "ß", None, None, None), (1005, "ß", None, None, None)]
     got = L.identify(docs(spark, extra=extra)).where("doc_id IS NULL OR doc_id > 1000").collect()

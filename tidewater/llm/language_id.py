@@ -2,7 +2,7 @@
 
 A text's family is predicted first, then one-versus-one linear support vector machines tell the languages of that family
 apart. Features are hashed byte n-grams of the whole lower-cased text. The machines are fitted on the driver from a bounded
-sample of labelled rows (``SAMPLE_ROWS`` in all, the same number of each language, chosen by a hash of the id so that a rerun
+sample of labelled rows (``SAMPLE_ROWS`` in all, or ``LEAST_ROWS`` a language if that is more, the same number of each, chosen by a hash of the id so that a rerun
 takes the same rows); features are computed on the executors, so what reaches the driver is bounded whatever the texts'
 lengths. Prediction covers every row and whole texts, from the text alone.
 
@@ -40,8 +40,10 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-#: Hash buckets; sampled rows in all and of one language; languages (the most frequent); passes and cost of the fit.
-BUCKETS, SAMPLE_ROWS, ROWS_A_LANGUAGE, MOST_LANGUAGES, PASSES, COST = 4096, 4000, 800, 200, 12, 10.0
+#: Hash buckets; sampled rows in all, of one language at most, and at least (of many languages there are more in all); passes and cost of the fit.
+BUCKETS, SAMPLE_ROWS, ROWS_A_LANGUAGE, LEAST_ROWS, PASSES, COST = 4096, 4000, 800, 8, 12, 10.0
+#: Languages that are not listed may form so many families of their own; more are put together by the first letter of their code.
+OWN_FAMILIES = 40
 ORDERS = (1, 2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
 
@@ -129,10 +131,10 @@ def is_held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """From rows that aren't held out, have a language and a letter in their text."""
     labelled = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row a language
     if not counts:
         return Model(Level([]), {})
-    most = min(ROWS_A_LANGUAGE, SAMPLE_ROWS // len(counts))
+    most = max(LEAST_ROWS, min(ROWS_A_LANGUAGE, SAMPLE_ROWS // len(counts)))
     share = F.lit(0.0)
     for lang, n in counts.items():  # a quarter more than wanted, cut to the exact number below
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.25 * most / n))).otherwise(share)
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     by: dict[str, list] = defaultdict(list)
     with small_batches(docs.sparkSession):
-        rows = sample.mapInArrow(run, "lang string, h long, x binary").orderBy("h", "lang", "x").limit(2 * SAMPLE_ROWS).collect()
+        rows = sample.mapInArrow(run, "lang string, h long, x binary").orderBy("h", "lang", "x").limit(2 * max(SAMPLE_ROWS, most * len(counts))).collect()
     for r in rows:
         if len(by[r.lang]) < most:
             by[r.lang].append(np.frombuffer(r.x, np.float16))
@@ -154,7 +156,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model(Level([]), {})
     x = np.concatenate([np.array(v, np.float32) for v in by.values()])
     lang = np.array([k for k, v in by.items() for _ in v])
-    family = np.array([FAMILY_OF.get(k, k) for k in lang])
+    unlisted = {k for k in by if k not in FAMILY_OF}
+    own = {k: k if len(unlisted) <= OWN_FAMILIES else f"unlisted {k[:1]}" for k in unlisted}
+    family = np.array([FAMILY_OF.get(k) or own[k] for k in lang])
     return Model(Level.fit(x, family), {f: Level.fit(x[family == f], lang[family == f]) for f in sorted(set(family))})
 
 

@@ -105,6 +105,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+def license_sql() -> str:
+    """Diagonal voting in SQL: hits of word pairs by template and diagonal, neighbouring diagonals merged, spans verified."""
+    from tidewater.llm.license_scan import BASE, K, LEAST_COVER, MOST_EXTENT, NEAR, TEMPLATES
+
+    rows = []
+    phrases = [(p, b, True) for p, b in BASE.items()] + [(p, b, False) for b, ps in TEMPLATES.items() for p in ps]
+    for n, (phrase, label, base) in enumerate(phrases):
+        each = "".join(c if c.isalnum() else " " for c in phrase.lower()).split()
+        rows += [f"({n}, '{label}', {base}, {len(each) - K + 1}, {j}, '{' '.join(each[j : j + K])}')" for j in range(len(each) - K + 1)]
+    return rf"""
+        WITH grams(template, label, base, size, j, gram) AS (VALUES {', '.join(rows)}), words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), votes AS (
+          SELECT doc_id, template, label, base, size, j, i - 1 AS i, i - 1 - j AS d FROM (SELECT doc_id, unnest(range(1, len(w) - {K - 2})) AS i, w FROM words) JOIN grams ON array_to_string(w[i : i + {K - 1}], ' ') = gram
+        ), diagonals AS (
+          SELECT doc_id, template, label, base, size, d, list(DISTINCT j) AS js, min(i) AS first, max(i) AS last FROM votes GROUP BY ALL
+        ), apart AS (
+          SELECT *, CASE WHEN base OR coalesce(d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) > {NEAR}, true) THEN 1 ELSE 0 END AS apart FROM diagonals
+        ), merged AS (
+          SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY d) AS span FROM apart
+        ), spans AS (
+          SELECT doc_id, label, base, size, len(list_distinct(flatten(list(js)))) AS covered, min(first) AS first, max(last) AS last FROM merged GROUP BY doc_id, template, label, base, size, span
+        ), judged AS (
+          SELECT *, base AND covered = size AS exact, NOT base AND last - first + {K} <= (size + {K - 1}) * {MOST_EXTENT} + {NEAR} AS fits, covered / size AS cover FROM spans
+        )
+        SELECT w.doc_id, CAST(len(any_value(w.w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE exact) AS n_base, CAST(min(first) FILTER (WHERE exact) AS BIGINT) AS first_word,
+               CAST(max(first) FILTER (WHERE exact) AS BIGINT) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact), '') AS base_labels,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact OR fits AND cover >= {LEAST_COVER}), '') AS labels,
+               coalesce(max(CASE WHEN exact THEN 1.0::DOUBLE WHEN fits THEN cover::DOUBLE END), 0.0::DOUBLE) AS score
+        FROM words w LEFT JOIN judged j USING (doc_id) GROUP BY w.doc_id
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
         WITH p AS (
@@ -125,4 +158,38 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM t
     """,
+    "op3_license_scan": license_sql(),
+    "op9_ngram_join": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+          SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+        ), both_have AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+          SELECT a, b FROM both_have JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_have.n >= 75 * (x.n + y.n - both_have.n)
+        ), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+          SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other
+        )
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.least AS component_id
+        FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) r USING (doc_id)
+    """,
+    "op10_suffix_dedup": """
+        WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), starts AS (SELECT doc_id, i, md5(b[i + 1 : i + 200]) AS w FROM (SELECT doc_id, b, unnest(range(n - 199)) AS i FROM texts WHERE n >= 200)
+        ), again AS (SELECT w FROM starts GROUP BY w HAVING count(*) > 1
+        ), hit AS (SELECT doc_id, i FROM starts SEMI JOIN again USING (w)
+        ), marked AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 AS goes_on FROM hit
+        ), runs AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+        ), spans AS (SELECT doc_id, run, min(i) AS s, max(i) + 200 AS e FROM runs GROUP BY doc_id, run
+        ), gaps AS (
+          SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM spans UNION ALL SELECT t.doc_id, coalesce(max(x.e), 0), any_value(t.n) FROM texts t LEFT JOIN spans x USING (doc_id) GROUP BY t.doc_id
+        ), kept AS (SELECT doc_id, list(b[g.s + 1 : g.e] ORDER BY g.s) FILTER (WHERE g.e > g.s) AS parts FROM gaps g JOIN texts USING (doc_id) GROUP BY doc_id
+        ), removed AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(CASE WHEN parts IS NULL THEN ''::BLOB ELSE list_reduce(parts, lambda x, y: x || y) END) AS kept_sha256
+        FROM texts t LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
