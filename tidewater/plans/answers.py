@@ -20,7 +20,7 @@ def scale_sql(text: str) -> str:
 
 def cents_sql(token: str) -> str:
     """A number's magnitude in hundredths, which are exact."""
-    return f"CAST(round(CAST(regexp_extract(regexp_replace({token}, '{MARKS}', '', 'g'), '[0-9]+(?:\.[0-9]+)?') AS DOUBLE) * 100) AS HUGEINT)"
+    return rf"CAST(round(CAST(regexp_extract(regexp_replace({token}, '{MARKS}', '', 'g'), '[0-9]+(?:\.[0-9]+)?') AS DOUBLE) * 100) AS HUGEINT)"
 
 
 #: The SQL side reads numbers as the rule says: as they stand, times the unit in the 20 characters after, times the text's unit.
