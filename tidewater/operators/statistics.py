@@ -13,9 +13,17 @@ def mean(value: Column, digits: int = 6) -> Column:
     return F.round(F.avg(value), digits)
 
 
+#: Seeds that a grid may have.
+MAX_SEEDS = 100
+
+
 def seed_mean(rows: DataFrame, seeds: DataFrame, keys: list[str], value: str, seed: str = "seed") -> DataFrame:
-    """Mean over a dense grid of seeds; a missing answer counts as zero. The seeds are a handful, so the grid is theirs times the keys."""
-    grid = rows.select(*keys).distinct().join(F.broadcast(seeds))
+    """Mean over a dense grid of seeds; a missing answer counts as zero. The seeds are a handful; more than ``MAX_SEEDS`` are refused."""
+    found = [r[0] for r in seeds.select(seed).distinct().limit(MAX_SEEDS + 1).collect()]
+    if len(found) > MAX_SEEDS:
+        raise ValueError(f"more than {MAX_SEEDS} seeds")
+    kind = rows.schema[seed].dataType
+    grid = rows.select(*keys).distinct().withColumn(seed, F.explode(F.array(*map(F.lit, found)).cast(f"array<{kind.simpleString()}>")))
     full = grid.join(rows.select(*keys, seed, value), [*keys, seed], "left")
     return full.groupBy(*keys).agg(F.round(F.avg(F.coalesce(value, F.lit(0.0))), 6).alias("mean"))
 
@@ -94,13 +102,13 @@ def paired_interval(left: DataFrame, right: DataFrame, draws: int = 200) -> Data
     """One row: the ratio of sums over clusters, its interval, and the counts of pairs. Under two clusters there is no interval and it raises."""
     clusters = paired_clusters(left, right)
     few = F.when(F.col("n_clusters") < 2, F.raise_error(F.lit("at least two independent clusters are required")).cast("double")).otherwise(F.col("estimate"))
-    one = portable_bootstrap(clusters.withColumn("k", F.lit(0)), draws, ["k"]).withColumn("estimate", few).drop("k")
-    counts = clusters.agg(F.sum("cluster_n").alias("n_paired"), F.sum("complete").alias("n_complete_pairs"))
+    one = portable_bootstrap(clusters.withColumn("k", F.lit(0)), draws, ["k"]).withColumn("estimate", few)
+    counts = clusters.groupBy(F.lit(0).alias("k")).agg(F.sum("cluster_n").alias("n_paired"), F.sum("complete").alias("n_complete_pairs"))
     sides = left.select("example_id", F.col("evaluable").alias("l")).join(right.select("example_id", F.col("evaluable").alias("r")), "example_id", "full_outer")
-    missing = sides.agg(
+    missing = sides.groupBy(F.lit(0).alias("k")).agg(
         F.count_if(F.col("r").isNull()).alias("n_unpaired_left"), F.count_if(F.col("l").isNull()).alias("n_unpaired_right"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull() & ~(F.col("l") & F.col("r"))).alias("n_missing_annotations")
     )
-    return one.join(counts).join(missing)  # a row each
+    return one.join(counts, "k").join(missing, "k").drop("k")  # a row each
 
 
 def round_robin(rows: DataFrame, group: str, digest: Column, n: int) -> DataFrame:

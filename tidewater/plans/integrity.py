@@ -88,8 +88,8 @@ def determinism_except(spark, sf_dir):
     docs = documents(spark, sf_dir)
     one = select_all(docs, ["head"], [64]).select("doc_id", F.md5("filtered_text").alias("d"))
     other = chunk_grid(docs).where("chunk_ord = 0 AND token_end = 64").select("doc_id", F.md5("chunk_text").alias("d"))
-    count = lambda rows, name: rows.agg(F.count("*").alias(name))
-    return count(one.exceptAll(other), "only_selected").join(count(other.exceptAll(one), "only_chunked"))  # a row each
+    both = one.exceptAll(other).select(F.lit(True).alias("selected")).unionByName(other.exceptAll(one).select(F.lit(False).alias("selected")))
+    return both.agg(F.count_if("selected").alias("only_selected"), F.count_if(~F.col("selected")).alias("only_chunked"))
 
 
 @query(
