@@ -214,6 +214,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string()) + (pa.binary(),) * keep_bytes
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes)
 
-    joined = rows.join(sized(lists, 0) if lists.count() > max_broadcast // 10 else F.broadcast(lists), ["doc", "tag"], "left").select("doc", "t", "spans")
+    spans = lists.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0]  # eight bytes each
+    joined = rows.join(F.broadcast(lists) if spans <= 10 * max_broadcast else lists, ["doc", "tag"], "left").select("doc", "t", "spans")
     done = materialise(joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes), "kept")
     return done.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *done.columns[1:])
