@@ -241,3 +241,22 @@ def test_prices_and_pairs_that_raise(spark, tmp_path):
         S.paired_interval(spark.createDataFrame(left, schema), spark.createDataFrame([(k, "x", 1.0, True) for k in range(4)], schema)).collect()
     with pytest.raises(ValueError):
         files.markdown(spark.range(10_001))
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_running_sums_by_blocks(spark, block):
+    from tidewater.operators import prepare
+
+    rng = random.Random(block)
+    rows = [(rng.choice("aaab"), rng.randrange(40), k, rng.randrange(5)) for k in range(200)]
+    df = spark.createDataFrame(rows, "key string, place long, k int, n int")
+    got = {r.k: r.running for r in prepare.running_sum(df, "key", "place", ["k"], "n", block).collect()}
+    for key, place, k, _ in rows:
+        assert got[k] == sum(n for a, p, j, n in rows if a == key and (p, j) <= (place, k))
+
+
+def test_titles_of_an_unknown_type_raise(spark):
+    from tidewater.operators import prepare
+
+    with pytest.raises(Exception, match="no title line for poem"):
+        spark.range(1).select(prepare.by_type(F.lit("poem"), F.lit("n"), F.lit("t"))).collect()

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import prepare as P
+from tidewater.operators.evidence import planted
 from tidewater.plans.context import digest, documents
-from tidewater.plans.registry import query, table
+from tidewater.plans.evidence import FACTS, LINES, candidate_lines
+from tidewater.plans.registry import TOK, query, table
 
 SENTENCES = r"""sents AS (SELECT doc_id, source, string_split(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)"""
 COUNT = r"len(regexp_extract_all({}, '[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$'))"
@@ -111,3 +113,78 @@ def prep_seeded_candidates(spark, sf_dir):
     """A seeded order of candidates, of which the first that pass are kept."""
     order = F.sha2(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary"), 256)
     return documents(spark, sf_dir).where("n_chars > 1000").select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(20).select("doc_id")
+
+
+TASK = """task AS (
+  SELECT doc_id, 1 AS number, left(source, 3) || ' went there.' AS phrase, NULL AS answer, CAST([] AS INTEGER[]) AS support, 0 AS line_no FROM documents
+  UNION ALL SELECT doc_id, 2, lang || ' stayed.', NULL, [], 1 FROM documents
+  UNION ALL SELECT doc_id, 3, 'Where is ' || lang || '?', source, CASE WHEN doc_id % 2 = 0 THEN [1] ELSE [1, 2] END, 2 FROM documents
+)"""
+
+
+@query("prep_parse_facts", f"""WITH {TASK} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(number AS INTEGER) AS number, phrase, answer, array_to_string(support, ' ') AS support FROM task WHERE doc_id % 2 = 0 OR number < 4""")
+def prep_parse_facts(spark, sf_dir):
+    """Task files of numbered phrases, written from documents and parsed again."""
+    support = F.when(F.col("doc_id") % 2 == 0, "1").otherwise("1 2")
+    lines = [F.concat(F.lit("1 "), F.left("source", F.lit(3)), F.lit(" went there.")), F.concat(F.lit("2 "), "lang", F.lit(" stayed. ")), F.concat(F.lit("3 Where is "), "lang", F.lit("? \t"), "source", F.lit("\t"), support), F.lit("no number")]
+    texts = documents(spark, sf_dir).select("doc_id", F.array_join(F.array(*lines), "\n").alias("text"))
+    rows = P.parse_facts(texts)
+    return rows.withColumn("support", F.array_join(F.col("support").cast("array<string>"), " "))
+
+
+@query(
+    "prep_cohort",
+    f"""WITH {TOK}, {FACTS} SELECT doc_id, CAST(len(p) AS INTEGER) AS n_tokens FROM facts WHERE len(p) > 200 AND (doc_id % 3 <> 0 OR trim(gold) = trim(replace(gold, 'a', 'b')))""",
+)
+def prep_cohort(spark, sf_dir):
+    """Contexts of over 200 tokens whose planted facts stand where they should; in a third of them the fact's text is altered."""
+    rows = planted(documents(spark, sf_dir), keep=("p",))
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("gold", F.lit("a"), F.lit("b"))).otherwise(F.col("gold"))
+    facts = F.array(F.struct(text.alias("text"), "token_start", "token_end"))
+    return P.cohort(rows.select("doc_id", F.array_join("p", "").alias("context"), facts.alias("facts")), 200)
+
+
+@query(
+    "prep_review_packets",
+    f"""WITH {LINES}, c AS (
+      SELECT doc_id, line_no + 1 AS line_number, off + length(raw) - length(ltrim(raw)) AS s, trim(raw) AS line FROM placed
+      WHERE regexp_matches(raw, '[A-Za-z]{{3,}}') AND list_contains(string_split_regex(regexp_replace(lower(raw), '[^a-z0-9 ]', ' ', 'g'), ' +'), 'license')
+    ) SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, sha256(substring(text, CAST(greatest(s - 80, 0) AS BIGINT) + 1, CAST(least(s + length(line) + 80, length(text)) - greatest(s - 80, 0) AS BIGINT))) AS shown_sha256 FROM c JOIN documents USING (doc_id)""",
+)
+def prep_review_packets(spark, sf_dir):
+    """Candidate lines with 80 characters of text around them."""
+    rows = P.review_packets(candidate_lines(spark, sf_dir), documents(spark, sf_dir), 80)
+    return rows.select("doc_id", "line_number", digest("shown").alias("shown_sha256"))
+
+
+@query(
+    "prep_titled_documents",
+    """SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN 'Report of ' || source || chr(10) WHEN 1 THEN '# ' || source || chr(10) || chr(10) ELSE 'Case ' || source || ':' || chr(10) END || text) AS text_sha256 FROM documents""",
+)
+def prep_titled_documents(spark, sf_dir):
+    kind = F.when(F.col("doc_id") % 3 == 0, "financial").when(F.col("doc_id") % 3 == 1, "paper").otherwise("legal")
+    return documents(spark, sf_dir).select("doc_id", F.sha2(P.by_type(kind, F.col("source"), F.col("text")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query(
+    "prep_history_renderings",
+    """WITH u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user'), a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
+    SELECT conv_id, 'user lines' AS form, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS history_sha256 FROM u WHERE r <= 2 GROUP BY conv_id
+    UNION ALL SELECT conv_id, 'all json', sha256(string_agg(to_json({'role': role, 'content': text}), chr(10) ORDER BY turn)) FROM a WHERE r <= 4 GROUP BY conv_id""",
+)
+def prep_history_renderings(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    forms = {"user lines": P.render_turns(turns, True, False, 2), "all json": P.render_turns(turns, False, True, 4)}
+    rows = [df.select("conv_id", F.lit(name).alias("form"), digest("history").alias("history_sha256")) for name, df in forms.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query(
+    "prep_prompt_build",
+    """SELECT doc_id, sha256('Read: ' || text || chr(10) || 'In ' || lang || ', about ' || source || '?') AS prompt_sha256 FROM documents WHERE lang IN ('en', 'de') AND n_chars BETWEEN 500 AND 5000""",
+)
+def prep_prompt_build(spark, sf_dir):
+    """Prompts of chosen languages and lengths, by a template."""
+    rows = documents(spark, sf_dir).where(F.col("lang").isin("en", "de") & F.col("n_chars").between(500, 5000))
+    prompt = P.fill(F.lit("Read: {text}\nIn {lang}, about {source}?"), {"source": F.col("source"), "lang": F.col("lang"), "text": F.col("text")})
+    return rows.select("doc_id", F.sha2(prompt.cast("binary"), 256).alias("prompt_sha256"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import hash_shard
 from tidewater.operators import costs
 from tidewater.operators import statistics as S
+from tidewater.operators.prepare import running_sum
 from tidewater.plans.context import documents
 from tidewater.plans.registry import query, table
 
@@ -272,8 +273,9 @@ def hash_sample_per_cell(spark, sf_dir):
 
 @query("stride_shards", """SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4 AS shard FROM documents""")
 def stride_shards(spark, sf_dir):
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return documents(spark, sf_dir).select("doc_id", ((F.row_number().over(order) - 1) % 4).cast("long").alias("shard"))
+    """Each source's rows in turn, numbered by blocks, so that no task has to count a whole source."""
+    rows = running_sum(documents(spark, sf_dir).select("source", "doc_id", F.lit(1).alias("one")), "source", "doc_id", [], "one")
+    return rows.select("doc_id", ((F.col("running") - 1) % 4).cast("long").alias("shard"))
 
 
 @query(
