@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame operations only.
 
-A candidate is a run of token characters with a digit, or what is assigned to a password-like name. The forest sees its
+A candidate is a run of token characters with a digit, a key of a known form, or what is assigned to a password-like name. The forest sees its
 length, its character transitions, how much of it is dictionary words, the path that the text comes from and the words
 beside it. It is trained by Spark's own forest on labelled findings, and its trees are then walked by column
 expressions over arrays of nodes, so that scanning is a single pass without a shuffle.
@@ -27,7 +27,9 @@ ASSIGNED = (
     r"(?![=:>])(?:(?<=\")(?:[^\"\\\r\n]|\\.)++(?=\")|(?<=')(?:[^'\\\r\n]|\\.)++(?=')|(?<=`)(?:[^`\\\r\n]|\\.)++(?=`)"
     r"|(?:(?![&,;|][A-Za-z0-9_.-]+=)[.,;:)\]}]*+[^\s\"'`<>.,;:)\]}])++)"
 )
-FOUND = f"{ASSIGNED}|{CANDIDATE}"
+#: Keys whose own form gives them away, with a digit or without.
+KNOWN = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])"
+FOUND = f"{ASSIGNED}|{KNOWN}|{CANDIDATE}"
 #: Characters of context on either side.
 CONTEXT = 24
 
