@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import FRAGMENT, split, tiktoken_ranks
-from tidewater.llm.shared import sliced
+from tidewater.llm.shared import give_back, sliced
 
 #: Bytes of a leaf in encoding, and ids of one in decoding; and fragments kept by a worker, of up to so many characters: at most some 80 MB.
 LEAF_BYTES, LEAF_IDS, KEEP_FRAGMENTS, KEEP_CHARS = 2, 64, 400_000, 64
@@ -79,6 +79,10 @@ class Codec:
         self.pairs: dict[tuple[int, int], list[int]] = {}
         self.halves: dict[bytes, list[int]] = {}
 
+    def forget(self) -> None:
+        for kept in (self.kept, self.pairs, self.halves):
+            kept.clear()
+
     def window(self, left: list[int], right: list[int]) -> list[int]:
         """The two sides' bytes encoded anew; windows of a token on either side are kept."""
         if len(left) > 1 or len(right) > 1:
@@ -145,12 +149,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """``doc_id, ids array<int>`` per row, by a rank file (.tiktoken) that every executor has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(vocabulary).encode
+        coder = codec(vocabulary)
         for batch in sliced(batches, "t"):
-            each = [encode(x) if x else np.empty(0, np.int32) for x in batch.column("t").to_pylist()]
+            each = [coder.encode(x) if x else np.empty(0, np.int32) for x in batch.column("t").to_pylist()]
             offsets = np.fromiter(accumulate(map(len, each), initial=0), np.int32, len(each) + 1)
             ids = pa.ListArray.from_arrays(offsets, np.concatenate(each) if each else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        coder.forget()
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")

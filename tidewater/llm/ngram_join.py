@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.part_enum import SIMILAR, bands_of, signatures
-from tidewater.llm.shared import MAX_BROADCAST_ROWS, materialise, sized, sliced
+from tidewater.llm.shared import MAX_BROADCAST_ROWS, give_back, materialise, sized, sliced
 from tidewater.llm.shingle_sets import mixed, shingle_sets, sums
 
 #: Words of a shingle; members of a short run; rounds of striking off; shingles in a block of the last comparison.
 WORDS, SHORT, ROUNDS, BLOCK_SHINGLES = 5, 12, 4, 400_000
 #: Signatures, and texts, of one packed array in a task; signatures of a range.
-PACK_SIGNATURES, PACK_TEXTS, RANGE_SIGNATURES = 500_000, 60_000, 1_000_000
+PACK_SIGNATURES, PACK_TEXTS, RANGE_SIGNATURES = 400_000, 60_000, 1_000_000
 #: Digests that may be known to collide (of n sets about n * n / 2 ** 65 do).
 MAX_COLLISIONS = 100_000
 
@@ -134,6 +134,8 @@ def packed_signatures(docs: DataFrame, n: int, ranges: int, collided: list[int])
                 held, signed, texts = [], 0, 0
         if held:
             yield from flushed()
+            held = []
+        give_back()
 
     return docs.mapInArrow(run, "range int, kind int, sigs binary, nodes binary, places binary")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,46 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Lists that note the folders of tables as they are written.
+noted: list[list[str]] = []
+
+
+@contextmanager
+def noting(folders: list[str]) -> Iterator[None]:
+    """Within it, ``folders`` takes the names of all tables that are written."""
+    noted.append(folders)
+    try:
+        yield
+    finally:
+        noted.remove(folders)
+
+
+def delete_tables(folders: list[str], needed: DataFrame) -> None:
+    """Delete the noted tables, but for those that ``needed`` still reads, and forget them."""
+    spark = needed.sparkSession
+    reads = [urlsplit(f).path for f in needed.inputFiles()] if folders else []
+    for folder in list(folders):
+        if not any(f.startswith(urlsplit(folder).path) for f in reads):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            folders.remove(folder)
+
+
+def give_back() -> None:
+    """At the end of a task, return freed memory to the system: workers are used again by stages that need none of it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and lost executors cost no recompute.
 
     What Python workers take at a time is bounded meanwhile; so operators that run Python give their results in this way.
     """
     spark, path = df.sparkSession, fresh_folder(df.sparkSession, label)
+    for folders in noted:
+        folders.append(path)
     with small_batches(spark):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import FRAGMENT, WHITE_SPACE, json_ranks, split
-from tidewater.llm.shared import materialise, sliced
+from tidewater.llm.shared import give_back, materialise, sliced
 
 CHUNK_CHARS = 1 << 12
 #: Transitions kept by each transducer of a worker, of symbols up to KEEP_CHARS: at most some 100 MB.
@@ -151,6 +151,11 @@ class CountingTokenizer:
             return len(parts) // 2 + sum(map(self._run, filter(None, parts[::2])))
         return sum(map(self.words.__getitem__, split(text)))
 
+    def forget(self) -> None:
+        self.bytes.reset()
+        for kept in (self.words, self.runs, self.bytes.compatible):
+            kept.clear()
+
     def emit(self, text: str) -> int:
         return sum(map(self.runs.__getitem__, FRAGMENT.findall(text)))
 
@@ -195,10 +200,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     """``doc_id, n_bytes, n_tokens, over_limit`` per row, for a byte-level BPE vocabulary file (.json) that every executor has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = tokenizer(vocabulary).count
+        counter = tokenizer(vocabulary)
         for batch in sliced(batches, "t"):
-            counts = [count(x) if x else 0 for x in batch.column("t").to_pylist()]
+            counts = [counter.count(x) if x else 0 for x in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        counter.forget()
+        give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
