@@ -11,6 +11,8 @@ through, whatever their names. An empty table passes through empty.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +22,33 @@ from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.language_id import annotate
 from tidewater.llm.ngram_join import similar_components
 from tidewater.llm.queries import code_digests, table, vocabulary
-from tidewater.llm.shared import drop_rows, free_name, materialise, numbered, sized
+from tidewater.llm.shared import delete_tables, drop_rows, free_name, materialise, noting, numbered, sized
+
+
+#: Tables that the last stage wrote on its way.
+ON_THE_WAY: list[str] = []
+
+
+def stage(function):
+    """A stage first deletes what the one before wrote on its way: its rows have been written by then, or else are spared."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_tables(ON_THE_WAY, docs)
+        with noting(ON_THE_WAY):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected are documents in no language: null texts and texts without a letter."""
     name = free_name(docs, "language")
     return materialise(annotate(docs, name=name).where(F.col(name) != "und").drop(name), "languages")
 
 
+@stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     name = free_name(docs, "row")
@@ -37,6 +57,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_rows(rows, materialise(found.where("NOT kept").select(F.col("doc_id.row").alias(name)), "dropped"), name)
 
 
+@stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the row with the smallest id stays."""
     name = free_name(docs, "row")
@@ -50,11 +71,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_rows(rows, materialise(dropped, "dropped"), name)
 
 
+@stage
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, decoded again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
