@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from tidewater.llm import ngram_join as N
 from tidewater.llm import part_enum as P
@@ -123,10 +124,14 @@ def test_sets_of_colliding_digests_stay_apart(spark, monkeypatch):
     rows = corpus(1)
     real = N.digests
     monkeypatch.setattr(N, "digests", lambda flat, offsets: (real(flat, offsets)[0] % 40, real(flat, offsets)[1]))
+    cloudpickle.register_pickle_by_value(N)  # so that workers take the digests of this test, too
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = N.set_table(N.text_rows(docs, "doc_id", "text"), 5)
-    assert len(N.collisions(sets)) > 10
-    assert run(spark, rows) == brute(rows)
+    try:
+        assert len(N.collisions(sets)) > 10
+        assert run(spark, rows) == brute(rows)
+    finally:
+        cloudpickle.unregister_pickle_by_value(N)
 
 
 def chain(seed):

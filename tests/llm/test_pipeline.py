@@ -83,3 +83,39 @@ def test_stages_drop_rows_and_not_ids(spark):
     assert C.benchmark_stage(spark, docs, SF).count() == 9
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_a_stage_leaves_what_others_still_read(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    one = rows_of(spark, [(1, "a"), (2, "A"), (None, "a"), (3, long), (4, long + " x")])
+    for _, stage in C.STAGES[:4]:
+        first = stage(spark, one, SF)
+        want = sorted(map(tuple, first.collect()), key=str)
+        for _, other in C.STAGES[:4]:
+            other(spark, one, SF).count()
+        assert sorted(map(tuple, first.collect()), key=str) == want
+
+
+def test_very_long_texts_and_what_is_written(spark):
+    from tidewater.llm.shared import noting
+
+    text = " ".join(f"w{k % 90_000}" for k in range(400_000))
+    docs = rows_of(spark, [(1, text), (2, text.upper()), (3, text + " end"), (4, "short text here")])
+    written = []
+    with noting(written):
+        for _, stage in C.STAGES[:4]:
+            docs = stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == [2, 4]
+
+
+def test_items_that_repeat_are_dealt_once(spark):
+    from tidewater.llm.decontaminate import blocks_of, drop_contaminated, find_contamination
+
+    passage = " ".join(f"word{k}" for k in range(40))
+    items = spark.createDataFrame([(k, passage) for k in range(300)], "item_id long, text string")
+    docs = rows_of(spark, [(1, "before " + passage + " after"), (2, "nothing of it"), (None, passage)])
+    assert [r.doc_id for r in drop_contaminated(docs, items, block_bytes=2_000).collect()] == [2]
+    count, blocks = blocks_of(items.withColumnRenamed("text", "t"), 5, 0.5, 20_000)
+    sizes = [len(b.ids) for b in blocks]
+    assert count > 2 and sum(sizes) == 300 and max(sizes) < 150
+    assert find_contamination(docs, items.limit(3)).count() == 6

@@ -81,3 +81,16 @@ def test_given_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op10_suffix_dedup(spark, sf).collect()), key=str) == brute(rows, 200)
+
+
+def test_rows_without_an_id_of_their_own(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    a, b, c = ("".join(rng.choices("abcdefgh ", k=256)) for _ in range(3))
+    monkeypatch.setattr(F, "hash", lambda *_: F.lit(1))
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    for ids in ((None, None, 5), (7, 7, 5), (-(1 << 63), -(1 << 63), 5), (-3, 7, -3)):
+        rows = [(ids[0], a), (ids[1], b), (ids[2], a), (9, c), (None, c[:100])]
+        got = sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        assert got == brute(rows, 200) and [r[2] for r in got].count(256) == 2

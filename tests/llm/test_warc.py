@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import os
 
 from pyspark.sql import functions as F
 
@@ -98,3 +99,36 @@ def test_archives_of_others(spark, tmp_path):
     assert bytes(rows["response"].payload) == body and rows["response"].payload_bytes == len(body) and rows["response"].target_uri == "http://x"
     assert bytes(rows["resource"].payload) == b"plain" and bytes(rows["warcinfo"].payload) == b"software: x"
     assert rows["response"].payload_digest == hashlib.sha256(body).hexdigest()
+
+
+def test_predicates_and_payloads_change_no_row(spark, tmp_path):
+    http = lambda body: b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    record = lambda kind, block, more="": (f"WARC/1.0\r\nWARC-Type: {kind}\r\n{more}Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    http_type = "Content-Type: application/http; msgtype=response\r\n"
+    records = [
+        record("response", http(b"plain"), http_type + "WARC-Payload-Digest: sha1:ABC\r\nWARC-Target-URI: http://a\r\nWARC-Page-Id: 1\r\n"),
+        record("response", http(b"stated"), http_type + f"WARC-Payload-Digest: SHA256:{sha(b'stated').upper()}\r\nWARC-Page-Id: 2\r\n"),
+        record("response", b"no headers of its own"),
+        record("revisit", b"", "WARC-Payload-Digest: sha1:ABC\r\nWARC-Refers-To-Page-Id: 1\r\nWARC-Page-Id: 3\r\n"),
+        record("warcinfo", b"software: x"),
+    ]
+    for name, packed in (("others", False), ("gzipped", True)):
+        os.makedirs(tmp_path / name)
+        with open(tmp_path / name / ("a.warc.gz" if packed else "a.warc"), "wb") as f:
+            f.write(b"".join(gzip.compress(r) if packed else r for r in records))
+    write_warc(spark.createDataFrame(ROWS, "page_id long, url string, html string"), f"file://{tmp_path}/own")
+    columns = ["page_id", "record_type", "target_uri", "refers_to", "payload_bytes", "payload_digest"]
+    for name in ("others", "gzipped", "own"):
+        path = f"file://{tmp_path}/{name}"
+        rows = sorted((tuple(r) for r in read_warc(spark, path).select(columns).collect()), key=str)
+        assert sorted((tuple(r) for r in read_warc(spark, path, payload=False).select(columns).collect()), key=str) == rows
+        for k, column in enumerate(columns):
+            values = sorted({r[k] for r in rows if r[k] is not None}, key=str)[:4] + (["ABC"] if column == "payload_digest" else [])
+            for payload in (True, False):
+                read = lambda: read_warc(spark, path, payload=payload).select(columns)  # noqa: B023, E731
+                for value in values:
+                    assert sorted((tuple(r) for r in read().where(F.col(column) == value).collect()), key=str) == [r for r in rows if r[k] == value]
+                assert sorted((tuple(r) for r in read().where(F.col(column).isNotNull()).collect()), key=str) == [r for r in rows if r[k] is not None]
+    found = {r.page_id: r for r in read_warc(spark, f"file://{tmp_path}/others").where("record_type = 'response'").collect()}
+    assert (found[1].payload_bytes, found[1].payload_digest) == (5, sha(b"plain")) and found[2].payload_digest == sha(b"stated") and found[None].payload_bytes == 21

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewater.llm.shared import drop_rows, free_name, materialise, numbered, sliced
+from tidewater.llm.shared import drop_rows, free_name, materialise, row_ids, sliced
 from tidewater.llm.shingle_sets import mixed, word_hashes
 
 #: Words of the shortest tile; least share of an item's words under tiles; item text in a block.
@@ -176,8 +176,10 @@ def blocks_of(items: DataFrame, min_match: int, least_cover: float, block_bytes:
     """Of items (item_id, t), the number of blocks of about ``block_bytes`` of text, and the blocks, made one at a time."""
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = total // block_bytes + 1
-    rows = lambda k: items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()
-    return blocks, (Block.of([(r.item_id, r.t) for r in rows(k)], min_match, least_cover) for k in range(blocks))
+    dealt = items.withColumn("k", F.pmod(F.xxhash64("t", "item_id"), F.lit(blocks)))
+    used = sorted(r.k for r in dealt.select("k").distinct().collect()) if blocks > 1 else [0]  # a row a block
+    rows = lambda k: dealt.where(F.col("k") == k).collect()
+    return blocks, (Block.of([(r.item_id, r.t) for r in rows(k)], min_match, least_cover) for k in used)
 
 
 def item_rows(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
@@ -205,22 +207,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = M
     return reduce(DataFrame.unionByName, (materialise(against(rows, block, items.schema["item_id"].dataType), "contaminated") for block in blocks))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, least_cover: float = LEAST_COVER, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text contains an item: one pass over the texts for each block, and rows are dropped by number."""
-    items = item_rows(benchmark, item_col, item_text_col)
-    count, blocks = blocks_of(items, min_match, least_cover, block_bytes)
-    if count > 1:
-        number = free_name(docs, "row")
-        rows = numbered(docs, number)
-        texts = rows.select(F.col(number).alias("doc_id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-        found = [materialise(against(texts, block, items.schema["item_id"].dataType).select(F.col("doc_id").alias(number)).distinct(), "contaminated") for block in blocks]
-        return drop_rows(rows, materialise(reduce(DataFrame.union, found).distinct(), "contaminated"), number)
-    block = next(blocks)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, text_col):
-            keep = np.ones(b.num_rows, bool)
-            keep[[x[0] for x in block.find_all([t or "" for t in b.column(text_col).to_pylist()])]] = False
-            yield b.filter(pa.array(keep))
-
-    return materialise(docs.mapInArrow(run, docs.schema), "clean")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, least_cover: float = LEAST_COVER, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text contains an item: one pass over the texts for each block of items, of equal items one."""
+    items = item_rows(benchmark, item_col, item_text_col).groupBy("t").agg(F.min("item_id").alias("item_id"))
+    _, blocks = blocks_of(items, min_match, least_cover, block_bytes)
+    number = free_name(docs, "row")
+    rows = row_ids(docs, id_col, number)
+    texts = rows.select(F.col(number).alias("doc_id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    found = [materialise(against(texts, block, items.schema["item_id"].dataType).select(F.col("doc_id").alias(number)), "contaminated") for block in blocks]
+    return drop_rows(rows, materialise(reduce(DataFrame.union, found).distinct(), "contaminated"), number)

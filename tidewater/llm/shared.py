@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -36,18 +37,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-#: Lists that note the folders of tables as they are written.
-noted: list[list[str]] = []
+#: Lists that note the folders of tables as this thread writes them.
+noted: ContextVar[tuple[list[str], ...]] = ContextVar("noted", default=())
 
 
 @contextmanager
 def noting(folders: list[str]) -> Iterator[None]:
-    """Within it, ``folders`` takes the names of all tables that are written."""
-    noted.append(folders)
+    """Within it, ``folders`` takes the names of all tables that this thread writes."""
+    token = noted.set((*noted.get(), folders))
     try:
         yield
     finally:
-        noted.remove(folders)
+        noted.reset(token)
 
 
 def delete_tables(folders: list[str], needed: DataFrame) -> None:
@@ -74,7 +75,7 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     What Python workers take at a time is bounded meanwhile; so operators that run Python give their results in this way.
     """
     spark, path = df.sparkSession, fresh_folder(df.sparkSession, label)
-    for folders in noted:
+    for folders in noted.get():
         folders.append(path)
     with small_batches(spark):
         df.write.option("compression", compression).parquet(path)
@@ -107,8 +108,24 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def row_ids(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``df`` with a further long column that tells its rows apart: the id, or a negative number.
+
+    Numbers go to rows whose id is null, negative or repeated; only these rows are written.
+    """
+    own = df.withColumn(name, F.when(F.col(id_col) >= 0, F.col(id_col).cast("long")))
+    odd = materialise(own.groupBy(name).count().where(f"count > 1 OR {name} IS NULL").select(name), "oddids")
+    if odd.isEmpty():
+        return own
+    single = own.where(F.col(name).isNotNull()).join(sized(odd), name, "left_anti")
+    several = odd.withColumnRenamed(name, "odd")
+    rest = own.join(sized(several), F.col(name).eqNullSafe(F.col("odd")), "left_semi").drop(name)
+    columns = [*df.columns, name]
+    return single.select(columns).unionByName(numbered(rest, name).withColumn(name, -1 - F.col(name)).select(columns))
+
+
 def drop_rows(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """Rows of a ``numbered`` table whose number is not in the materialised one-column table ``dropped``, without the number."""
+    """Rows that :func:`row_ids` told apart, but for those of the materialised one-column table ``dropped``, without the number."""
     return rows.join(sized(dropped), name, "left_anti").drop(name)
 
 

@@ -6,7 +6,9 @@ go to any file system that Spark writes, under its commit protocol. Payloads tha
 The reader plans partitions of whole archive files, takes predicates on record type and on headers, reads a record's
 headers first, and seeks past the payload of a record that a predicate rejects or when no payload column is asked for.
 It takes others' archives too: gzipped ones (``.gz``, a member a record), header names in any case, and HTTP messages, whose
-payload is what follows their own headers.
+payload is what follows their own headers. A response's length and SHA-256 are its headers' if they state them; else they are taken from
+its payload, which is read for them even if no payload column is asked for. A predicate on what headers do not state is decided
+after that, so predicates and ``payload`` change no row.
 
 Defined cases: a null payload is written as an empty one; a null id is written without its header and read as null;
 pages that repeat id and payload are records of their own, and all but one of them revisit it, as do all but one of equal
@@ -20,7 +22,8 @@ import gzip
 import hashlib
 import io
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlsplit
 
@@ -36,6 +39,8 @@ END = "\r\n\r\n"
 SCHEMA = "page_id long, record_type string, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 #: Column, header and conversion.
 HEADERS = {"page_id": ("WARC-Page-Id", int), "record_type": ("WARC-Type", str.strip), "target_uri": ("WARC-Target-URI", str), "refers_to": ("WARC-Refers-To-Page-Id", int), "payload_bytes": ("WARC-Payload-Length", int), "payload_digest": ("WARC-Payload-Digest", lambda x: x.strip().rpartition(":")[2])}
+#: A stated digest that is taken as it stands.
+SHA256 = re.compile(r"sha256:[0-9a-f]{64}", re.IGNORECASE)
 #: Bytes that a reader takes at a time, and rows and payload bytes of one batch.
 BLOCK, BATCH_ROWS, BATCH_BYTES = 1 << 20, 2_000, 16 << 20
 
@@ -135,12 +140,15 @@ def payload_of(block: bytes, heads: dict[str, str]) -> bytes:
 
 
 class WarcReader(DataSourceReader):
-    """Options: ``path``; ``payload`` (false: payloads are skipped and read as null); ``verify`` (payload digests are compared)."""
+    """Options: ``path``; ``payload`` (false: payloads are skipped and read as null); ``verify`` (digests and lengths of payloads are compared);
+    ``derive`` (as ``payload`` unless stated; false: lengths and digests that headers do not state are null).
+    """
 
     def __init__(self, options: dict):
         self.uri = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "true").lower() == "true"
+        self.derive = options.get("derive", str(self.payload)).lower() == "true"
         self.bytes = int(options.get("partitionBytes", 32 << 20))
         self.wanted: dict[str, set] = {}
         self.present: set[str] = set()
@@ -166,8 +174,9 @@ class WarcReader(DataSourceReader):
             size += n
         return [Archives(self.uri, x) for x in out]
 
-    def keeps(self, row: dict) -> bool:
-        return all(row[k] in v for k, v in self.wanted.items()) and all(row[k] is not None for k in self.present)
+    def keeps(self, row: dict, known: Container[str] = HEADERS) -> bool:
+        """Whether the predicates take a row of which the ``known`` columns are settled."""
+        return all(row[k] in v for k, v in self.wanted.items() if k in known) and all(row[k] is not None for k in self.present if k in known)
 
     def records(self, f: io.BufferedIOBase) -> Iterator[dict]:
         data, at = b"", 0
@@ -184,20 +193,30 @@ class WarcReader(DataSourceReader):
             heads = parse_headers(data[at:stop])
             row = {c: convert(heads[h.lower()]) if h.lower() in heads else None for c, (h, convert) in HEADERS.items()}
             row["payload"] = None
+            stated = SHA256.fullmatch(heads.get("warc-payload-digest", "").strip())
+            if stated:
+                row["payload_digest"] = row["payload_digest"].lower()
+            settled, response = set(HEADERS), row["record_type"] == "response"
+            if response and self.derive:
+                settled -= {c for c, known in (("payload_bytes", row["payload_bytes"] is not None), ("payload_digest", stated)) if not known}
             at, length = stop + 4, int(heads["content-length"])
             end = at + length + 4
-            if self.payload and self.keeps(row):
+            if self.keeps(row, settled) and (self.payload or len(settled) < len(HEADERS)):
                 if end > len(data):
                     data, at, end = data[at:] + f.read(end - len(data)), 0, length + 4
                 if len(data) < at + length:
                     raise ValueError("an archive ends inside a payload")
-                row["payload"] = payload_of(data[at : at + length], heads)
-                if row["record_type"] == "response":
-                    row["payload_bytes"], digest = len(row["payload"]), hashlib.sha256(row["payload"]).hexdigest()
-                    stated = heads.get("warc-payload-digest", "").strip()
-                    if self.verify and stated.lower().startswith("sha256:") and stated.rpartition(":")[2] != digest:
-                        raise ValueError("a payload differs from its digest")
-                    row["payload_digest"] = digest
+                payload = payload_of(data[at : at + length], heads)
+                if response:
+                    digest = hashlib.sha256(payload).hexdigest()
+                    if self.verify and (stated and row["payload_digest"] != digest or row["payload_bytes"] not in (None, len(payload))):
+                        raise ValueError("a payload differs from its digest or its length")
+                    if "payload_bytes" not in settled:
+                        row["payload_bytes"] = len(payload)
+                    if "payload_digest" not in settled:
+                        row["payload_digest"] = digest
+                if self.payload:
+                    row["payload"] = payload
             if end > len(data):  # past what has been read: seek, nothing is read
                 f.seek(end - len(data), io.SEEK_CUR)
                 data, at = b"", 0
@@ -238,7 +257,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     """Records of the archives under ``path``; filters on header columns are taken by the reader."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("derive", "true").load(path)
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
