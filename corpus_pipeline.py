@@ -1,9 +1,11 @@
 """The corpus pipeline: documents are filtered, deduplicated, decontaminated and encoded.
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents. Stages are
-written as Parquet to the shared folder and read again, so that a lost executor costs at most one stage's work.
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents. A stage writes what
+it decides, a narrow table, and gives its input's rows without the rejected ones; so each stage's texts are written once, by
+who calls it. Written to the shared folder and read again, a lost executor costs at most one stage's work. What a stage wrote on its
+way is deleted at its end, but for what its result reads.
 
-Defined cases: stages drop rows and not ids, by a number that each row of their input gets. So an id's other texts stay if it
+Defined cases: stages drop rows and not ids: rows are told apart by id, or by a number where ids are null, negative or repeat. So an id's other texts stay if it
 repeats, one of rows that repeat id and text stays, and rows without an id are deduplicated like others (of copies one with an id
 stays, if there is one). Null texts and texts without a letter go in the first stage. Further columns of documents are carried
 through, whatever their names. An empty table passes through empty.
@@ -19,24 +21,21 @@ from pyspark.sql import functions as F
 from tidewater.llm.bpe_codec import decode_documents, encode_documents
 from tidewater.llm.decontaminate import drop_contaminated
 from tidewater.llm.exact_dedup import exact_dedup
-from tidewater.llm.language_id import annotate
+from tidewater.llm.language_id import fit, identify
 from tidewater.llm.ngram_join import similar_components
 from tidewater.llm.queries import code_digests, table, vocabulary
-from tidewater.llm.shared import delete_tables, drop_rows, free_name, materialise, noting, numbered, sized
-
-
-#: Tables that the last stage wrote on its way.
-ON_THE_WAY: list[str] = []
-
+from tidewater.llm.shared import delete_tables, drop_rows, free_name, materialise, noting, row_ids, sized
 
 def stage(function):
-    """A stage first deletes what the one before wrote on its way: its rows have been written by then, or else are spared."""
+    """A stage deletes what it wrote on its way and its result doesn't read."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete_tables(ON_THE_WAY, docs)
-        with noting(ON_THE_WAY):
-            return function(spark, docs, sf_dir)
+        own: list[str] = []
+        with noting(own):
+            out = function(spark, docs, sf_dir)
+        delete_tables(own, out)
+        return out
 
     return run_stage
 
@@ -44,15 +43,17 @@ def stage(function):
 @stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected are documents in no language: null texts and texts without a letter."""
-    name = free_name(docs, "language")
-    return materialise(annotate(docs, name=name).where(F.col(name) != "und").drop(name), "languages")
+    name = free_name(docs, "row")
+    rows = row_ids(docs, "doc_id", name)
+    found = identify(rows, fit(docs), id_col=name)
+    return drop_rows(rows, materialise(found.where("lang_pred = 'und'").select(F.col("doc_id").alias(name)), "dropped"), name)
 
 
 @stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     name = free_name(docs, "row")
-    rows = numbered(docs, name)
+    rows = row_ids(docs, "doc_id", name)
     found = exact_dedup(rows.select(F.struct(F.col("doc_id").alias("id"), F.col(name).alias("row")).alias("doc_id"), "text"))
     return drop_rows(rows, materialise(found.where("NOT kept").select(F.col("doc_id.row").alias(name)), "dropped"), name)
 
@@ -61,7 +62,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the row with the smallest id stays."""
     name = free_name(docs, "row")
-    rows = numbered(docs, name)
+    rows = row_ids(docs, "doc_id", name)
     found = materialise(similar_components(rows, id_col=name).select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")), "components")
     several = materialise(found.where("c <> row").select("c").distinct(), "several")
     members = found.join(sized(several), "c", "left_semi").join(rows.select(F.col(name).alias("row"), F.col("doc_id").alias("id")), "row")
@@ -97,8 +98,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written; a stage's rows are deleted when the next one's are written."""
+    docs, written = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = materialise(docs, f"stage{k}")
+        with noting(written):
+            docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        delete_tables(written, docs)
     return docs
