@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidewater.plans import answers, context, evidence, events, guards, integrity, prepare, reports  # noqa: F401  they register queries
+from tidewater.plans import answers, context, evidence, events, guards, integrity, prepare, reports, runs  # noqa: F401  they register queries
 from tidewater.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -14,7 +14,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("dir")
     run.add_argument("--out")
     args = parser.parse_args(argv)
-    from tidewater.plans import answers, context, evidence, events, integrity, prepare, reports  # noqa: F401  they register queries
+    from tidewater.plans import answers, context, evidence, events, integrity, prepare, reports, runs  # noqa: F401  they register queries
     from tidewater.plans.registry import QUERIES
 
     if args.command == "list":

@@ -19,6 +19,13 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{found.rstrip('/')}/tidewater-{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written to the shared folder and read again: its rows stay where they are and cost no recomputation."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, if its files give fewer; else as it is.
 

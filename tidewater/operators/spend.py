@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.prefix import BLOCK_ROWS, fold_before
+
 #: Dollars per million tokens in and out, the output cap of a call, and the margin of a reservation.
 INPUT_RATE, OUTPUT_RATE, OUTPUT_CAP, MARGIN = 0.1, 0.4, 1024, 1.01
 
@@ -33,12 +35,13 @@ def states(log: DataFrame) -> DataFrame:
     return rows.withColumn("state", F.when(F.col("cost").isNull(), "reserved").otherwise("complete")).withColumn("blocked", F.col("cost").isNull())
 
 
-def within_ceiling(requests: DataFrame, ceilings: DataFrame) -> DataFrame:
+def within_ceiling(requests: DataFrame, ceilings: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Requests (key, category, seq, amount) with ``spent`` before each and whether it is granted: a strict prefix of each category.
 
-    What comes after the first refusal waits too, so the sum is a running one; ceilings (category, ceiling) are a handful.
+    What comes after the first refusal waits too, so the sum is a running one, over blocks of rows; ceilings (category,
+    ceiling) are a handful.
     """
-    order = Window.partitionBy("category").orderBy("seq", "key").rowsBetween(Window.unboundedPreceding, 0)
-    rows = requests.withColumn("total", F.sum("amount").over(order)).join(ceilings, "category", "left")
-    granted = (F.col("amount") >= 0) & F.coalesce(F.col("total") <= F.col("ceiling"), F.lit(False))
-    return rows.select("key", "category", (F.col("total") - F.col("amount")).alias("spent"), granted.alias("granted"))
+    rows = fold_before(requests.select("key", "category", "seq", "amount"), ["category"], ["seq", "key"], "amount", "sum", "spent", block_rows)
+    rows = rows.withColumn("spent", F.coalesce("spent", F.lit(0.0))).join(ceilings, "category", "left")
+    granted = (F.col("amount") >= 0) & F.coalesce(F.col("spent") + F.col("amount") <= F.col("ceiling"), F.lit(False))
+    return rows.select("key", "category", "spent", granted.alias("granted"))

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.layout import written
+from tidewater.operators.prefix import BLOCK_ROWS, fold_before
+
 
 def mean(value: Column, digits: int = 6) -> Column:
     """Mean of what is there; null for nothing."""
@@ -33,10 +36,10 @@ def complete_mean(rows: DataFrame, n_seeds: int, keys: list[str], value: str, se
     return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.countDistinct(seed).alias("n")).where(F.col("n") == n_seeds).drop("n")
 
 
-def pareto(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+def pareto(rows: DataFrame, x: str, y: str, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows no other of the keys beats: rising x, strictly rising y."""
-    order = Window.partitionBy(*keys).orderBy(x, F.desc(y)).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("best", F.max(y).over(order)).where(F.col("best").isNull() | (F.col(y) > F.col("best"))).drop("best")
+    best = fold_before(rows, keys, [F.col(x), F.desc(y)], y, "max", "best", block_rows)
+    return best.where(F.col("best").isNull() | (F.col(y) > F.col("best"))).drop("best")
 
 
 def latest(rows: DataFrame, keys: list[str], failed: Column, seq: str) -> DataFrame:
@@ -45,9 +48,14 @@ def latest(rows: DataFrame, keys: list[str], failed: Column, seq: str) -> DataFr
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+#: How far the positions of two strata lie apart, so that their draws differ.
+STRATUM_STEP = 15_485_863
+
+
 def portable_draw(replicate: Column, position: Column, n: Column) -> Column:
     """Which cluster a replicate draws at a position: a rule that every engine computes alike."""
-    return F.pmod((replicate * 7919 + position * 104729 + 12345) * F.lit(1103515245), F.lit(2147483648)) % n
+    seed = F.pmod(replicate * 7919 + position * 104729 + 12345, F.lit(2147483648))  # first, so that no product leaves 64 bits
+    return F.pmod(seed * F.lit(1103515245), F.lit(2147483648)) % n
 
 
 def portable_bootstrap(clusters: DataFrame, draws: int, keys: list[str]) -> DataFrame:
@@ -65,6 +73,27 @@ def portable_bootstrap(clusters: DataFrame, draws: int, keys: list[str]) -> Data
     return whole.join(ci, keys)
 
 
+def stratified_bootstrap(clusters: DataFrame, draws: int, keys: list[str], stratum: str = "stratum", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``estimate, lo, hi, n_clusters``: :func:`portable_bootstrap` with clusters drawn within strata of (keys, stratum, cluster).
+
+    A draw is a rule of replicate, position and the stratum's size, so it needs no generator and no stratum in one task: clusters
+    are numbered by blocks, and a replicate's sums are added up over the strata as partial sums.
+    """
+    within = [*keys, stratum]
+    rows = fold_before(clusters.withColumn("_one", F.lit(1)), within, ["cluster"], "_one", "sum", "i", block_rows).withColumn("i", F.coalesce("i", F.lit(0)))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy(stratum))  # over a row a stratum
+    sizes = clusters.groupBy(*within).agg(F.count("*").alias("n")).withColumn("s", number)
+    rows = written(rows.join(sizes, within).select(*within, F.col("i").cast("long").alias("i"), "n", "s", "cluster_sum", "cluster_n"), "numbered")
+    picks = rows.select(*within, "i", "n", "s", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
+    picks = picks.select(*within, "r", portable_draw(F.col("r").cast("long"), F.col("i") + F.col("s") * STRATUM_STEP, F.col("n")).alias("i"))
+    sums = [F.sum("cluster_sum").alias("cluster_sum"), F.sum("cluster_n").alias("cluster_n")]
+    each = picks.groupBy(*within, "r", "i").agg(F.count("*").alias("times")).join(rows.drop("n", "s"), [*within, "i"])
+    each = each.groupBy(*keys, "r").agg((F.sum(F.col("cluster_sum") * F.col("times")) / F.sum(F.col("cluster_n") * F.col("times"))).alias("x"))
+    ci = each.groupBy(*keys).agg(F.round(F.percentile("x", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("x", F.lit(0.975)), 6).alias("hi"))
+    whole = clusters.groupBy(*keys).agg(*sums, F.count("*").alias("n_clusters")).withColumn("estimate", F.round(F.col("cluster_sum") / F.col("cluster_n"), 6))
+    return whole.drop("cluster_sum", "cluster_n").join(ci, keys)
+
+
 def cluster_bootstrap(clusters: DataFrame, keys: list[str], draws: int = 2000, seed: int = 5768) -> DataFrame:
     """The same with numpy's generator, clusters resampled within strata: one small group of cluster sums per key."""
 
@@ -114,4 +143,4 @@ def paired_interval(left: DataFrame, right: DataFrame, draws: int = 200) -> Data
 def round_robin(rows: DataFrame, group: str, digest: Column, n: int) -> DataFrame:
     """A stratified sample of n: one of each group in turn, groups by name, within a group by hash."""
     rows = rows.withColumn("turn_no", F.row_number().over(Window.partitionBy(group).orderBy(digest)))
-    return rows.orderBy("turn_no", group).limit(n)
+    return rows.where(F.col("turn_no") <= n).orderBy("turn_no", group).limit(n)  # each task gives n rows of a group at most

@@ -159,6 +159,24 @@ def bootstrap_portable(spark, sf_dir):
     return S.portable_bootstrap(clusters, 200, ["method"])
 
 
+@query(
+    "bootstrap_stratified",
+    f"""WITH {ANSWERS}, clusters AS (SELECT method, stratum, cluster, sum(correct) AS cluster_sum, count(*) AS cluster_n FROM answers GROUP BY ALL
+    ), numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY method, stratum ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY method, stratum) AS n, dense_rank() OVER (PARTITION BY method ORDER BY stratum) AS s FROM clusters
+    ), picks AS (
+      SELECT method, stratum, r, ((r * 7919 + (i + s * 15485863) * 104729 + 12345) % 2147483648 * 1103515245::BIGINT) % 2147483648 % n AS pick FROM numbered, range(200) t(r)
+    ), each AS (
+      SELECT p.method, p.r, sum(c.cluster_sum) / sum(c.cluster_n) AS x FROM picks p JOIN numbered c ON c.method = p.method AND c.stratum = p.stratum AND c.i = p.pick GROUP BY ALL
+    ), ci AS (SELECT method, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM each GROUP BY method)
+    SELECT method, lo, hi, round(sum(cluster_sum) / sum(cluster_n), 6) AS estimate, count(*) AS n_clusters FROM clusters JOIN ci USING (method) GROUP BY ALL""",
+)
+def bootstrap_stratified(spark, sf_dir):
+    """Clusters drawn within strata by a rule that every engine computes alike."""
+    clusters = answers(spark, sf_dir).groupBy("method", "stratum", "cluster").agg(F.sum("correct").alias("cluster_sum"), F.count("*").alias("cluster_n"))
+    return S.stratified_bootstrap(clusters, 200, ["method"])
+
+
 @query("bootstrap_numpy")
 def bootstrap_numpy(spark, sf_dir):
     """Clusters resampled within strata by numpy's generator; tests hold it against a direct loop."""
@@ -195,20 +213,20 @@ def serving_cost(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("cost", cost).groupBy("event_type").agg(F.round(F.sum("cost"), 4).alias("total"), F.count_if(F.col("cost").isNull()).alias("unknown"))
 
 
-#: Hourly prices by machine.
-HOURLY = {"T4": 0.35, "L4": 0.71, "A100": 3.67}
+#: Hourly prices by machine, of this query alone.
+HOURLY = {"small": 0.41, "medium": 0.93, "large": 3.19}
 
 
 @query(
     "api_cost_tiers",
-    """WITH p(model, i, o, thr, il, ol, th) AS (VALUES ('tiered', 2.0, 12.0, 200000, 4.0, 18.0, NULL), ('flat', 0.5, 3.0, NULL, NULL, NULL, NULL), ('thinking', 0.15, 0.6, NULL, NULL, NULL, 3.5)), c AS (
+    """WITH p(model, i, o, thr, il, ol, th) AS (VALUES ('tiered', 1.4, 9.5, 150000, 3.1, 13.0, NULL), ('flat', 0.7, 2.2, NULL, NULL, NULL, NULL), ('thinking', 0.45, 1.3, NULL, NULL, NULL, 2.8)), c AS (
       SELECT o_orderkey, (['tiered', 'flat', 'thinking', 'unlisted'])[1 + o_orderkey % 4] AS model, CAST(floor(o_totalprice) AS BIGINT) AS n, o_custkey AS m, o_orderkey % 100 AS t FROM orders
     ), r AS (SELECT *, CASE WHEN coalesce(n > thr, false) THEN il ELSE i END AS ri, CASE WHEN coalesce(n > thr, false) THEN ol ELSE o END AS ro FROM c LEFT JOIN p USING (model))
     SELECT o_orderkey, model, round((n * ri + m * ro + t * coalesce(th, ro))::DOUBLE / 1e6, 8) AS cost FROM r""",
 )
 def api_cost_tiers(spark, sf_dir):
     """Calls at a tiered, a flat and a thinking rate; a model without a price costs null."""
-    prices = [("tiered", 2.0, 12.0, 200_000, 4.0, 18.0, None), ("flat", 0.5, 3.0, None, None, None, None), ("thinking", 0.15, 0.6, None, None, None, 3.5)]
+    prices = [("tiered", 1.4, 9.5, 150_000, 3.1, 13.0, None), ("flat", 0.7, 2.2, None, None, None, None), ("thinking", 0.45, 1.3, None, None, None, 2.8)]
     model = F.get(F.array(*map(F.lit, ("tiered", "flat", "thinking", "unlisted"))), (F.col("o_orderkey") % 4).cast("int"))
     calls = table(spark, sf_dir, "orders").select("o_orderkey", model.alias("model"), F.floor("o_totalprice").alias("input_tokens"), F.col("o_custkey").alias("output_tokens"), (F.col("o_orderkey") % 100).alias("thought_tokens"))
     return costs.api_cost(calls, costs.model_prices(spark, prices)).select("o_orderkey", "model", "cost")
@@ -216,13 +234,13 @@ def api_cost_tiers(spark, sf_dir):
 
 @query(
     "gpu_and_selection_cost",
-    """WITH x AS (SELECT o_orderkey, (['T4', 'L4', 'A100', 'other'])[1 + o_orderkey % 4] AS kind, (['head', 'dense', 'bm25', 'provence'])[1 + o_custkey % 4] AS method, o_totalprice / 100 AS s FROM orders), y AS (
-      SELECT *, coalesce(CASE kind WHEN 'T4' THEN 0.35::DOUBLE WHEN 'L4' THEN 0.71 WHEN 'A100' THEN 3.67 END, 0) * s / 3600 AS gpu FROM x)
+    """WITH x AS (SELECT o_orderkey, (['small', 'medium', 'large', 'other'])[1 + o_orderkey % 4] AS kind, (['head', 'dense', 'bm25', 'provence'])[1 + o_custkey % 4] AS method, o_totalprice / 100 AS s FROM orders), y AS (
+      SELECT *, coalesce(CASE kind WHEN 'small' THEN 0.41::DOUBLE WHEN 'medium' THEN 0.93 WHEN 'large' THEN 3.19 END, 0) * s / 3600 AS gpu FROM x)
     SELECT o_orderkey, round(gpu, 6) AS gpu_cost, round(CASE WHEN o_orderkey % 10 = 0 THEN 1.5 WHEN method IN ('head', 'bm25') THEN NULL ELSE gpu END, 6) AS selection_cost FROM y""",
 )
 def gpu_and_selection_cost(spark, sf_dir):
     at = lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
-    gpu = costs.gpu_cost(at(("T4", "L4", "A100", "other"), F.col("o_orderkey") % 4), F.col("o_totalprice") / 100, HOURLY)
+    gpu = costs.gpu_cost(at(("small", "medium", "large", "other"), F.col("o_orderkey") % 4), F.col("o_totalprice") / 100, HOURLY)
     reported = F.when(F.col("o_orderkey") % 10 == 0, 1.5)
     cost = costs.selection_cost(reported, F.lit("gpu"), at(("head", "dense", "bm25", "provence"), F.col("o_custkey") % 4), F.lit(False), F.lit(None).cast("double"), gpu)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(gpu, 6).alias("gpu_cost"), F.round(cost, 6).alias("selection_cost"))
