@@ -89,6 +89,7 @@ def test_queries_over_nulls_and_repeats(spark):
     want = [(i, len((t or "").encode()), n := len(LIBRARY.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t, _ in rows]
     assert got == sorted(want, key=str)
     coded = decode_documents(encode_documents(docs, RANKS), RANKS).collect()
+    assert sorted(encode_documents(docs, RANKS, decode=True).collect(), key=str) == sorted(coded, key=str)
     assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in coded) == sorted((i or 0, (t or "").encode()) for i, t, _ in rows)
     assert all(list(r.ids) == OWN.encode_ordinary(bytes(r.decoded).decode()) for r in coded)
     assert count_tokens(docs.limit(0), JSON).count() == decode_documents(encode_documents(docs.limit(0), RANKS), RANKS).count() == 0

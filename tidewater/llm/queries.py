@@ -40,10 +40,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewater.llm.bpe_codec import decode_documents, encode_documents
+    from tidewater.llm.bpe_codec import encode_documents
 
-    path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    return code_digests(decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path))
+    return code_digests(encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), decode=True))
 
 
 def code_digests(coded: DataFrame) -> DataFrame:
