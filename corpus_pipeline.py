@@ -18,7 +18,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.bpe_codec import decode_documents, encode_documents
+from tidewater.llm.bpe_codec import encode_documents
 from tidewater.llm.decontaminate import drop_contaminated
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.language_id import fit, identify
@@ -81,8 +81,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @stage
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, decoded again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    return code_digests(decode_documents(encode_documents(docs, path), path))
+    return code_digests(encode_documents(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), decode=True))
 
 
 STAGES = [
