@@ -246,3 +246,60 @@ def test_every_kind_of_rule_can_fail(spark):
     assert {r.rule for r in empty.where("NOT passed").collect()} == {"some", "many", "x"}
     with pytest.raises(ValueError, match="one name"):
         C.audit({"a": a}, [C.Unique("n", "a", "id"), C.Unique("n", "a", "t")])
+
+
+def test_layouts_are_made_once(spark, tmp_path):
+    from tidewater.functions.tokens import pieces
+    from tidewater.operators import layouts
+    from tidewater.operators.chunking import chunk_grid
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ab é \n", k=rng.choice([0, 1, 40, 3000]))) for _ in range(12)] + ["a b", "a b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    layouts.open_layouts(spark, "layouts_of_test", f"file://{tmp_path}/layouts", 4)
+    layouts.lay_out(docs, "layouts_of_test", "first", buckets=4)
+    count = spark.table("layouts_of_test").count()
+    assert count == len({t or "" for t in texts})
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 3, "now another text").otherwise(F.col("text")))
+    layouts.lay_out(changed, "layouts_of_test", "second", buckets=4)
+    assert spark.table("layouts_of_test").where("made = 'second'").count() == 1 and spark.table("layouts_of_test").count() == count + 1
+    rows = layouts.with_layout(changed.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "layouts_of_test")
+    for r in rows.withColumn("p", pieces(F.col("text"))).collect():
+        ends = [sum(map(len, r.p[: k + 1])) for k in range(len(r.p))]
+        assert list(r.ends) == ends
+    chunks = rows.select("doc_id", "text", F.inline(layouts.chunk_spans(F.col("ends")))).selectExpr("doc_id", "chunk_ord", "token_start", "token_end", "substring(text, char_start + 1, char_end - char_start) AS chunk_text")
+    grid = chunk_grid(changed).select(*chunks.columns)
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, grid.collect())) != []
+    spark.sql("DROP TABLE layouts_of_test")
+
+
+def test_spans_of_a_long_text_are_found_in_one_walk(spark):
+    import time
+
+    from tidewater.functions.tokens import pieces
+    from tidewater.operators import selection
+
+    text = " ".join(f"w{k}" for k in range(100_000))
+    df = spark.createDataFrame([(text, text.index(" w70000 ") + 1, text.index(" w70003 ")), ("a bc d", 2, 4), ("a bc d", 0, 0)], "text string, s int, e int")
+    found = df.select(selection.turn_span_of_pieces(pieces(F.col("text")), F.col("s"), F.col("e")).alias("x"))
+    found.limit(1).collect()
+    t = time.time()
+    assert [tuple(r.x) for r in found.collect()] == [(70_000, 70_003), (1, 2), (0, 1)]
+    assert time.time() - t < 10  # copies of an array for each token took minutes
+
+
+def test_unknown_ids_raise_and_failed_audits_hold_tables_back(spark):
+    from tidewater.operators.integrity import require_known
+    from tidewater.sources import files
+
+    known = spark.createDataFrame([(1,), (2,), (2,)], "id int")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id int, t string")
+    assert sorted(map(tuple, require_known(rows, known, "id").collect())) == [(1, "a"), (2, "b"), (2, "c")]
+    for bad in (3, None):
+        with pytest.raises(Exception, match="unknown id"):
+            require_known(spark.createDataFrame([(bad, "x")], "id int, t string"), known, "id").collect()
+    cells = spark.createDataFrame([("m", "x", 1.25), ("n", "y", 20.0)], "m string, d string, v double")
+    passed = spark.createDataFrame([("r", True)], "rule string, passed boolean")
+    assert files.latex(cells, "m", "d", "v", ["x", "y"], passed).splitlines()[2] == r"n & -- & 20.0 \\"
+    with pytest.raises(ValueError, match="failed audits: r"):
+        files.latex(cells, "m", "d", "v", ["x", "y"], passed.withColumn("passed", ~F.col("passed")))

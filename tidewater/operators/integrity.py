@@ -55,3 +55,11 @@ def rebased_ids(rows: DataFrame, sources: DataFrame) -> DataFrame:
     theirs = sources.select(F.col("id").alias("source"), F.col("digest").alias("foreign"))
     joined = rows.join(mine, "example", "left").join(theirs, "source", "left")
     return joined.withColumn("accepted", F.coalesce(F.col("own") == F.col("foreign"), F.lit(False))).select(*rows.columns, "accepted")
+
+
+def require_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows``, if each key is known; an unknown one raises as it is met, and no count is taken first."""
+    ids = known.select(key).distinct().withColumn("_known", F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    checked = F.when(F.col("_known"), F.col(key)).otherwise(unknown.cast(rows.schema[key].dataType))
+    return rows.join(ids, key, "left").withColumn(key, checked).select(*rows.columns)

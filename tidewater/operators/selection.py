@@ -45,6 +45,15 @@ def turn_span(offsets: Column, start: Column, end: Column) -> Column:
     return F.struct(first.alias("s"), (F.greatest(at(F.greatest(end - 1, start)), first) + 1).alias("e"))
 
 
+def turn_span_of_pieces(parts: Column, start: Column, end: Column) -> Column:
+    """:func:`turn_span` from a text's pieces themselves: one walk over them, whatever their number."""
+    last = F.greatest(end - 1, start)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("s"), F.lit(0).alias("e"))
+    walked = F.aggregate(parts, zero, lambda acc, x: F.struct((acc["at"] + F.char_length(x)).alias("at"), (acc["s"] + (acc["at"] <= start).cast("int")).alias("s"), (acc["e"] + (acc["at"] <= last).cast("int")).alias("e")))
+    first = F.greatest(walked["s"] - 1, F.lit(0))
+    return F.struct(first.alias("s"), (F.greatest(walked["e"] - 1, first) + 1).alias("e"))
+
+
 def spans_of_ids(ids: Column, size: int, overlap: int) -> Column:
     """Merged spans of chunk ids like ``7::3`` by arithmetic alone; malformed ids are skipped."""
     number = F.transform(ids, lambda x: F.regexp_extract(x, r"::\s*([+-]?\d+)\s*$", 1).try_cast("int"))

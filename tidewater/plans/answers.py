@@ -78,9 +78,12 @@ def number_values(spark, sf_dir):
 
 @query(
     "value_match_entity",
-    """WITH w AS (
-      SELECT p_partkey, list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND NOT list_contains(['inc','co','corp','corporation','ltd','llc','plc','the','group','holdings','company','incorporated','and','of'], x)) AS g FROM part
-    ) SELECT p_partkey, len(g) > 0 AND p_partkey % 3 <> 0 AS matched FROM w""",
+    """WITH x AS (
+      SELECT p_partkey, p_name || ' Corp.' AS gold, CASE p_partkey % 3 WHEN 0 THEN 'it was someone else' ELSE 'It was (' || upper(p_name) || '), Inc.' END AS answer FROM part
+    ), w AS (
+      SELECT p_partkey, list_filter(string_split_regex(regexp_replace(lower(gold), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND NOT list_contains(['inc','co','corp','corporation','ltd','llc','plc','the','group','holdings','company','incorporated','and','of'], x)) AS g,
+             string_split_regex(regexp_replace(lower(answer), '[^a-z0-9 ]', ' ', 'g'), ' +') AS said FROM x
+    ) SELECT p_partkey, len(g) > 0 AND len(list_filter(g, lambda x: NOT list_contains(said, x))) = 0 AS matched FROM w""",
 )
 def value_match_entity(spark, sf_dir):
     name = F.col("p_name")

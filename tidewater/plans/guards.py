@@ -44,9 +44,11 @@ def claimed_renderings(spark, sf_dir):
 
 @query(
     "union_validation",
-    f"""WITH {TOK}, x AS (SELECT doc_id, p, CAST(len(p) AS INTEGER) AS n, doc_id % 3 AS kind FROM tok WHERE len(p) >= 40)
-    SELECT doc_id, CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN CASE WHEN replace(array_to_string(p[6:20], '') || chr(10) || array_to_string(p[31:40], ''), 'e', 'x') = array_to_string(p[6:20], '') || chr(10) || array_to_string(p[31:40], '')
-      THEN 'ok' ELSE 'text' END ELSE 'spans' END AS status FROM x""",
+    f"""WITH {TOK}, x AS (
+      SELECT doc_id, p, doc_id % 3 AS kind, CASE doc_id % 3 WHEN 2 THEN [[5, 20], [20, 40]] ELSE [[5, 20], [30, 40]] END AS claimed FROM tok WHERE len(p) >= 40
+    ), r AS (SELECT *, array_to_string(list_transform(claimed, lambda c: array_to_string(p[c[1] + 1 : c[2]], '')), chr(10)) AS rendered FROM x
+    ), t AS (SELECT *, CASE kind WHEN 1 THEN replace(rendered, 'e', 'x') ELSE rendered END AS stored FROM r)
+    SELECT doc_id, CASE WHEN stored <> rendered THEN 'text' WHEN claimed[2][1] <= claimed[1][2] THEN 'spans' ELSE 'ok' END AS status FROM t""",
 )
 def union_validation(spark, sf_dir):
     """Spans with their text: right ones, ones with another text, and ones that touch and should have been merged."""
@@ -80,9 +82,7 @@ def safety_clip(spark, sf_dir):
 def turn_token_spans(spark, sf_dir):
     """Character spans to token spans, the token with the last character included: planted passages come back whole."""
     rows = planted(documents(spark, sf_dir), keep=("p",))
-    ends = F.aggregate("p", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    rows = rows.withColumn("ends", ends).withColumn("starts", F.slice("ends", F.lit(1), F.size("p")))
-    return rows.select("doc_id", selection.turn_span(F.col("starts"), F.col("char_start"), F.col("char_end")).alias("x")).select("doc_id", "x.s", "x.e")
+    return rows.select("doc_id", selection.turn_span_of_pieces(F.col("p"), F.col("char_start"), F.col("char_end")).alias("x")).select("doc_id", "x.s", "x.e")
 
 
 @query(
@@ -188,9 +188,13 @@ def budget_labels(spark, sf_dir):
 
 #: An annotation is a document's planted passage; some name no reviewer, another source, another text, or are not reviewed.
 ANNOTATED = TOK + ", " + FACTS + """, notes AS (
-  SELECT doc_id, a, b, gold, doc_id % 6 AS kind FROM facts
+  SELECT doc_id, a, b, doc_id % 6 AS kind, array_to_string(p, '') AS context, length(array_to_string(p[1:a], '')) AS cs, length(array_to_string(p[1:b], '')) AS ce, gold FROM facts
+), stored AS (
+  SELECT *, CASE kind WHEN 1 THEN 'draft' ELSE 'reviewed' END AS review, CASE WHEN kind <> 2 THEN 'someone' END AS reviewer, CASE kind WHEN 3 THEN reverse(sha256(context)) ELSE sha256(context) END AS source_sha256,
+         CASE kind WHEN 5 THEN NULL WHEN 4 THEN upper(gold) ELSE gold END AS quoted FROM notes
 ), judged AS (
-  SELECT *, CASE kind WHEN 1 THEN 'not_reviewed' WHEN 2 THEN 'no_reviewer' WHEN 3 THEN 'source_changed' WHEN 4 THEN CASE WHEN upper(gold) <> gold THEN 'span_mismatch' ELSE 'ok' END WHEN 5 THEN 'no_support' ELSE 'ok' END AS status FROM notes
+  SELECT *, CASE WHEN review <> 'reviewed' THEN 'not_reviewed' WHEN coalesce(reviewer, '') = '' THEN 'no_reviewer' WHEN source_sha256 <> sha256(context) THEN 'source_changed'
+                 WHEN coalesce(quoted, '') = '' THEN 'no_support' WHEN substr(context, cs + 1, ce - cs) <> quoted THEN 'span_mismatch' ELSE 'ok' END AS status FROM stored
 )"""
 
 
@@ -232,7 +236,9 @@ def reviewed_recall(spark, sf_dir):
 
 @query(
     "controls_as_evidence",
-    f"WITH {TOK}, {FACTS} SELECT doc_id, 'full_context' AS control, true AS hit FROM facts UNION ALL SELECT doc_id, 'empty_context', false FROM facts",
+    f"""WITH {TOK}, {FACTS}, kept AS (
+      SELECT doc_id, control, range(CASE control WHEN 'full_context' THEN len(p) ELSE 0 END) AS tokens, range(a, b) AS gold FROM facts, (VALUES ('full_context'), ('empty_context')) c(control)
+    ) SELECT doc_id, control, list_has_all(tokens, gold) AS hit FROM kept""",
 )
 def controls_as_evidence(spark, sf_dir):
     """Controls are scored like selections: the whole text is one span, the empty one has none."""

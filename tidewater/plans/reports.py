@@ -329,6 +329,31 @@ def unknown_ids_anti(spark, sf_dir):
     return ids.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("unknown"))
 
 
+@query(
+    "report_latex",
+    f"""WITH {ANSWERS}, cells AS (SELECT method, budget, 100 * avg(correct) AS v, count(DISTINCT seed) AS seeds FROM answers GROUP BY ALL), wide AS (
+      SELECT method, max(v) FILTER (WHERE budget = 32 AND seeds = 3) AS x, max(v) FILTER (WHERE budget = 64 AND seeds = 3) AS y, max(v) FILTER (WHERE budget = 128 AND seeds = 3) AS z FROM cells GROUP BY method
+    ) SELECT method, concat_ws(' & ', method, coalesce(printf('%.1f', x), '--'), coalesce(printf('%.1f', y), '--'), coalesce(printf('%.1f', z), '--')) || ' \\\\' AS line FROM wide""",
+)
+def report_latex(spark, sf_dir):
+    """Lines of a table of accuracies; cells without every seed, and budgets nobody ran, are dashes."""
+    from tidewater.sources.files import latex_rows
+
+    cells = answers(spark, sf_dir).groupBy("method", "budget").agg((100 * F.avg("correct")).alias("v"), F.countDistinct("seed").alias("seeds")).where("seeds = 3")
+    return latex_rows(cells, "method", "budget", "v", [32, 64, 128])
+
+
+@query(
+    "known_ids",
+    """SELECT l.doc_id, l.quality FROM labels l SEMI JOIN documents d USING (doc_id)""",
+)
+def known_ids(spark, sf_dir):
+    """Labels of documents; one of a document that isn't there would raise."""
+    from tidewater.operators.integrity import require_known
+
+    return require_known(table(spark, sf_dir, "labels").select("doc_id", "quality"), table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query("report_pivot", f"""WITH {ANSWERS} SELECT method, round(avg(correct) FILTER (WHERE budget = 32), 4) AS "32", round(avg(correct) FILTER (WHERE budget = 64), 4) AS "64", round(avg(correct) FILTER (WHERE budget = 96), 4) AS "96" FROM answers GROUP BY method""")
 def report_pivot(spark, sf_dir):
     return answers(spark, sf_dir).groupBy("method").pivot("budget", [32, 64, 96]).agg(F.round(F.avg("correct"), 4))

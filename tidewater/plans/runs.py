@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewater.operators import constraints as C
-from tidewater.operators import shards
+from tidewater.operators import layouts, shards
 from tidewater.operators.layout import fresh_folder, written
 from tidewater.plans.registry import query, table
 from tidewater.sources import indexed, judgments
@@ -171,3 +171,24 @@ def constraint_audit(spark, sf_dir):
     rules = audit_rules()
     names = {r.table for r in rules} | {r.other for r in rules if isinstance(r, C.Foreign | C.Same)}
     return C.audit({t: table(spark, sf_dir, t) for t in sorted(names)}, rules)
+
+
+@query(
+    "layout_store",
+    r"""WITH now AS (SELECT doc_id, CASE WHEN doc_id % 25 = 4 THEN coalesce(text, '') || ' changed' ELSE coalesce(text, '') END AS text FROM documents
+    ), first AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents
+    ), p AS (SELECT doc_id, text, regexp_extract_all(text, '[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$') AS p FROM now)
+    SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM first WHERE first.text = p.text) THEN 'first' ELSE 'second' END AS made, CAST(len(p) AS INTEGER) AS n_tokens,
+           CAST(CASE WHEN len(p) = 0 THEN 0 ELSE greatest(CAST(ceil((len(p) - 64) / 48.0) AS BIGINT), 0) + 1 END AS INTEGER) AS n_chunks,
+           CASE WHEN len(p) > 0 THEN length(array_to_string(p[1 : 64], '')) END AS first_end FROM p""",
+)
+def layout_store(spark, sf_dir):
+    """Layouts of all texts, made once; after some texts have changed, only these are laid out anew."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 25 == 4, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    name = f"layouts_{uuid.uuid4().hex}"
+    layouts.open_layouts(spark, name, fresh_folder(spark, "layouts"), 8)
+    layouts.lay_out(docs, name, "first", buckets=8)
+    layouts.lay_out(now, name, "second", buckets=8)
+    found = layouts.with_layout(now, name).withColumn("chunks", layouts.chunk_spans(F.col("ends")))
+    return found.select("doc_id", "made", F.size("ends").alias("n_tokens"), F.size("chunks").alias("n_chunks"), F.get("chunks", F.lit(0))["char_end"].cast("long").alias("first_end"))

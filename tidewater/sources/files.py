@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.operators.constraints import require_passed
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines with a stated schema; blank lines are skipped."""
@@ -80,8 +82,17 @@ def markdown(df: DataFrame) -> str:
     return "\n".join(f"| {' | '.join(x)} |" for x in lines)
 
 
-def latex(df: DataFrame, row: str, column: str, value: str, columns: list[str]) -> str:
-    """A pivoted LaTeX table; an incomplete cell is a dash."""
-    wide = df.groupBy(row).pivot(column, columns).agg(F.first(value)).orderBy(row)
-    lines = [" & ".join([r[0], *("--" if v is None else f"{v:.1f}" for v in r[1:])]) + r" \\" for r in small(wide)]
+def latex_rows(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    """``row, line``: the lines of a pivoted LaTeX table; an incomplete cell is a dash."""
+    wide = df.groupBy(row).pivot(column, columns).agg(F.first(value))
+    cells = [F.coalesce(F.format_string("%.1f", F.bround(F.col(f"`{c}`").cast("double"), 1)), F.lit("--")) for c in columns]
+    shown = [F.when(F.col(f"`{c}`").isNull(), F.lit("--")).otherwise(cell) for c, cell in zip(columns, cells, strict=True)]
+    return wide.select(F.col(row), F.concat(F.concat_ws(" & ", F.col(row).cast("string"), *shown), F.lit(r" \\")).alias("line"))
+
+
+def latex(df: DataFrame, row: str, column: str, value: str, columns: list[str], audits: DataFrame | None = None) -> str:
+    """The whole table, ordered by row. With ``audits`` (rule, passed) it is refused as long as one of them has failed."""
+    if audits is not None:
+        require_passed(audits)
+    lines = [r.line for r in small(latex_rows(df, row, column, value, columns).orderBy(row))]
     return "\n".join([rf"\begin{{tabular}}{{l{'r' * len(columns)}}}", *lines, r"\end{tabular}"])
