@@ -16,7 +16,7 @@ import functools
 import heapq
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +28,31 @@ from tidewater.llm.shared import give_back, sliced
 
 #: Bytes of a leaf in encoding, and ids of one in decoding; and fragments kept by a worker, of up to so many characters: at most some 80 MB.
 LEAF_BYTES, LEAF_IDS, KEEP_FRAGMENTS, KEEP_CHARS = 2, 64, 400_000, 64
-#: Windows and halves kept by a worker, and bytes of the longest half that is kept.
+#: Windows of two tokens and halves kept by a worker, and bytes of the longest half that is kept.
 KEEP_PAIRS, KEEP_HALVES = 150_000, 5
+#: Larger windows and whole pieces kept by a worker: at most some 150 MB.
+KEEP_WINDOWS, KEEP_PIECES = 200_000, 300_000
 #: Bytes that are merged without a heap; a rank that no token has.
 SHORT_BYTES, NEVER = 24, 1 << 60
 
 
-def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Lowest-ranked neighbours merge first, the leftmost of equals: short data by looking for the least rank, else by a heap over a linked list."""
+def merge(data: bytes, ranks: dict[bytes, int], first: list[int]) -> list[int]:
+    """Lowest-ranked neighbours merge first, the leftmost of equals: short data by looking for the least rank, else by a heap over a linked list.
+
+    ``first`` holds the ranks of two bytes a, b at 256 a + b.
+    """
     n = len(data)
     if n <= SHORT_BYTES:
         parts = [data[i : i + 1] for i in range(n)]
-        each = [ranks.get(data[i : i + 2], NEVER) for i in range(n - 1)]
+        each, rank = [first[a << 8 | b] for a, b in pairwise(data)], ranks.get
         while each and (least := min(each)) < NEVER:
             i = each.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del each[i]
+            grown = parts[i] = parts[i] + parts.pop(i + 1)
             if i:
-                each[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
+                each[i - 1] = rank(parts[i - 1] + grown, NEVER)
             if i < len(each):
-                each[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
+                each[i] = rank(grown + parts[i + 1], NEVER)
         return [ranks[x] for x in parts]
     after, before, end = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
@@ -75,51 +80,72 @@ class Codec:
     def __init__(self, path: str):
         self.ranks = tiktoken_ranks(path)
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
+        self.first = [self.ranks.get(bytes(divmod(k, 256)), NEVER) for k in range(1 << 16)]
         self.kept: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], list[int]] = {}
         self.halves: dict[bytes, list[int]] = {}
+        self.windows: dict[bytes, list[int]] = {}
+        self.pieces: dict[bytes, list[int]] = {}
 
     def forget(self) -> None:
-        for kept in (self.kept, self.pairs, self.halves):
+        for kept in (self.kept, self.pairs, self.halves, self.windows, self.pieces):
             kept.clear()
 
     def window(self, left: list[int], right: list[int]) -> list[int]:
-        """The two sides' bytes encoded anew; windows of a token on either side are kept."""
-        if len(left) > 1 or len(right) > 1:
-            return merge(self.decode(left + right), self.ranks)
-        pair = (left[0], right[0])
-        if (found := self.pairs.get(pair)) is None:
+        """The two sides' bytes encoded anew; short windows are kept."""
+        data = self.decode(left + right)
+        if len(data) > SHORT_BYTES:
+            return merge(data, self.ranks, self.first)
+        if (found := self.windows.get(data)) is None:
+            if len(self.windows) >= KEEP_WINDOWS:
+                self.windows.clear()
+            found = self.windows[data] = merge(data, self.ranks, self.first)
+        return found
+
+    def seam(self, a: int, b: int) -> list[int]:
+        """The window of a token on either side, kept by its tokens."""
+        if (found := self.pairs.get((a, b))) is None:
             if len(self.pairs) >= KEEP_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[pair] = merge(self.decode(left + right), self.ranks)
+            found = self.pairs[a, b] = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks, self.first)
         return found
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right:
             return left + right
-        i = j = 1
+        n, m, i, j = len(left), len(right), 1, 1
+        window = self.seam(left[-1], right[0])
         while True:
-            window = self.window(left[-i:], right[:j])
-            loose_left = i < len(left) and window[0] != left[-i]
-            loose_right = j < len(right) and window[-1] != right[j - 1]
+            loose_left = i < n and window[0] != left[-i]
+            loose_right = j < m and window[-1] != right[j - 1]
             if not loose_left and not loose_right:
                 return left[:-i] + window + right[j:]
-            i, j = min(len(left), i * 2) if loose_left else i, min(len(right), j * 2) if loose_right else j
+            i, j = min(n, i * 2) if loose_left else i, min(m, j * 2) if loose_right else j
+            window = self.window(left[-i:], right[:j])
 
     def reduce(self, data: bytes) -> list[int]:
-        if (r := self.ranks.get(data)) is not None and len(data) <= LEAF_BYTES:
+        n = len(data)
+        if n <= LEAF_BYTES and (r := self.ranks.get(data)) is not None:
             return [r]
-        if len(data) > KEEP_HALVES:
-            return self.join(self.reduce(data[: len(data) // 2]), self.reduce(data[len(data) // 2 :]))
+        if n > KEEP_HALVES:
+            return self.join(self.reduce(data[: n // 2]), self.reduce(data[n // 2 :]))
         if (found := self.halves.get(data)) is None:
             if len(self.halves) >= KEEP_PAIRS:
                 self.halves.clear()
-            middle = len(data) // 2
-            found = self.halves[data] = self.join(self.reduce(data[:middle]), self.reduce(data[middle:])) if middle else merge(data, self.ranks)
+            middle = n // 2
+            found = self.halves[data] = self.join(self.reduce(data[:middle]), self.reduce(data[middle:])) if middle else merge(data, self.ranks, self.first)
         return found
 
     def piece(self, data: bytes) -> list[int]:
-        return [r] if (r := self.ranks.get(data)) is not None else self.reduce(data)
+        if (r := self.ranks.get(data)) is not None:
+            return [r]
+        if len(data) > KEEP_CHARS:
+            return self.reduce(data)
+        if (found := self.pieces.get(data)) is None:
+            if len(self.pieces) >= KEEP_PIECES:
+                self.pieces.clear()
+            found = self.pieces[data] = self.reduce(data)
+        return found
 
     def fragment(self, text: str) -> bytes:
         """Ids as int32 bytes, of text between certain splits."""
