@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from tidewater.llm.bpe import FRAGMENT, split, tiktoken_ranks
 from tidewater.llm.shared import give_back, sliced
 
-#: Bytes of a leaf in encoding, and ids of one in decoding; and fragments kept by a worker, of up to so many characters: at most some 80 MB.
-LEAF_BYTES, LEAF_IDS, KEEP_FRAGMENTS, KEEP_CHARS = 2, 64, 400_000, 64
+#: Bytes of a leaf in encoding, and ids of one in decoding.
+LEAF_BYTES, LEAF_IDS = 2, 64
+#: Fragments and pieces of up to so many characters kept by a worker, in each of two generations: at most some 160 MB. A worker keeps them from
+#: task to task; Spark ends workers that are idle for a minute.
+KEEP_FRAGMENTS, KEEP_CHARS = 400_000, 64
 #: Windows of two tokens and halves kept by a worker, and bytes of the longest half that is kept.
 KEEP_PAIRS, KEEP_HALVES = 150_000, 5
-#: Larger windows and whole pieces kept by a worker: at most some 150 MB.
-KEEP_WINDOWS, KEEP_PIECES = 200_000, 300_000
+#: Larger windows kept by a worker: at most some 30 MB.
+KEEP_WINDOWS = 100_000
 #: Bytes that are merged without a heap; a rank that no token has.
 SHORT_BYTES, NEVER = 24, 1 << 60
 
@@ -82,14 +85,10 @@ class Codec:
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
         self.first = [self.ranks.get(bytes(divmod(k, 256)), NEVER) for k in range(1 << 16)]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], list[int]] = {}
         self.halves: dict[bytes, list[int]] = {}
         self.windows: dict[bytes, list[int]] = {}
-        self.pieces: dict[bytes, list[int]] = {}
-
-    def forget(self) -> None:
-        for kept in (self.kept, self.pairs, self.halves, self.windows, self.pieces):
-            kept.clear()
 
     def window(self, left: list[int], right: list[int]) -> list[int]:
         """The two sides' bytes encoded anew; short windows are kept."""
@@ -136,29 +135,37 @@ class Codec:
             found = self.halves[data] = self.join(self.reduce(data[:middle]), self.reduce(data[middle:])) if middle else merge(data, self.ranks, self.first)
         return found
 
-    def piece(self, data: bytes) -> list[int]:
-        if (r := self.ranks.get(data)) is not None:
-            return [r]
-        if len(data) > KEEP_CHARS:
-            return self.reduce(data)
-        if (found := self.pieces.get(data)) is None:
-            if len(self.pieces) >= KEEP_PIECES:
-                self.pieces.clear()
-            found = self.pieces[data] = self.reduce(data)
-        return found
+    def keep(self, text: str, ids: bytes) -> bytes:
+        """A full generation becomes the older one, from which what is met again comes back."""
+        if len(text) <= KEEP_CHARS:
+            if len(self.kept) >= KEEP_FRAGMENTS:
+                self.kept, self.older = {}, self.kept
+            self.kept[text] = ids
+        return ids
+
+    def piece(self, text: str) -> bytes:
+        """Ids as int32 bytes. A piece by itself splits into just itself, so pieces and fragments are kept together."""
+        if (found := self.kept.get(text) or self.older.get(text)) is not None:
+            return found
+        data = text.encode()
+        r = self.ranks.get(data)
+        return self.keep(text, array("i", self.reduce(data) if r is None else (r,)).tobytes())
 
     def fragment(self, text: str) -> bytes:
         """Ids as int32 bytes, of text between certain splits."""
-        if (found := self.kept.get(text)) is None:
-            found = array("i", [x for p in split(text) for x in self.piece(p.encode())]).tobytes()
-            if len(text) <= KEEP_CHARS:
-                if len(self.kept) >= KEEP_FRAGMENTS:
-                    self.kept.clear()
-                self.kept[text] = found
-        return found
+        if (found := self.kept.get(text)) is not None:
+            return found
+        if (found := self.older.get(text)) is None:
+            pieces = split(text)
+            if len(pieces) == 1:
+                return self.piece(text)
+            found = b"".join(map(self.piece, pieces))
+        return self.keep(text, found)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.fragment, FRAGMENT.findall(text))), np.int32)
+        fragments = FRAGMENT.findall(text)
+        found = [x or self.fragment(t) for x, t in zip(map(self.kept.get, fragments), fragments, strict=True)]
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
@@ -194,7 +201,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ids = ids_column(coder, batch.column("t").to_pylist())
             more = [decoded_column(coder, ids)] if decode else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, *more], names=["doc_id", "ids", "decoded"][: 2 + decode])
-        coder.forget()
         give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
