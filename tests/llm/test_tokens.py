@@ -66,6 +66,19 @@ def test_ordinary_texts_go_through_chunk_maps_and_the_tree(monkeypatch):
     assert Codec(RANKS).encode(x).tolist() == OWN.encode_ordinary(x) and calls["join"] > 700
 
 
+def test_generations_of_kept_fragments_change_nothing(monkeypatch):
+    from tidewater.llm import bpe_codec
+
+    monkeypatch.setattr(bpe_codec, "KEEP_FRAGMENTS", 5)
+    monkeypatch.setattr(bpe_codec, "KEEP_WINDOWS", 3)
+    coder, rng = Codec(RANKS), random.Random(4)
+    words = [" quixotic", " zymurgy", "aardwolf", "\n  x", "it's", " don't,", " 東京", " b" * 3, "!'s", " " * 4, "syzygy" * 20]
+    for _ in range(200):
+        x = "".join(rng.choices(words, k=12))
+        assert coder.encode(x).tolist() == OWN.encode_ordinary(x)
+        assert len(coder.kept) <= 5 and len(coder.older) <= 5
+
+
 def test_long_pieces():
     rng = random.Random(1)
     for x in ("".join(rng.choices("abcdeéß", k=5000)), "z" * 20_000, "".join(rng.choices("etaoin", k=3000))):

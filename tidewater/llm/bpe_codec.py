@@ -28,9 +28,9 @@ from tidewater.llm.shared import give_back, sliced
 
 #: Bytes of a leaf in encoding, and ids of one in decoding.
 LEAF_BYTES, LEAF_IDS = 2, 64
-#: Fragments and pieces of up to so many characters kept by a worker, in each of two generations: at most some 160 MB. A worker keeps them from
-#: task to task; Spark ends workers that are idle for a minute.
-KEEP_FRAGMENTS, KEEP_CHARS = 400_000, 64
+#: Fragments and pieces of up to so many characters kept by a worker, in each of two generations: at most some 130 MB. A worker keeps them from
+#: task to task until it runs another operator; Spark ends workers that are idle for a minute.
+KEEP_FRAGMENTS, KEEP_CHARS = 320_000, 64
 #: Windows of two tokens and halves kept by a worker, and bytes of the longest half that is kept.
 KEEP_PAIRS, KEEP_HALVES = 150_000, 5
 #: Larger windows kept by a worker: at most some 30 MB.
@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ids = ids_column(coder, batch.column("t").to_pylist())
             more = [decoded_column(coder, ids)] if decode else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, *more], names=["doc_id", "ids", "decoded"][: 2 + decode])
-        give_back()
+        give_back("codec", codec.cache_clear)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decode)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewater.llm.shared import drop_rows, free_name, materialise, row_ids, sliced
+from tidewater.llm.shared import drop_rows, free_name, give_back, materialise, row_ids, sliced
 from tidewater.llm.shingle_sets import mixed, word_hashes
 
 #: Words of the shortest tile; least share of an item's words under tiles; item text in a block.
@@ -195,6 +195,7 @@ def against(rows: DataFrame, block: Block, item_type) -> DataFrame:
             found = list(block.find_all(b.column("t").to_pylist()))
             columns = [pa.array([x[k] for x in found], t) for k, t in ((1, kind), (2, pa.float64()), (3, pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())), *columns], names=["doc_id", "item_id", "coverage", "n_tiles"])
+        give_back()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, coverage double, n_tiles long")
 

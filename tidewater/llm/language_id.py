@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import materialise, sliced, small_batches
+from tidewater.llm.shared import give_back, materialise, sliced, small_batches
 
 #: Families of languages by code. A language that is not listed forms a family of its own.
 FAMILIES = {
@@ -170,6 +170,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
         for b in sliced(batches, "t"):
             found = [model.predict(t) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("t"))
     found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

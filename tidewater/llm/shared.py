@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from urllib.parse import urlsplit
@@ -62,8 +62,19 @@ def delete_tables(folders: list[str], needed: DataFrame) -> None:
             folders.remove(folder)
 
 
-def give_back() -> None:
-    """At the end of a task, return freed memory to the system: workers are used again by stages that need none of it."""
+#: What operators keep in this Python worker from task to task: how each lets go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back(owner: str = "", forget: Callable[[], None] | None = None) -> None:
+    """At the end of a task, return freed memory to the system, and what other operators than ``owner`` kept: workers are used again.
+
+    ``forget`` says how to let go of what ``owner`` keeps for its next tasks.
+    """
+    if forget:
+        KEPT[owner] = forget
+    for name in [x for x in KEPT if x != owner]:
+        KEPT.pop(name)()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
