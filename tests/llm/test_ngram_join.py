@@ -154,3 +154,16 @@ def test_components_of_chains_against_union_find(spark, links):
         low, high = sorted((root(a), root(b)))
         parent[high] = low
     assert {r.node: r.c for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()} == {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize("block", [400_000, 1500])
+def test_a_large_similar_group_gives_fewer_links_than_nodes(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(5)
+    core, other = (rng.integers(0, 1 << 63, 90, np.uint64) for _ in range(2))
+    rows = [(k, np.unique(np.concatenate((core if k < 60 else other, rng.integers(0, 1 << 63, 10, np.uint64)))).tobytes()) for k in range(62)]
+    sets = spark.createDataFrame([(k, bytearray(s)) for k, s in rows], "node long, s binary")
+    links = N.family_pairs(sets.selectExpr("node", "node AS c"), sets).collect()
+    blocks = -(-60 * 100 // block)
+    assert len(links) < 62 * (1 if blocks == 1 else blocks + 1)  # all pairs would be 1,771
+    assert {r.c for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()} == {0, 60}

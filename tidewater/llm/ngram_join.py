@@ -11,7 +11,7 @@ node of a run) and, once what these link is known, all pairs of unlike component
 parity sketches, whose distance is never more than that of the sets, and verified on the shingles.
 What is left are nodes whose shared signatures in longer runs with other components are still as many as needed. From these,
 nodes are struck off, round by round, that share less than the needed part of their shingles with other components
-among them; the rest is compared within its families (nodes connected by runs), block against block.
+among them; the rest is compared within its families (nodes connected by their rarest shingles), block against block.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer than ``n`` words has its word sequence as
 one shingle; null texts and texts without words have the empty set and no partner; a null id gives a row of its own that links
@@ -277,9 +277,8 @@ def open_runs(rows: DataFrame) -> DataFrame:
     return materialise(rows.join(sized(runs), "sig").select("sig", "node", "c", "n", "first"), "open")
 
 
-def strike(active: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Of ``active`` (node, c), without nodes that share too few shingles with nodes of other components among ``active``."""
-    num, den = SIMILAR
+def members(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """``h, node, c`` of every shingle of ``active`` (node, c)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "s"):
@@ -289,9 +288,15 @@ def strike(active: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFram
                 columns = [np.concatenate(each), *(np.repeat(batch.column(k).to_numpy(), sizes) for k in ("node", "c"))]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h", "node", "c"])
 
+    return active.join(sets.select("node", "s"), "node").mapInArrow(run, "h long, node long, c long")
+
+
+def strike(active: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Of ``active`` (node, c), without nodes that share too few shingles with nodes of other components among ``active``."""
+    num, den = SIMILAR
     for _ in range(rounds):
         before = active.count()
-        rows = materialise(active.join(sets.select("node", "s"), "node").mapInArrow(run, "h long, node long, c long"), "members")
+        rows = materialise(members(active, sets), "members")
         foreign = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
         sizes = sets.select("node", (F.octet_length("s") / 8).cast("int").alias("size"))
         counts = rows.join(foreign, "h").groupBy("node", "c").count().join(sizes, "node").where(F.col("count") * den >= F.col("size") * num)
@@ -301,16 +306,34 @@ def strike(active: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFram
     return active
 
 
-def family_pairs(active: DataFrame, runs: DataFrame, loose: DataFrame, sets: DataFrame) -> DataFrame:
+def prefixes(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """``h, node`` of ``active`` (node, c): the rarest shingles of each node, two similar ones of which have one in common.
+
+    Shingles are in one order: first those that one component alone has, then by rising count. Of two similar sets the first that they
+    share stands among the first quarter, and one more, of each. Shingles whose nodes are of one component are left out.
+    """
+    num, den = SIMILAR
+    rows = materialise(members(active, sets), "members")
+    held = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h", "n")
+    size = sets.join(sized(active.select("node")), "node", "left_semi").select("node", (F.octet_length("s") / 8).cast("int").alias("size"))
+    each = rows.join(held, "h").groupBy("node", "c").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("hs")).join(size, "node")
+    most = F.size("hs") + 1 - F.ceil(F.col("size") * num / den).cast("int")  # of the whole prefix, what is not a component's own
+    first = each.where(most > 0).select("node", "c", F.explode(F.slice("hs", 1, most)).alias("x")).select("x.h", "node", "c")
+    first = materialise(first, "prefixes")
+    several = first.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
+    return first.join(several, "h", "left_semi").select("h", "node")
+
+
+def family_pairs(active: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between unlike components among ``active`` (node, c), within families, block against block.
 
-    A family is connected by the runs (sig, node); nodes of ``loose``, which may share no signature, are one family.
+    A family is connected by shingles of ``prefixes``. Of the links that two blocks find, as many are given as join their components: fewer
+    than there are nodes, whatever the number of similar pairs.
     """
     num, den = SIMILAR
-    members = runs.join(sized(active.select("node")), "node", "left_semi").unionByName(active.join(loose, "node", "left_semi").select(F.lit(None).cast("long").alias("sig"), "node"))
-    members = materialise(members.select("sig", "node"), "members")
-    firsts = members.groupBy("sig").agg(F.min("node").alias("a"))
-    edges = members.join(firsts, members.sig.eqNullSafe(firsts.sig)).select("a", F.col("node").alias("b")).distinct()
+    rare = materialise(prefixes(active, sets), "rare")
+    firsts = rare.groupBy("h").agg(F.min("node").alias("a"))
+    edges = rare.join(firsts, "h").where("a < node").select("a", F.col("node").alias("b")).distinct()
     family = components(edges).select("node", F.col("c").alias("family"))
     rows = materialise(active.join(family, "node").join(sets.select("node", "s"), "node"), "family", "uncompressed")
     blocks = rows.groupBy("family").agg(F.ceil(F.sum(F.octet_length("s")) / (8 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -327,14 +350,20 @@ def family_pairs(active: DataFrame, runs: DataFrame, loose: DataFrame, sets: Dat
             member, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), sizes)
             order = np.argsort(member, kind="stable")
             member, owner = member[order], owner[order]
-            for s, node, c in zip(x["s"].to_pylist(), x["node"].to_pylist(), x["c"].to_pylist(), strict=True):
+            place = np.unique(np.concatenate((x["c"].to_numpy(), comps)), return_inverse=True)[1]
+            joined = np.arange(len(place))  # of each component, the one that it is joined to
+            of_x, of_y = place[: x.num_rows], place[x.num_rows :]
+            for s, node, c in zip(x["s"].to_pylist(), x["node"].to_pylist(), of_x.tolist(), strict=True):
                 s = np.frombuffer(s, np.uint64)
                 low, high = np.searchsorted(member, s, "left"), np.searchsorted(member, s, "right")
                 reach = high - low
                 found = np.repeat(low - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(reach.sum())
                 both = np.bincount(owner[found], minlength=len(lists))
-                hit = np.flatnonzero((den * both >= num * (len(s) + sizes - both)) & (comps != c))
-                out += [(node, int(nodes[j])) for j in hit.tolist()]
+                hit = np.flatnonzero((den * both >= num * (len(s) + sizes - both)) & (joined[of_y] != joined[c]))
+                other, at = np.unique(joined[of_y[hit]], return_index=True)
+                for g, j in zip(other.tolist(), hit[at].tolist(), strict=True):
+                    out.append((node, int(nodes[j])))
+                    joined[joined == g] = joined[c]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return rows.groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
@@ -405,6 +434,6 @@ def link(found: DataFrame, texts: DataFrame, real: DataFrame, n: int, collided:
     active = materialise(labelled(hidden.unionByName(loose).distinct(), comp), "active")
     active = strike(active, sets) if not active.isEmpty() else active
     if not active.isEmpty():
-        new = materialise(family_pairs(active, long.select("sig", "node"), loose, sets), "links")
+        new = materialise(family_pairs(active, sets), "links")
         comp = comp if new.isEmpty() else components(links.unionByName(new))
     return comp
