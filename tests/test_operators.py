@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import costs, integrity, packing
 from tidewater.operators import statistics as S
 from tidewater.operators.chunking import chunk_grid
-from tidewater.operators.ranking import bm25, dense_topk
+from tidewater.operators.ranking import bm25, dense_topk, dot, ranked
 from tidewater.sources import clients, files
 from tidewater.streaming import events as E
 
@@ -76,6 +76,22 @@ def test_dense_takes_probes_in_blocks(spark):
         assert sorted(map(tuple, dense_topk(probes, v, 3, block).collect())) == want
 
 
+def test_dense_blocks_give_the_rows_of_all_pairs(spark):
+    """In a loop of rows of its own, with odd vectors, ties, a common vector and values that round either way."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-3, 4, 3).astype(float).tolist() if i % 3 else rng.normal(size=3).round(4).tolist()) for i in range(300)]
+    rows += [(300 + i, [1.0, 2.0, 3.0]) for i in range(40)]
+    rows += [(400, None), (401, [1.0, None, 2.0]), (402, [float("nan"), 0.0, 0.0]), (403, [1.0]), (404, [float("inf"), 1.0, 1.0]), (405, [1e200, 1.0, -1e200])]
+    v = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    probes = v.where("vec_id % 10 < 2 OR vec_id > 399").selectExpr("vec_id AS probe_id", "embedding AS probe")
+    pairs = probes.join(v, F.col("vec_id") != F.col("probe_id")).select("probe_id", "vec_id", F.round(dot(F.col("probe"), F.col("embedding")), 5).alias("score"))
+    want = sorted(map(str, ranked(pairs, "probe_id", "score", "vec_id").where("rank <= 7").collect()))
+    for block, vectors in ((4000, 8000), (20, 50)):
+        got = dense_topk(probes, v, 7, block, vectors)
+        assert sorted(map(str, got.collect())) == want
+        assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_numpy_bootstrap(spark):
     rows = [("m", s, c, float(c * s + c), 2) for s in range(2) for c in range(5)]
     df = spark.createDataFrame(rows, "method string, stratum int, cluster int, cluster_sum double, cluster_n long")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,23 +92,61 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dense_topk(probes: DataFrame, corpus: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+def dense_topk(probes: DataFrame, corpus: DataFrame, k: int, block: int = 4_000, vectors: int = 8_000) -> DataFrame:
     """``probe_id, vec_id, score, rank``: the k nearest of a stated probe set, against all vectors.
 
-    Probes are a query set. They are dealt by id into blocks of about ``block``, and each block is broadcast, so that the corpus
-    is read in place, once a block; k rows of each probe leave a task.
+    Both sides are dealt by id into blocks, of about ``block`` probes and ``vectors`` vectors, and each block of one meets each of the other
+    in a task, as a product of matrices. Whatever could be among the k best there, with the error of that product and the rounding of
+    scores, is summed again in the order of ``dot``, so that scores and ties are exact. Vectors that have nulls, values
+    beyond 1e100 or that are not finite, or another length than the longest probe, meet the other side as rows.
     """
-    blocks = max(1, -(-probes.count() // block))
-
-    def nearest(own: DataFrame) -> DataFrame:
-        pairs = corpus.join(F.broadcast(own), F.col("vec_id") != F.col("probe_id"))
-        rows = pairs.select("probe_id", "vec_id", F.round(dot(F.col("probe"), F.col("embedding")), 5).alias("score"))
-        return ranked(rows, "probe_id", "score", "vec_id").where(F.col("rank") <= k)
-
-    if blocks == 1:
-        return nearest(probes)
-    own = F.pmod(F.xxhash64("probe_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (nearest(probes.where(own == i)) for i in range(blocks)))
+    length = probes.agg(F.max(F.size("probe"))).first()[0] or 0
+    plain = lambda c: F.coalesce((F.size(c) == length) & (length > 0) & F.forall(c, lambda x: F.coalesce(F.abs(x) < 1e100, F.lit(False))), F.lit(False))
+    corpus, probes = (df.where(f"{i} IS NOT NULL") for df, i in ((corpus, "vec_id"), (probes, "probe_id")))
+    own = probes.where(plain("probe"))
+
+    def met(some: DataFrame, others: DataFrame) -> DataFrame:
+        return some.join(others, F.col("vec_id") != F.col("probe_id")).select("probe_id", "vec_id", dot(F.col("probe"), F.col("embedding")).alias("score"))
+
+    pairs = met(probes.where(~plain("probe")), corpus).unionByName(met(own, corpus.where(~plain("embedding"))))
+
+    across, down = (max(1, -(-df.count() // n)) for df, n in ((corpus, vectors), (probes, block)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.select(part("probe_id", down).alias("p"), each(across).alias("v"), F.lit(True).alias("asks"), F.col("probe_id").cast("long").alias("id"), F.col("probe").cast("array<double>").alias("x"))
+    right = corpus.where(plain("embedding")).select(each(down).alias("p"), part("vec_id", across).alias("v"), F.lit(False).alias("asks"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        ids, x = table["id"].to_numpy(), table["x"].combine_chunks().flatten().to_numpy().reshape(len(asks), -1)
+        (mine, a), (theirs, b) = ((ids[asks], x[asks]), (ids[~asks], x[~asks]))
+        order = np.argsort(theirs, kind="stable")
+        theirs, b = theirs[order], b[order]
+        longest = np.sqrt((b * b).sum(1).max(initial=0))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for start in range(0, len(mine) if len(theirs) else 0, 128):
+            scores = a[start : start + 128] @ b.T
+            scores[mine[start : start + 128, None] == theirs] = -np.inf
+            least = np.partition(scores, len(theirs) - k, axis=1)[:, len(theirs) - k] if len(theirs) > k else np.full(len(scores), -np.inf)
+            for i, (row, low) in enumerate(zip(scores, least.tolist(), strict=True), start):
+                error = 1e-15 * x.shape[1] * np.sqrt((a[i] * a[i]).sum()) * longest
+                j = np.flatnonzero((row >= low - 1.1e-5 - 2 * error) & (row > -np.inf))
+                score = np.zeros(len(j))
+                for d in range(x.shape[1]):
+                    score += a[i, d] * b[j, d]
+                # equal scores stand by id: no more than k of them are needed
+                best = np.lexsort((theirs[j], -score))
+                j, score = j[best], score[best]
+                begins = np.searchsorted(-score, -score, "left")
+                keep = np.arange(len(j)) - begins < k
+                out.append((np.full(keep.sum(), mine[i]), theirs[j[keep]], score[keep]))
+        return pa.table(dict(zip(("probe_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = left.unionByName(right).groupBy("p", "v").applyInArrow(run, "probe_id long, vec_id long, score double")
+    kinds = {"probe_id": probes.schema["probe_id"].dataType, "vec_id": corpus.schema["vec_id"].dataType}
+    found = found.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()), "score")
+    rows = found.unionByName(pairs).withColumn("score", F.round("score", 5))
+    return ranked(rows, "probe_id", "score", "vec_id").where(F.col("rank") <= k)
 
 
 def rerank(candidates: DataFrame, second: Column, key: str = "probe_id") -> DataFrame:
