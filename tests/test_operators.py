@@ -140,6 +140,25 @@ def test_stream_fold_is_the_batch_fold_in_any_order(spark, tmp_path, seed):
     assert {r.request_id: (r.text, r.finish, r.prompt, r.output, r.total, r.n_events) for r in got} == batch
 
 
+def test_requests_of_one_bucket_settle_each_at_its_time(spark, tmp_path):
+    import datetime
+
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    schema = "request_id long, seq long, ts timestamp, text string, thought boolean, finish string, prompt long, output long, total long, candidates int"
+    event = lambda r, seq, h, text: (r, seq, at(h), text, False, None, 1 << 60 if seq == 1 else None, None, None, 1)
+    big = (1 << 60) + 1
+    files = [[event(big, 2, 0, "b"), event(5, 1, 0, "x")], [event(5, 2, 10, "y")], [event(5, 3, 9.5, "z"), event(big, 1, 9.5, "late")], [event(None, 1, 30, None)]]
+    for k, part in enumerate(files):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        os.utime(next((tmp_path / "in" / str(k)).glob("part-*.parquet")), (1e9 + k, 1e9 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = E.fold_stream(stream, buckets=1).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck")
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(E.OUTPUT).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.request_id, r.text, r.prompt, r.n_events) for r in got if r.request_id == 5) == [(5, "xyz", 1 << 60, 3)]
+    assert sorted(r.n_events for r in got if r.request_id == big) in ([2], [1, 1])  # given out before or with what came late
+
+
 def test_costs_and_labels(spark):
     df = spark.createDataFrame([("32000", 32000), ("INF", None), ("500", 500)], "label string, n int")
     got = df.select(costs.budget_from_label(F.col("label")).alias("b"), costs.budget_label(F.col("n")).alias("l"), "n").collect()

@@ -44,40 +44,54 @@ def fold(events: DataFrame) -> DataFrame:
     return rows.withColumns({"complete": ~lacking, "recovered": recovered}).drop("tail")
 
 
+#: Groups of requests whose state is kept together.
+BUCKETS = 1024
 STATE = "held string"
 OUTPUT = "request_id long, text string, finish string, prompt long, output long, total long, n_events long"
 FIELDS = ("finish", "prompt", "output", "total")
 
 
-def fold_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def fold_stream(events: DataFrame, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """The same fold over a stream, in whatever order and however many micro-batches its events come.
 
     A request is given out once, when the watermark has passed its last event: until then events can come in between. Parts are
     held with their sequence number, and of each field the value with the largest one; state is one answer per open request.
+    Requests are dealt by hash into ``buckets``, whose open requests are one state, so that Python is called by bucket and not by request.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"parts": [], "fields": {}, "n": 0, "last": 0}
-        if not state.hasTimedOut:
-            for batch in batches:
-                for r in batch.itertuples(index=False):
-                    if isinstance(r.text, str) and not (r.thought is True or r.thought == 1.0):
-                        held["parts"].append((int(r.seq), r.text))
-                    for name in FIELDS:
-                        value = getattr(r, name)
-                        if not pd.isna(value) and int(r.seq) >= held["fields"].get(name, (-1, None))[0]:
-                            held["fields"][name] = (int(r.seq), value if isinstance(value, str) else int(value))
-                    held["n"] += 1
-                    held["last"] = max(held["last"], int(r.ts.timestamp() * 1000))
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(held["last"], state.getCurrentWatermarkMs()) + 1)
-            return
-        state.remove()
-        text = "".join(t for _, t in sorted(held["parts"]))
-        fields = [held["fields"].get(name, (0, None))[1] for name in FIELDS]
-        yield pd.DataFrame([[key[0], text, *fields, held["n"]]], columns=["request_id", "text", *FIELDS, "n_events"])
-
-    return events.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        held = dict(json.loads(state.get[0])) if state.exists else {}
+        watermark, touched = state.getCurrentWatermarkMs(), set()
+        for batch in () if state.hasTimedOut else batches:
+            for request, seq, ms, text, thought, *values in zip(*(batch[c].tolist() for c in ("request", "seq", "ms", "text", "thought", *FIELDS)), strict=True):
+                request = request if isinstance(request, str) else None
+                own = held.setdefault(request, {"parts": [], "fields": {}, "n": 0, "last": 0})
+                touched.add(request)
+                if isinstance(text, str) and not (thought is True or thought == 1.0):
+                    own["parts"].append((int(seq), text))
+                for name, value in zip(FIELDS, values, strict=True):
+                    if not pd.isna(value) and int(seq) >= own["fields"].get(name, (-1, None))[0]:
+                        own["fields"][name] = (int(seq), value if isinstance(value, str) else int(value))
+                own["n"] += 1
+                own["last"] = max(own["last"], int(ms))
+        for request in touched:
+            held[request]["due"] = max(held[request]["last"], watermark) + 1
+        done = [(r, held.pop(r)) for r in [r for r, x in held.items() if r not in touched and x["due"] < watermark]]
+        if held:
+            state.update((json.dumps(list(held.items())),))
+            state.setTimeoutTimestamp(max(min(x["due"] for x in held.values()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if done:
+            text = ["".join(t for _, t in sorted(map(tuple, x["parts"]))) for _, x in done]
+            field = {name: [x["fields"].get(name, (0, None))[1] for _, x in done] for name in FIELDS}
+            numbers = {name: pd.array(field[name], "Int64") for name in USAGE}
+            ids = pd.array([None if r is None else int(r) for r, _ in done], "Int64")
+            yield pd.DataFrame({"request_id": ids, "text": text, "finish": pd.Series(field["finish"], dtype=object), **numbers, "n_events": [x["n"] for _, x in done]})
+
+    bucket = F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int")
+    rows = events.withWatermark("ts", delay).select(bucket.alias("bucket"), F.col("request_id").cast("string").alias("request"), "ts", F.unix_millis("ts").alias("ms"), "seq", "text", "thought", *FIELDS)
+    return rows.groupBy("bucket").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, size: str, delay: str = "1 hour") -> DataFrame:
