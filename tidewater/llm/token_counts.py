@@ -6,10 +6,10 @@ The tokenizer is compiled into deterministic transducers whose transitions carry
   the next byte: for each the bytes since, the token before it, and how many tokens fewer or more were emitted there. Of the
   tokens that end at the next byte exactly one is compatible with the token before it, so a step is deterministic and emits
   a fixed count, which can be 0 or less where a longer token takes the place of shorter ones. States and transitions are
-  compiled into a table when first met, within a bound.
+  compiled into a table when first met, within a bound, and serve a worker from task to task.
 * The text transducer's symbols are runs between synchronising positions, where a split is certain whatever came
   before: after a character that is no white space, before white space. Its transitions are compiled when first needed
-  and kept, within a bound.
+  and kept in two generations, within a bound, from task to task until the worker runs another operator.
 
 Every text is cut into chunks. A chunk's state map says what the chunk does from any entry state: the head up to its
 first synchronising position depends on the entry state and is kept, the rest is a constant count and a tail. State
@@ -22,6 +22,7 @@ column but the two that are named is ignored.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,12 +35,14 @@ from tidewater.llm.bpe import FRAGMENT, WHITE_SPACE, json_ranks, split
 from tidewater.llm.shared import give_back, materialise, sliced
 
 CHUNK_CHARS = 1 << 12
-#: Transitions kept by each transducer of a worker, of symbols up to KEEP_CHARS: at most some 100 MB.
-KEEP_TRANSITIONS, KEEP_CHARS = 300_000, 64
-#: States of the byte transducer's table, before it is begun anew.
-KEEP_STATES = 60_000
+#: Transitions of the text transducer kept by a worker, of symbols up to KEEP_CHARS, in each of two generations: at most some 130 MB.
+KEEP_TRANSITIONS, KEEP_CHARS = 400_000, 64
+#: States of the byte transducer's table, before it is begun anew: at most some 200 MB. Pairs of tokens that are kept: at most some 40 MB.
+KEEP_STATES, KEEP_PAIRS = 300_000, 300_000
+#: Characters in which the last synchronising position of a chunk is looked for before the whole chunk is.
+NEAR_END = 64
 
-FIRST_SYNC = regex.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
+SYNC = re.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
 
 
 #: A rank that no merge has.
@@ -53,13 +56,13 @@ class ByteTransducer:
 
     def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]):
         self.vocab, self.merges = vocab, merges
-        self.open = {token[:k] for token in vocab for k in range(1, len(token))}  # what a longer token begins with
+        self.open = {since: since for token in vocab for k in range(1, len(token)) if (since := token[:k])}  # what a longer token begins with
         self.compatible: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
         start: tuple[Place, ...] = ((b"", b"", 0),)
-        self.states, self.number = [start], {start: 0}
+        self.states, self.number, self.places = [start], {start: 0}, {}
         self.table: list[dict[int, tuple[int, int]]] = [{}]  # of each state, by byte: the next state and the emitted count
 
     def merge(self, word: bytes) -> list[bytes]:
@@ -79,7 +82,7 @@ class ByteTransducer:
     def pair(self, a: bytes, b: bytes) -> bool:
         """Whether tokens a, b may stand side by side: encoding a+b gives just them."""
         if (found := self.compatible.get((a, b))) is None:
-            if len(self.compatible) >= KEEP_TRANSITIONS:
+            if len(self.compatible) >= KEEP_PAIRS:
                 self.compatible.clear()
             found = self.compatible[a, b] = self.merge(a + b) == [a, b]
         return found
@@ -94,8 +97,9 @@ class ByteTransducer:
         else:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
         emitted = count + 1
-        after = (*((since, before, count - emitted) for since, before, count in grown if since in self.open), (b"", token, 0))
+        after = (*((self.open[since], before, count - emitted) for since, before, count in grown if since in self.open), (b"", token, 0))
         if (number := self.number.get(after)) is None:
+            after = tuple([self.places.setdefault(place, place) for place in after])  # states share their places
             number = self.number[after] = len(self.states)
             self.states.append(after)
             self.table.append({})
@@ -113,16 +117,23 @@ class ByteTransducer:
 
 
 class Transitions(dict):
-    """Symbol to emitted count; compiled when first needed, forgotten when there are too many."""
+    """Symbol to emitted count; compiled when first needed. A full generation becomes the older one, from which what is met again comes back."""
 
     def __init__(self, compile_symbol: Callable[[str], int]):
         super().__init__()
         self.compile_symbol = compile_symbol
+        self.older: dict[str, int] = {}
 
     def __missing__(self, symbol: str) -> int:
-        n = self.compile_symbol(symbol)
+        return self.find(symbol, self.compile_symbol)
+
+    def find(self, symbol: str, compile_symbol: Callable[[str], int]) -> int:
+        """The count of a symbol that this generation lacks."""
+        if (n := self.older.get(symbol)) is None:
+            n = compile_symbol(symbol)
         if len(symbol) <= KEEP_CHARS:
             if len(self) >= KEEP_TRANSITIONS:
+                self.older = self.copy()
                 self.clear()
             self[symbol] = n
         return n
@@ -141,7 +152,6 @@ class CountingTokenizer:
     def __init__(self, path: str):
         vocab, merges, special = json_ranks(path)
         self.bytes = ByteTransducer(vocab, merges)
-        self.words = Transitions(lambda w: self.bytes.count(w.encode()))
         self.runs = Transitions(self._run)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
@@ -149,22 +159,27 @@ class CountingTokenizer:
         """Of text between synchronising positions; special strings are a token each, as the library has it by default."""
         if self.special and (parts := self.special.split(text))[1:]:
             return len(parts) // 2 + sum(map(self._run, filter(None, parts[::2])))
-        return sum(map(self.words.__getitem__, split(text)))
+        pieces = split(text)
+        return sum(map(self._piece, pieces)) if len(pieces) > 1 else self._word(text)
+
+    def _piece(self, text: str) -> int:
+        """A piece by itself splits into just itself, so pieces and runs are kept together."""
+        return self.runs.find(text, self._word) if (n := self.runs.get(text)) is None else n
 
-    def forget(self) -> None:
-        self.bytes.reset()
-        for kept in (self.words, self.runs, self.bytes.compatible):
-            kept.clear()
+    def _word(self, text: str) -> int:
+        return self.bytes.count(text.encode())
 
     def emit(self, text: str) -> int:
         return sum(map(self.runs.__getitem__, FRAGMENT.findall(text)))
 
     def state_map(self, chunk: str) -> StateMap:
-        if (first := FIRST_SYNC.search(chunk)) is None:
+        if (found := SYNC.search(chunk)) is None:
             return StateMap(chunk)
-        near_end = max(first.start() + 1, len(chunk) - 4096)
-        last = max((m.start() for m in FIRST_SYNC.finditer(chunk, near_end)), default=first.start())
-        return StateMap(chunk[: first.start()], self.emit(chunk[first.start() : last]), chunk[last:])
+        first = found.start()
+        for start in (max(first, len(chunk) - NEAR_END), first):
+            if (last := max((m.start() for m in SYNC.finditer(chunk, start)), default=-1)) >= 0:
+                break
+        return StateMap(chunk[:first], self.emit(chunk[first:last]), chunk[last:])
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """The map of a's chunk followed by b's. A boundary at the seam itself is found when the joined text is emitted."""
@@ -204,8 +219,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
         for batch in sliced(batches, "t"):
             counts = [counter.count(x) if x else 0 for x in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-        counter.forget()
-        give_back()
+        give_back("counts", tokenizer.cache_clear)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
