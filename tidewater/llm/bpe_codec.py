@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
-A piece's halves are encoded recursively. Two encodings join by re-encoding a window at the seam, which grows on either
-side until the window's outermost tokens come out as they went in. Then every two neighbouring tokens of the result are
-compatible (encoding the two gives just the two), and the sequence with that property is the encoding, so tokens
-outside the window cannot change. Decoding halves the ids and concatenates byte strings up the tree. Every piece that is no token of its
-own goes through the tree, down to leaves of ``LEAF_BYTES``; fragments of text that were met before are looked up.
+A piece's halves are encoded recursively. Two encodings join by a window at the seam: what the two tokens there encode to.
+It grows on either side by joining it with the token beside it, until it is compatible with its neighbours (encoding two
+tokens gives just the two). Then every two neighbouring tokens of the result are compatible, and the sequence with that
+property is the encoding, so tokens outside the window cannot change. A window that has grown by ``STEPS`` tokens, or
+joins in joins as deep, is encoded anew from its bytes, twice as large each time. Decoding halves the ids and concatenates
+byte strings up the tree. Every piece that is no token of its own goes through the tree, down to leaves of
+``LEAF_BYTES``; pieces that were met before are looked up.
 
 Defined cases: a null text counts as empty (no ids, decoded to no bytes); ids that the vocabulary lacks raise; rows are
 independent; other columns are ignored.
@@ -23,18 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.bpe import FRAGMENT, split, tiktoken_ranks
+from tidewater.llm.bpe import plain_split, tiktoken_ranks
 from tidewater.llm.shared import give_back, sliced
 
 #: Bytes of a leaf in encoding, and ids of one in decoding.
 LEAF_BYTES, LEAF_IDS = 2, 64
-#: Fragments and pieces of up to so many characters kept by a worker, in each of two generations: at most some 130 MB. A worker keeps them from
+#: Pieces of up to so many characters kept by a worker, in each of two generations: at most some 130 MB. A worker keeps them from
 #: task to task until it runs another operator; Spark ends workers that are idle for a minute.
 KEEP_FRAGMENTS, KEEP_CHARS = 320_000, 64
 #: Windows of two tokens and halves kept by a worker, and bytes of the longest half that is kept.
-KEEP_PAIRS, KEEP_HALVES = 150_000, 5
-#: Larger windows kept by a worker: at most some 30 MB.
+KEEP_PAIRS, KEEP_HALVES = 250_000, 6
+#: Windows encoded anew that are kept by a worker: at most some 30 MB.
 KEEP_WINDOWS = 100_000
+#: Tokens by which a window grows one by one, and joins within joins.
+STEPS = 4
 #: Bytes that are merged without a heap; a rank that no token has.
 SHORT_BYTES, NEVER = 24, 1 << 60
 
@@ -86,7 +90,7 @@ class Codec:
         self.first = [self.ranks.get(bytes(divmod(k, 256)), NEVER) for k in range(1 << 16)]
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.pairs: dict[int, list[int] | None] = {}
         self.halves: dict[bytes, list[int]] = {}
         self.windows: dict[bytes, list[int]] = {}
 
@@ -101,19 +105,28 @@ class Codec:
             found = self.windows[data] = merge(data, self.ranks, self.first)
         return found
 
-    def seam(self, a: int, b: int) -> list[int]:
-        """The window of a token on either side, kept by its tokens."""
-        if (found := self.pairs.get((a, b))) is None:
+    def seam(self, a: int, b: int) -> list[int] | None:
+        """What two tokens' bytes encode to, None if to just the two. Kept by the tokens."""
+        if (found := self.pairs.get(a << 32 | b, NEVER)) is NEVER:
             if len(self.pairs) >= KEEP_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks, self.first)
+            found = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks, self.first)
+            found = self.pairs[a << 32 | b] = None if found == [a, b] else found
         return found
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        if not left or not right:
+    def join(self, left: list[int], right: list[int], depth: int = 0) -> list[int]:
+        if not left or not right or (window := self.seam(left[-1], right[0])) is None:
             return left + right
+        if depth >= STEPS:
+            return self.window(left, right)
         n, m, i, j = len(left), len(right), 1, 1
-        window = self.seam(left[-1], right[0])
+        for _ in range(STEPS):
+            if i < n and window[0] != left[-i] and (more := self.seam(left[-i - 1], window[0])) is not None:
+                i, window = i + 1, self.join(more, window[1:], depth + 1)
+            elif j < m and window[-1] != right[j - 1] and (more := self.seam(window[-1], right[j])) is not None:
+                j, window = j + 1, self.join(window[:-1], more, depth + 1)
+            else:
+                return left[:-i] + window + right[j:]
         while True:
             loose_left = i < n and window[0] != left[-i]
             loose_right = j < m and window[-1] != right[j - 1]
@@ -144,27 +157,18 @@ class Codec:
         return ids
 
     def piece(self, text: str) -> bytes:
-        """Ids as int32 bytes. A piece by itself splits into just itself, so pieces and fragments are kept together."""
-        if (found := self.kept.get(text) or self.older.get(text)) is not None:
-            return found
-        data = text.encode()
-        r = self.ranks.get(data)
-        return self.keep(text, array("i", self.reduce(data) if r is None else (r,)).tobytes())
-
-    def fragment(self, text: str) -> bytes:
-        """Ids as int32 bytes, of text between certain splits."""
+        """Ids as int32 bytes."""
         if (found := self.kept.get(text)) is not None:
             return found
         if (found := self.older.get(text)) is None:
-            pieces = split(text)
-            if len(pieces) == 1:
-                return self.piece(text)
-            found = b"".join(map(self.piece, pieces))
+            data = text.encode()
+            r = self.ranks.get(data)
+            found = array("i", self.reduce(data) if r is None else (r,)).tobytes()
         return self.keep(text, found)
 
     def encode(self, text: str) -> np.ndarray:
-        fragments = FRAGMENT.findall(text)
-        found = [x or self.fragment(t) for x, t in zip(map(self.kept.get, fragments), fragments, strict=True)]
+        pieces = plain_split(text)
+        found = [x or self.piece(t) for x, t in zip(map(self.kept.get, pieces), pieces, strict=True)]
         return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
